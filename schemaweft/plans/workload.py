@@ -38,9 +38,14 @@ def column_name(text: Column, lang: Column) -> Column:
     words = F.filter(
         F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w).between(3, 8)
     )
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
-    name = F.concat_ws("_", F.array_min(words), longest, F.array_max(words))
-    return F.when(name != "", name).otherwise(F.concat(lang, F.lit("_text")))
+
+    def joined(ws: Column) -> Column:
+        longest = F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
+        return F.concat_ws("_", F.array_min(ws), longest, F.array_max(ws))
+
+    # Binding the word list to a lambda variable splits the text once, not once per use.
+    name = F.transform(F.array(words), joined)[0]
+    return F.coalesce(F.nullif(name, F.lit("")), F.concat(lang, F.lit("_text")))
 
 
 # The dtype of a column by the language of its document.

@@ -21,6 +21,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
