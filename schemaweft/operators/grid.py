@@ -1,100 +1,190 @@
-"""Work grid of a schema pair: bounded chunks of sources against bounded chunks of targets.
-
-For scores that no index can look up, every source has to be compared with every target
-of its pair. The comparison is cut into cells of at most ``src_cell`` x ``tgt_cell``
-columns, so a pair that holds a third of the catalog is many tasks, none of them large,
-and a cell returns at most ``k`` rows per source instead of its product. Targets are
-chunked by name length, so that a source skips the chunks that are too short or too long
-for the score it already has.
+"""Top-k targets per source over the whole pair, on a grid of bounded cells.
+
+Every source of a pair has to be ranked against every target of it. The work is cut into
+cells of at most about ``src_cell`` x ``tgt_cell`` columns, so a pair that holds a third
+of the catalog is many tasks, none of them large, and a cell returns at most ``k`` rows
+per source, never its product. Targets are chunked by size (name length, number of
+trigrams), so that a source skips the chunks whose sizes cannot reach the score it has.
+
+A source first meets its home chunk. A pair with one chunk is then done; in a wider one
+the k-th home score is the bar for the other chunks of the pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import sys
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaweft.catalog import PREDICTION_COLUMNS, no_predictions, sources, targets
+from schemaweft.operators.ranking import SOURCE_KEY, ranked
+from schemaweft.session import reuse
+
+# The cell functions travel with the task, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+CELL_KEY = ["pair_id", "grid_row", "band", "chunk"]
+CELL_SCHEMA = "pair_id string, src_ord bigint, src string, tgt_ord bigint, tgt string, score double"
+
+# (target texts, their smallest ordinals, {source text: bar}, k) -> (source text, [(target index, score)])
+Scorer = Callable[[list[str], list[int], dict[str, float], int], Iterator[tuple[str, list[tuple[int, float]]]]]
+
 
-def target_chunks(tgt: DataFrame, tgt_cell: int) -> DataFrame:
-    """pair_id, band, n_chunks, min_len, max_len; one band for a pair that fits a cell.
+def pair_plans(sized: DataFrame, src_cell: int, tgt_cell: int) -> DataFrame:
+    """One row per pair: its grid rows and the size bands of its targets.
 
-    ``tgt`` has pair_id and ``len``. Bands are half octaves of the length.
+    ``sized``: pair_id, side, size. Bands are half octaves of the size, so there are few
+    per pair; targets that fit one cell form a single band.
     """
-    band = F.floor(2 * F.log2(F.col("len") + 1)).cast("int")
-    per_band = tgt.groupBy("pair_id", band.alias("band")).agg(
-        F.count("*").alias("n"), F.min("len").alias("min_len"), F.max("len").alias("max_len")
+    band = F.floor(2 * F.log2(F.col("size") + 1)).cast("int")
+    is_target = F.col("side") == "target"
+    per_band = sized.groupBy("pair_id", band.alias("band")).agg(
+        F.count_if(is_target).alias("n"),
+        F.count_if(~is_target).alias("n_src"),
+        F.min(F.when(is_target, F.col("size"))).alias("lo"),
+        F.max(F.when(is_target, F.col("size"))).alias("hi"),
     )
-    total = per_band.groupBy("pair_id").agg(F.sum("n").alias("total"))
-    fits = F.col("total") <= tgt_cell
-    return (
-        per_band.join(total, "pair_id")
-        .groupBy("pair_id", F.when(fits, -1).otherwise(F.col("band")).alias("band"))
-        .agg(
-            F.ceil(F.sum("n") / F.lit(float(tgt_cell))).cast("int").alias("n_chunks"),
-            F.min("min_len").alias("min_len"),
-            F.max("max_len").alias("max_len"),
-        )
+    chunks = F.ceil(F.col("n") / F.lit(float(tgt_cell))).cast("int")
+    plans = per_band.groupBy("pair_id").agg(
+        F.ceil(F.sum("n_src") / F.lit(float(src_cell))).cast("int").alias("n_rows"),
+        F.sum("n").alias("n_tgt"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.sort_array(
+            F.collect_list(F.when(F.col("n") > 0, F.struct("band", chunks.alias("n_chunks"), "lo", "hi")))
+        ).alias("bands"),
+    )
+    one = F.array(F.struct(F.lit(-1).alias("band"), F.lit(1).alias("n_chunks"), "lo", "hi"))
+    fits = F.col("n_tgt") <= tgt_cell
+    return plans.filter((F.col("n_rows") > 0) & (F.col("n_tgt") > 0)).select(
+        "pair_id",
+        "n_rows",
+        F.when(fits, one).otherwise(F.col("bands")).alias("bands"),
+        (~fits).alias("wide"),
     )
 
 
-def chunked_targets(tgt: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Targets with the ``band`` and ``chunk`` that they belong to."""
-    own = chunks.select("pair_id", "band", "n_chunks", "min_len", "max_len")
-    fits = (F.col("len") >= F.col("min_len")) & (F.col("len") <= F.col("max_len"))
-    return (
-        tgt.join(own, "pair_id")
-        .filter(fits)
-        .withColumn("chunk", F.pmod(F.xxhash64("tgt_ord"), "n_chunks").cast("int"))
-        .drop("n_chunks", "min_len", "max_len")
-    )
+def cell_tasks(spark: SparkSession) -> int:
+    """Tasks for the cells: the session's shuffle width, at least two per core."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, 2 * spark.sparkContext.defaultParallelism)
 
 
-def row_counts(src: DataFrame, src_cell: int) -> DataFrame:
-    """pair_id, n_rows: grid rows of every pair."""
-    return src.groupBy("pair_id").agg(
-        F.ceil(F.count("*") / F.lit(float(src_cell))).cast("int").alias("n_rows")
-    )
+def _visits(src: DataFrame, plans: DataFrame, reach: Callable[[Column, Column], Column]) -> DataFrame:
+    """Sources times the chunks of their pair, with the largest score that sizes allow."""
+    size = F.col("size")
 
+    def visit(b: Column) -> Column:
+        nearest = F.least(F.greatest(size, b.lo), b.hi)
+        return F.struct(
+            reach(size, nearest).alias("reach"), b.band.alias("band"), b.n_chunks.alias("n_chunks")
+        )
 
-def source_rows(src: DataFrame, counts: DataFrame) -> DataFrame:
-    """Sources with the grid row that they belong to."""
     return (
-        src.join(counts, "pair_id")
+        src.join(plans, "pair_id")
         .withColumn("grid_row", F.pmod(F.xxhash64("src_ord"), "n_rows").cast("int"))
-        .drop("n_rows")
+        .withColumn("visits", F.transform("bands", visit))
+        .withColumn("best_band", F.array_max("visits").band)
+        .withColumn("visit", F.explode("visits"))
+        .select("*", "visit.*")
+        .withColumn("home_chunk", F.pmod(F.xxhash64("src_ord"), "n_chunks").cast("int"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+        .withColumn("home", (F.col("band") == F.col("best_band")) & (F.col("chunk") == F.col("home_chunk")))
+        .select(*CELL_KEY, "src_ord", "src", "low", "reach", "home", "wide")
     )
 
 
-def every_row(tgt: DataFrame, counts: DataFrame) -> DataFrame:
-    """Targets once per grid row of their pair."""
+def _placed(tgt: DataFrame, plans: DataFrame) -> DataFrame:
+    """Targets in their chunk, once per grid row of their pair."""
+    size = F.col("size")
+    own = F.filter("bands", lambda b: (b.lo <= size) & (size <= b.hi))[0]
     return (
-        tgt.join(counts, "pair_id")
+        tgt.join(plans, "pair_id")
+        .withColumn("own", own)
+        .withColumn("band", F.col("own.band"))
+        .withColumn("chunk", F.pmod(F.xxhash64("tgt_ord"), F.col("own.n_chunks")).cast("int"))
         .withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
-        .drop("n_rows")
+        .select(*CELL_KEY, "tgt_ord", "tgt", "low", "wide")
     )
 
 
-def visits(src: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Sources times the chunks of their pair, the nearest in length marked as ``home``.
-
-    ``reach`` is the largest score 2 * min(a, b) / (a + b) that the lengths allow.
+def _cell_function(scorer: Scorer, k: int):
+    def cell(src: pd.DataFrame, tgt: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(src) and len(tgt):
+            # Equal lower-case targets score alike, so only their first k by ordinal count.
+            holders: dict[str, list[tuple[int, str]]] = {}
+            for ordinal, name, low in sorted(zip(tgt["tgt_ord"], tgt["tgt"], tgt["low"])):
+                same = holders.setdefault(low, [])
+                if len(same) < k:
+                    same.append((ordinal, name))
+            sharing: dict[str, list[tuple[int, str]]] = {}
+            bars: dict[str, float] = {}
+            for ordinal, name, low, bar in zip(src["src_ord"], src["src"], src["low"], src["bar"]):
+                sharing.setdefault(low, []).append((ordinal, name))
+                bars[low] = min(bar, bars.get(low, bar))
+            texts = list(holders)
+            firsts = [holders[t][0][0] for t in texts]
+            pair_id = src["pair_id"].iloc[0]
+            for text, best in scorer(texts, firsts, bars, k):
+                cut = sorted((-score, o, n) for i, score in best for o, n in holders[texts[i]])[:k]
+                for src_ord, src_name in sharing[text]:
+                    found.extend((pair_id, src_ord, src_name, o, n, -score) for score, o, n in cut)
+        return pd.DataFrame(found, columns=["pair_id", "src_ord", "src", "tgt_ord", "tgt", "score"])
+
+    return cell
+
+
+def grid_top_k(
+    catalog: DataFrame,
+    k: int,
+    scorer: Scorer,
+    size: Column,
+    reach: Callable[[Column, Column], Column],
+    src_cell: int = 256,
+    tgt_cell: int = 4096,
+) -> DataFrame:
+    """Predictions of the exact top-k by ``scorer`` over all targets of every pair.
+
+    ``size`` is an expression over ``low``, the lower-case name, and ``reach`` bounds the
+    score of two names by their sizes.
     """
-    nearest = F.least(F.greatest(F.col("len"), F.col("min_len")), F.col("max_len"))
-    both = F.col("len") + F.col("nearest")
-    reach = F.when(both == 0, 1.0).otherwise(2 * F.least("len", "nearest") / both)
-    by_reach = Window.partitionBy("pair_id", "src_ord").orderBy(F.col("reach").desc(), "band")
-    one_band = (
-        src.join(chunks, "pair_id")
-        .withColumn("nearest", nearest)
-        .withColumn("reach", reach)
-        .withColumn("near", F.row_number().over(by_reach))
+    if k <= 0:
+        return no_predictions(catalog)
+    src = sources(catalog).withColumn("low", F.lower("src")).withColumn("size", size)
+    tgt = targets(catalog).withColumn("low", F.lower("tgt")).withColumn("size", size)
+    sized = catalog.select("pair_id", "side", F.lower("name").alias("low")).select("pair_id", "side", size.alias("size"))
+    plans = reuse(pair_plans(sized, src_cell, tgt_cell))
+    visits, placed = _visits(src, plans, reach), _placed(tgt, plans)
+    cell = _cell_function(scorer, k)
+    # Cells are few bytes and much work: sized by bytes they would end in too few tasks.
+    n_tasks = cell_tasks(catalog.sparkSession)
+    left_columns = [*CELL_KEY, "src_ord", "src", "low", "bar"]
+    right_columns = [*CELL_KEY, "tgt_ord", "tgt", "low"]
+
+    def compare(left: DataFrame, right: DataFrame) -> DataFrame:
+        # toDF gives the right side, which shares the plan table, columns of its own.
+        left = left.select(*left_columns).repartition(n_tasks, *CELL_KEY)
+        right = right.select(*right_columns).toDF(*right_columns).repartition(n_tasks, *CELL_KEY)
+        return (
+            left.groupBy(*CELL_KEY)
+            .cogroup(right.groupBy(*CELL_KEY))
+            .applyInPandas(cell, CELL_SCHEMA)
+        )
+
+    home = reuse(compare(visits.filter("home").withColumn("bar", F.lit(0.0)), placed))
+    bars = (
+        ranked(home, k).filter(F.col("rank") == k).select(*SOURCE_KEY, F.col("score").alias("bar"))
     )
-    home_chunk = F.pmod(F.xxhash64("src_ord"), "n_chunks").cast("int")
-    return (
-        one_band.withColumn("home_chunk", home_chunk)
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .withColumn("home", (F.col("near") == 1) & (F.col("chunk") == F.col("home_chunk")))
-        .drop("near", "nearest", "home_chunk", "n_chunks", "min_len", "max_len")
+    away = (
+        visits.filter(F.col("wide") & ~F.col("home"))
+        .join(bars, SOURCE_KEY, "left")
+        .withColumn("bar", F.coalesce("bar", F.lit(0.0)))
+        .filter(F.col("reach") >= F.col("bar"))
     )
-
-
-CELL_KEY = ["pair_id", "grid_row", "band", "chunk"]
+    scored = home.unionByName(compare(away, placed.filter("wide")))
+    return ranked(scored.select(*PREDICTION_COLUMNS[:-1]), k)

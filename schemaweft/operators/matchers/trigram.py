@@ -1,115 +1,75 @@
-"""Top-k targets by Jaccard similarity of character trigrams."""
+"""Top-k targets by Jaccard similarity of lower-case character trigrams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import sys
+from collections.abc import Iterator
 
-from schemaweft.catalog import PREDICTION_COLUMNS, no_predictions, sources, targets
-from schemaweft.functions.names import trigrams
-from schemaweft.operators.ranking import SOURCE_KEY, ranked
-from schemaweft.operators.setjoin import meet, rare_first
-from schemaweft.session import reuse
+import numpy as np
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from schemaweft.operators.grid import grid_top_k
 
-def _jaccard(overlap, n_src, n_tgt):
-    return overlap / (n_src + n_tgt - overlap)
+# The cell functions travel with the task, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def first_targets(tgt: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """The first ``k`` targets by ordinal of every group."""
-    order = Window.partitionBy(*keys).orderBy("tgt_ord")
-    return tgt.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
+def _grams(text: str) -> set[str]:
+    return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
-def trigram_match(catalog: DataFrame, k: int = 5, cell: int = 4096, spread: int = 16) -> DataFrame:
-    """Exact top-k of the full product of a pair, without building the product.
+def _by_shared_grams(
+    texts: list[str], firsts: list[int], bars: dict[str, float], k: int
+) -> Iterator[tuple[str, list[tuple[int, float]]]]:
+    """Score only targets that share a trigram, through the postings of the chunk.
 
-    1. Seeds: for every trigram the ``k`` shortest targets that hold it. The k-th best
-       seed of a source is a bar that its final candidates reach, and a target whose only
-       common trigram is this one either is a seed or has ``k`` better ones before it.
-    2. Lookup: what is left shares two trigrams or more, so the most frequent trigrams of
-       a source are never looked up, and fewer the higher its bar is.
-    3. Padding: a source with fewer than ``k`` seeds gets the first ``k`` targets at 0.0.
-       With h < k hits at most h of these are hits, so enough zeros remain.
+    Fewer than ``k`` such targets are padded with the chunk's first targets at 0.0: of
+    its first k at most as many are hits as there are hits, so enough zeros remain.
     """
-    if k <= 0:
-        return no_predictions(catalog)
-    sets = catalog.select(
-        "pair_id",
-        "side",
-        F.col("ordinal").cast("bigint").alias("ord"),
-        "name",
-        trigrams(F.col("name")).alias("elems"),
-    ).withColumn("n", F.size("elems"))
-    index = reuse(rare_first(sets))
-    src = index.filter(F.col("side") == "source").select(
-        "pair_id", F.col("ord").alias("src_ord"), F.col("name").alias("src"), F.col("n").alias("n_src"), "elems"
-    )
-    tgt = index.filter(F.col("side") == "target").select(
-        "pair_id", F.col("ord").alias("tgt_ord"), F.col("name").alias("tgt"), F.col("n").alias("n_tgt"), "elems"
-    )
+    postings: dict[str, list[int]] = {}
+    sizes = np.empty(len(texts))
+    for i, text in enumerate(texts):
+        grams = _grams(text)
+        sizes[i] = len(grams)
+        for gram in grams:
+            postings.setdefault(gram, []).append(i)
+    lists = {gram: np.array(members) for gram, members in postings.items()}
+    order = np.array(firsts, dtype=np.int64)
+    padding = np.argsort(order, kind="stable")[:k]
+    for text, bar in bars.items():
+        grams = _grams(text)
+        met = [lists[g] for g in grams if g in lists]
+        best: list[tuple[int, float]] = []
+        if met:
+            overlap = np.bincount(np.concatenate(met), minlength=len(texts))
+            hits = np.flatnonzero(overlap)
+            shared = overlap[hits]
+            scores = shared / (len(grams) + sizes[hits] - shared)
+            floor = bar
+            if len(hits) > k:
+                floor = max(bar, np.partition(scores, len(scores) - k)[len(scores) - k])
+            kept = scores >= floor
+            best = list(zip(hits[kept].tolist(), scores[kept].tolist()))
+        if len(best) < k and bar == 0.0:
+            seen = {i for i, _ in best}
+            best += [(int(i), 0.0) for i in padding if int(i) not in seen]
+        yield text, best
 
-    shortest = Window.partitionBy("pair_id", "elem").orderBy("n_tgt", "tgt_ord")
-    heads = (
-        tgt.select("pair_id", "tgt_ord", "tgt", "n_tgt", F.explode("elems.elem").alias("elem"))
-        .withColumn("nth", F.row_number().over(shortest))
-        .filter(F.col("nth") <= k)
-        .drop("nth")
-    )
-    # A seed's overlap counts only the trigrams that list it, so its score is a lower
-    # bound; it is exact where the overlap is one.
-    seeds = (
-        src.select("pair_id", "src_ord", "src", "n_src", F.explode("elems.elem").alias("elem"))
-        .join(heads, ["pair_id", "elem"])
-        .repartition(*SOURCE_KEY)
-        .groupBy("pair_id", "src_ord", "src", "n_src", "tgt_ord", "tgt", "n_tgt")
-        .agg(F.count("*").alias("overlap"))
-        .withColumn("score", _jaccard(F.col("overlap"), F.col("n_src"), F.col("n_tgt")))
-        .drop("n_src", "n_tgt", "overlap")
-    )
-    seeds = reuse(ranked(seeds, k))
-    bars = seeds.filter(F.col("rank") == k).select(
-        *SOURCE_KEY, F.col("score").alias("bar"), F.col("tgt_ord").alias("bar_ord")
-    )
 
-    probing = src.join(bars, SOURCE_KEY, "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
-    at_least = F.greatest(F.lit(2), F.ceil(F.col("bar") * F.col("n_src") - 1e-9))
-    reachable = _jaccard(F.col("ub"), F.col("n_src"), F.col("n_tgt"))
-    hits = (
-        meet(
-            probing,
-            tgt,
-            keep=F.size("elems") - at_least + 1,
-            condition=(F.col("ub") >= 2) & (reachable >= F.col("bar")),
-            cell=cell,
-        )
-        .withColumn("score", _jaccard(F.col("overlap"), F.col("n_src"), F.col("n_tgt")))
-        .filter(
-            (F.col("score") > F.col("bar"))
-            | ((F.col("score") == F.col("bar")) & (F.coalesce("bar_ord", "tgt_ord") >= F.col("tgt_ord")))
-        )
-    )
+def trigram_match(
+    catalog: DataFrame, k: int = 5, src_cell: int = 1024, tgt_cell: int = 4096
+) -> DataFrame:
+    """Exact top-k of every source over all targets of its pair; zero scores are kept.
+
+    Names under three characters have no trigrams and score 0.0, even when equal.
+    """
+    n_grams = F.greatest(F.length("low") - 2, F.lit(0))
 
-    # Sources that need padding meet one small list per pair; the salt splits a wide pair.
-    needy = (
-        sources(catalog)
-        .join(bars, SOURCE_KEY, "left_anti")
-        .withColumn("salt", F.pmod(F.xxhash64("src_ord"), F.lit(spread)).cast("int"))
-    )
-    pads = (
-        first_targets(targets(catalog), k, ["pair_id"])
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    )
-    padding = needy.join(pads, ["pair_id", "salt"]).withColumn("score", F.lit(0.0))
+    def reach(a, b):
+        # A name of n characters has at most n - 2 distinct trigrams and may have only
+        # one, so sizes bound nothing unless one side has none.
+        return F.when((a == 0) | (b == 0), 0.0).otherwise(1.0)
 
-    columns = PREDICTION_COLUMNS[:-1]
-    scored = (
-        seeds.select(*columns)
-        .unionByName(hits.select(*columns))
-        .unionByName(padding.select(*columns))
-        .repartition(*SOURCE_KEY)
-        .groupBy("pair_id", "src", "src_ord", "tgt", "tgt_ord")
-        .agg(F.max("score").alias("score"))
-    )
-    return ranked(scored, k)
+    return grid_top_k(catalog, k, _by_shared_grams, n_grams, reach, src_cell, tgt_cell)

@@ -24,6 +24,12 @@ def ranked(scored: DataFrame, k: int | None = None, by: Column | None = None) ->
     return out.select(*PREDICTION_COLUMNS)
 
 
+def first_targets(tgt: DataFrame, k: int, keys: list[str], *before: Column) -> DataFrame:
+    """The first ``k`` targets of every group by the given order, then by ordinal."""
+    order = Window.partitionBy(*keys).orderBy(*before, F.col("tgt_ord"))
+    return tgt.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
+
+
 def top_1(predictions: DataFrame) -> DataFrame:
     """First candidate of every source that has one."""
     return predictions.filter(F.col("rank") == 1)
