@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from schemaweft.catalog import PREDICTION_COLUMNS, no_predictions, sources, targets
 from schemaweft.operators.ranking import SOURCE_KEY, ranked
-from schemaweft.session import reuse
+from schemaweft.session import settle
 
 # The cell functions travel with the task, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -158,7 +158,7 @@ def grid_top_k(
     src = sources(catalog).withColumn("low", F.lower("src")).withColumn("size", size)
     tgt = targets(catalog).withColumn("low", F.lower("tgt")).withColumn("size", size)
     sized = catalog.select("pair_id", "side", F.lower("name").alias("low")).select("pair_id", "side", size.alias("size"))
-    plans = reuse(pair_plans(sized, src_cell, tgt_cell))
+    plans = settle(pair_plans(sized, src_cell, tgt_cell))
     visits, placed = _visits(src, plans, reach), _placed(tgt, plans)
     cell = _cell_function(scorer, k)
     # Cells are few bytes and much work: sized by bytes they would end in too few tasks.
@@ -176,7 +176,7 @@ def grid_top_k(
             .applyInPandas(cell, CELL_SCHEMA)
         )
 
-    home = reuse(compare(visits.filter("home").withColumn("bar", F.lit(0.0)), placed))
+    home = settle(compare(visits.filter("home").withColumn("bar", F.lit(0.0)), placed))
     bars = (
         ranked(home, k).filter(F.col("rank") == k).select(*SOURCE_KEY, F.col("score").alias("bar"))
     )

@@ -22,7 +22,7 @@ from schemaweft.catalog import PREDICTION_COLUMNS, dtype_family
 from schemaweft.functions.names import word_tokens
 from schemaweft.operators.ranking import ranked
 from schemaweft.operators.setjoin import meet, rare_first
-from schemaweft.session import reuse
+from schemaweft.session import settle
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def linguistic_candidates(
     catalog: DataFrame, thesaurus: DataFrame | None, p: CupidParameters, cell: int
 ) -> DataFrame:
     """All pairs at or above the least linguistic similarity, with ``lsim`` and types."""
-    words = reuse(
+    words = settle(
         catalog.select(
             "pair_id",
             "side",
@@ -166,13 +166,13 @@ def linguistic_candidates(
     single = words.select("pair_id", "side", "ord", F.explode("tokens").alias("token"))
     src_tokens = single.filter(F.col("side") == "source")
     tgt_tokens = single.filter(F.col("side") == "target")
-    similar = reuse(token_similarity(src_tokens, tgt_tokens, thesaurus, p))
+    similar = settle(token_similarity(src_tokens, tgt_tokens, thesaurus, p))
     src_links = _links(src_tokens, similar, "t1", "t2").withColumn("side", F.lit("source"))
     tgt_links = _links(tgt_tokens, similar, "t2", "t1").withColumn("side", F.lit("target"))
     linked = words.join(src_links.unionByName(tgt_links), ["pair_id", "side", "ord"])
     # A source is found by its own tokens, a target by the source tokens similar to its own.
     elems = F.when(F.col("side") == "source", F.col("tokens")).otherwise(F.col("links.t"))
-    index = reuse(rare_first(linked.withColumn("elems", elems)))
+    index = settle(rare_first(linked.withColumn("elems", elems)))
     src = index.filter(F.col("side") == "source").select(
         "pair_id",
         "elems",
@@ -214,7 +214,7 @@ def cupid_match(
     p = parameters or CupidParameters()
     if p.least_lsim <= 0:
         raise ValueError("th_accept is so low that pairs without any common word would pass")
-    leaves = reuse(
+    leaves = settle(
         linguistic_candidates(catalog, thesaurus, p, cell).withColumn(
             "ssim", type_compatibility(F.col("src_family"), F.col("tgt_family"))
         )

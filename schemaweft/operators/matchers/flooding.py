@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from schemaweft.catalog import PREDICTION_COLUMNS, dtype_family
 from schemaweft.operators.matchers.trigram import trigram_match
 from schemaweft.operators.ranking import first_targets, ranked
-from schemaweft.session import reuse
+from schemaweft.session import settle
 
 # The fix-point function travels with the task, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -143,7 +143,7 @@ class Flooding:
         seeds = trigram_match(catalog, seed_k) if seeds is None else seeds
         self.src = _families(catalog, "source", "src")
         self.tgt = _families(catalog, "target", "tgt")
-        self.explicit = reuse(
+        self.explicit = settle(
             seeds.filter(F.col("score") > 0)
             .select("pair_id", "src_ord", "tgt_ord", F.col("score").alias("s"))
             .join(self.src, ["pair_id", "src_ord"])
@@ -157,7 +157,7 @@ class Flooding:
         n_tgt = self.tgt.groupBy("pair_id", "tgt_family").agg(F.count("*").alias("n_tgt"))
         # At most six families a side, so at most 36 rows per schema pair.
         classes = n_src.join(n_tgt, "pair_id").join(sums, type_pair, "left").fillna(0.0)
-        self.classes = reuse(
+        self.classes = settle(
             classes.groupBy("pair_id").applyInPandas(_solver(formula, max_rounds, epsilon), SOLVED_SCHEMA)
         )
 

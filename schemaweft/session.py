@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,12 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="schemaweft-")
         spark.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, f"schemaweft-{uuid.uuid4().hex}")
+    return f"{base.rstrip('/')}/schemaweft-{uuid.uuid4().hex}"
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep a result that several branches of one plan read.
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read, and read it back.
 
-    Blocks spill to disk and a lost executor's blocks are recomputed from lineage.
+    The table lies in the shared folder, so it survives the loss of executors, and what
+    follows is planned over a scan instead of over copies of everything before it.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
