@@ -6,12 +6,16 @@ of the catalog is many tasks, none of them large, and a cell returns at most ``k
 per source, never its product. Targets are chunked by size (name length, number of
 trigrams), so that a source skips the chunks whose sizes cannot reach the score it has.
 
+Narrow pairs share a cell: they are put into lots of about a cell's size, so thousands of
+small schemas do not become thousands of tiny tasks.
+
 A source first meets its home chunk. A pair with one chunk is then done; in a wider one
 the k-th home score is the bar for the other chunks of the pair.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable, Iterator
 
@@ -27,7 +31,7 @@ from schemaweft.session import settle
 # The cell functions travel with the task, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_KEY = ["pair_id", "grid_row", "band", "chunk"]
+CELL_KEY = ["lot", "grid_row", "band", "chunk"]
 CELL_SCHEMA = "pair_id string, src_ord bigint, src string, tgt_ord bigint, tgt string, score double"
 
 # (target texts, their smallest ordinals, {source text: bar}, k) -> (source text, [(target index, score)])
@@ -52,6 +56,7 @@ def pair_plans(sized: DataFrame, src_cell: int, tgt_cell: int) -> DataFrame:
     plans = per_band.groupBy("pair_id").agg(
         F.ceil(F.sum("n_src") / F.lit(float(src_cell))).cast("int").alias("n_rows"),
         F.sum("n").alias("n_tgt"),
+        F.sum("n_src").alias("n_src"),
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
         F.sort_array(
@@ -63,11 +68,27 @@ def pair_plans(sized: DataFrame, src_cell: int, tgt_cell: int) -> DataFrame:
     return plans.filter((F.col("n_rows") > 0) & (F.col("n_tgt") > 0)).select(
         "pair_id",
         "n_rows",
+        F.col("n_src"),
+        F.col("n_tgt"),
         F.when(fits, one).otherwise(F.col("bands")).alias("bands"),
         (~fits).alias("wide"),
     )
 
 
+def with_lots(plans: DataFrame, src_cell: int, tgt_cell: int) -> DataFrame:
+    """Add ``lot``: the pair itself, or the lot that it shares with other narrow pairs.
+
+    A pair is narrow if it fits one cell eight times. The number of lots follows from the
+    number of columns in narrow pairs, so a lot stays about one cell large.
+    """
+    narrow = (F.col("n_rows") == 1) & (F.col("n_src") * 8 <= src_cell) & (F.col("n_tgt") * 8 <= tgt_cell)
+    size = F.greatest(F.sum("n_src") / src_cell, F.sum("n_tgt") / tgt_cell)
+    needed = plans.filter(narrow).agg(size.alias("cells")).first()["cells"] or 0.0
+    lots = max(1, math.ceil(needed))
+    shared = F.concat(F.lit("lot "), F.pmod(F.xxhash64("pair_id"), F.lit(lots)).cast("string"))
+    return plans.withColumn("lot", F.when(narrow, shared).otherwise(F.concat(F.lit("pair "), "pair_id")))
+
+
 def cell_tasks(spark: SparkSession) -> int:
     """Tasks for the cells: the session's shuffle width, at least two per core."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -94,7 +115,7 @@ def _visits(src: DataFrame, plans: DataFrame, reach: Callable[[Column, Column],
         .withColumn("home_chunk", F.pmod(F.xxhash64("src_ord"), "n_chunks").cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
         .withColumn("home", (F.col("band") == F.col("best_band")) & (F.col("chunk") == F.col("home_chunk")))
-        .select(*CELL_KEY, "src_ord", "src", "low", "reach", "home", "wide")
+        .select(*CELL_KEY, "pair_id", "src_ord", "src", "low", "reach", "home", "wide")
     )
 
 
@@ -108,29 +129,46 @@ def _placed(tgt: DataFrame, plans: DataFrame) -> DataFrame:
         .withColumn("band", F.col("own.band"))
         .withColumn("chunk", F.pmod(F.xxhash64("tgt_ord"), F.col("own.n_chunks")).cast("int"))
         .withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
-        .select(*CELL_KEY, "tgt_ord", "tgt", "low", "wide")
+        .select(*CELL_KEY, "pair_id", "tgt_ord", "tgt", "low", "wide")
     )
 
 
 def _cell_function(scorer: Scorer, k: int):
+    def targets_by_text(rows: list[tuple]) -> dict[str, list[tuple[int, str]]]:
+        """Equal lower-case targets score alike, so only their first k by ordinal count."""
+        holders: dict[str, list[tuple[int, str]]] = {}
+        for ordinal, name, low in sorted(rows):
+            same = holders.setdefault(low, [])
+            if len(same) < k:
+                same.append((ordinal, name))
+        return holders
+
+    def by_pair(df: pd.DataFrame, *columns: str) -> dict[str, list[tuple]]:
+        rows: dict[str, list[tuple]] = {}
+        for pair_id, *values in zip(df["pair_id"], *(df[c] for c in columns)):
+            rows.setdefault(pair_id, []).append(tuple(values))
+        return rows
+
     def cell(src: pd.DataFrame, tgt: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
-        if len(src) and len(tgt):
-            # Equal lower-case targets score alike, so only their first k by ordinal count.
-            holders: dict[str, list[tuple[int, str]]] = {}
-            for ordinal, name, low in sorted(zip(tgt["tgt_ord"], tgt["tgt"], tgt["low"])):
-                same = holders.setdefault(low, [])
-                if len(same) < k:
-                    same.append((ordinal, name))
+        scored: dict[tuple, list] = {}
+        tgt_rows = by_pair(tgt, "tgt_ord", "tgt", "low")
+        for pair_id, src_rows in by_pair(src, "src_ord", "src", "low", "bar").items():
+            holders = targets_by_text(tgt_rows.get(pair_id, []))
+            if not holders:
+                continue
             sharing: dict[str, list[tuple[int, str]]] = {}
             bars: dict[str, float] = {}
-            for ordinal, name, low, bar in zip(src["src_ord"], src["src"], src["low"], src["bar"]):
+            for ordinal, name, low, bar in src_rows:
                 sharing.setdefault(low, []).append((ordinal, name))
                 bars[low] = min(bar, bars.get(low, bar))
             texts = list(holders)
             firsts = [holders[t][0][0] for t in texts]
-            pair_id = src["pair_id"].iloc[0]
-            for text, best in scorer(texts, firsts, bars, k):
+            # Pairs of a lot often repeat a schema; its names are scored once.
+            problem = (tuple(texts), tuple(firsts), tuple(bars.items()))
+            if problem not in scored:
+                scored[problem] = list(scorer(texts, firsts, bars, k))
+            for text, best in scored[problem]:
                 cut = sorted((-score, o, n) for i, score in best for o, n in holders[texts[i]])[:k]
                 for src_ord, src_name in sharing[text]:
                     found.extend((pair_id, src_ord, src_name, o, n, -score) for score, o, n in cut)
@@ -158,13 +196,13 @@ def grid_top_k(
     src = sources(catalog).withColumn("low", F.lower("src")).withColumn("size", size)
     tgt = targets(catalog).withColumn("low", F.lower("tgt")).withColumn("size", size)
     sized = catalog.select("pair_id", "side", F.lower("name").alias("low")).select("pair_id", "side", size.alias("size"))
-    plans = settle(pair_plans(sized, src_cell, tgt_cell))
+    plans = with_lots(settle(pair_plans(sized, src_cell, tgt_cell)), src_cell, tgt_cell)
     visits, placed = _visits(src, plans, reach), _placed(tgt, plans)
     cell = _cell_function(scorer, k)
     # Cells are few bytes and much work: sized by bytes they would end in too few tasks.
     n_tasks = cell_tasks(catalog.sparkSession)
-    left_columns = [*CELL_KEY, "src_ord", "src", "low", "bar"]
-    right_columns = [*CELL_KEY, "tgt_ord", "tgt", "low"]
+    left_columns = [*CELL_KEY, "pair_id", "src_ord", "src", "low", "bar"]
+    right_columns = [*CELL_KEY, "pair_id", "tgt_ord", "tgt", "low"]
 
     def compare(left: DataFrame, right: DataFrame) -> DataFrame:
         # toDF gives the right side, which shares the plan table, columns of its own.

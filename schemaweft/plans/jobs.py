@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +63,7 @@ def run_eval(
 def audit_job(catalog: DataFrame, lineage: DataFrame, matchers: dict[str, Matcher], root: str) -> DataFrame:
     """Evaluate, write reports, rank lists, audits and the summary; returns the summary."""
     run = run_eval(catalog, lineage, matchers)
+    run = replace(run, outcomes=settle(run.outcomes))
     audit.check_prediction_shape(run.predictions)
     hits = settle(audit.audit_hits(run.predictions, catalog, lineage))
     result = audit.summary(hits, run.matchers)
@@ -76,8 +77,9 @@ def synthetic_audit(pair_ids: DataFrame, root: str, matchers: tuple[str, ...] =
     """Corrupt the base schema by the standard steps for every pair id and audit matchers."""
     catalog = base_catalog(pair_ids)
     state = legacy.apply_steps(legacy.initial_state(catalog))
+    lineage = settle(legacy.lineage(state))
     both = settle(legacy.legacy_pairs(catalog, state))
-    return audit_job(both, legacy.lineage(state), {m: MATCHERS[m] for m in matchers}, root)
+    return audit_job(both, lineage, {m: MATCHERS[m] for m in matchers}, root)
 
 
 def benchmark_audit(
