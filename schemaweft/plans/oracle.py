@@ -350,11 +350,13 @@ STANDARD_TRUTH = [
     ("amount", "CUST_MNT"),
 ]
 STANDARD_TARGETS = list(dict.fromkeys(t for _, t in STANDARD_TRUTH)) + list(JUNK_COLUMNS)
+# One split step doubles the ordinals: the column of base position i is at 2 * i.
+STANDARD_ORDINALS = list(zip((2, 4, 5, 6, 8, 12, 14, *(JUNK_ORDINAL + i for i in range(3))), STANDARD_TARGETS))
 _TENANT = f"""
 src AS MATERIALIZED (SELECT 'one' AS pair_id, n AS src, o AS src_ord
   FROM (VALUES {", ".join(f"({i + 1}, '{n}')" for i, (n, _) in enumerate(BASE_SCHEMA))}) v(o, n)),
 tgt AS MATERIALIZED (SELECT 'one' AS pair_id, n AS tgt, o AS tgt_ord
-  FROM (VALUES {", ".join(f"({i + 1}, '{n}')" for i, n in enumerate(STANDARD_TARGETS))}) v(o, n)),
+  FROM (VALUES {", ".join(f"({o}, '{n}')" for o, n in STANDARD_ORDINALS)}) v(o, n)),
 truth AS MATERIALIZED (SELECT 'one' AS pair_id, s AS src, t AS tgt
   FROM (VALUES {", ".join(f"('{s}', '{t}')" for s, t in STANDARD_TRUTH)}) v(s, t))"""
 
@@ -364,7 +366,7 @@ seeds(seed) AS (VALUES {_SEEDS}),
 src4 AS (SELECT pair_id || '#' || seed AS pair_id, src, src_ord FROM src, seeds),
 tgt4 AS (
   SELECT pair_id || '#' || seed AS pair_id, tgt,
-    (((tgt_ord % {PRIME}) * ((seed * {STEP} + {SHIFT}) % {PRIME}) + seed * {SHIFT}) % {PRIME}) * {HIGH_PART}
+    (((tgt_ord % {PRIME}) * ((seed::BIGINT * {STEP} + {SHIFT}) % {PRIME})) % {PRIME}) * {HIGH_PART}
       + tgt_ord // {PRIME} AS tgt_ord
   FROM tgt, seeds)"""
 
@@ -473,12 +475,17 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'coverage', 'source without target', count(*) FROM src p WHERE {_DROPPED} HAVING count(*) > 0
       UNION ALL SELECT 'coverage', 'target without source', count(*) FROM tgt p WHERE {_JUNK} HAVING count(*) > 0""",
     "audit_candidate_profile": f"{EVAL_3} SELECT matcher, pair_id, src, n_cand AS n_candidates FROM outcome",
-    "stability_shuffle_lost": f"""{_with(DOCUMENTS, _trigram(), SHUFFLED, _trigram(1, "moved", "src4", "tgt4"))}
-      SELECT CAST(split_part(m.pair_id, '#', 2) AS BIGINT) AS seed, o.pair_id, o.src, o.tgt AS orig_tgt,
+    "stability_shuffle_lost": f"""{_with(_TENANT, _trigram(), SHUFFLED, _trigram(1, "moved", "src4", "tgt4"))}
+      SELECT CAST(split_part(m.pair_id, '#', 2) AS BIGINT) AS seed, c_name AS pair_id, o.src, o.tgt AS orig_tgt,
         round(o.score, 6) AS orig_score, m.tgt AS shuf_tgt, round(m.score, 6) AS shuf_score
-      FROM trigram o JOIN moved m ON split_part(m.pair_id, '#', 1) = o.pair_id AND m.src = o.src
-      WHERE o.rank = 1 AND EXISTS (SELECT 1 FROM truth t WHERE t.pair_id = o.pair_id AND t.src = o.src AND t.tgt = o.tgt)
-        AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.pair_id = o.pair_id AND t.src = o.src AND t.tgt = m.tgt)""",
+      FROM customer, trigram o JOIN moved m ON m.src = o.src
+      WHERE o.rank = 1 AND EXISTS (SELECT 1 FROM truth t WHERE t.src = o.src AND t.tgt = o.tgt)
+        AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.src = o.src AND t.tgt = m.tgt)""",
+    "stability_shuffle_documents": f"""{_with(DOCUMENTS, SHUFFLED, _trigram(1, "moved", "src4", "tgt4"))}
+      SELECT CAST(split_part(m.pair_id, '#', 2) AS BIGINT) AS seed, count(*) AS n_sources,
+        count(*) FILTER (EXISTS (SELECT 1 FROM truth t WHERE t.pair_id = split_part(m.pair_id, '#', 1)
+          AND t.src = m.src AND t.tgt = m.tgt)) AS n_correct
+      FROM moved m GROUP BY seed""",
     "stability_ties_margin": f"""{_with(DOCUMENTS, _trigram())}
       SELECT pair_id, src, tgt, rank, count(*) OVER (PARTITION BY pair_id, src_ord, round(score, 12)) AS n_tied,
         round(coalesce(score - lead(score) OVER (PARTITION BY pair_id, src_ord ORDER BY rank), -1.0), 6) AS margin

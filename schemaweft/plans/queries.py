@@ -299,11 +299,21 @@ def audit_candidate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stability_shuffle_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Documents(spark, sf_dir)
-    lost = jobs.shuffle_probe(settle(d.catalog), d.truth, trigram_match)
+    """Trigram candidates of the tenants' columns often tie, so the order decides."""
+    catalog, state = w.tenant_state(spark, sf_dir)
+    state = settle(state)
+    lost = jobs.shuffle_probe(settle(legacy.legacy_pairs(catalog, state)), legacy.truth_of(state), trigram_match)
     return _rounded(lost, "orig_score", "shuf_score")
 
 
+def stability_shuffle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First candidates of the document catalog under every seed, and how many are correct."""
+    d = Documents(spark, sf_dir)
+    moved = stability.by_seed(trigram_match(stability.shuffled(settle(d.catalog)), 1))
+    correct = moved.join(d.truth, ["pair_id", "src", "tgt"], "left_semi").groupBy("seed").agg(F.count("*").alias("n_correct"))
+    return moved.groupBy("seed").agg(F.count("*").alias("n_sources")).join(correct, "seed")
+
+
 def stability_ties_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     ties = stability.ties_and_margins(Documents(spark, sf_dir).matched(trigram_match))
     return ties.select(
@@ -354,6 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         audit_checks,
         audit_candidate_profile,
         stability_shuffle_lost,
+        stability_shuffle_documents,
         stability_ties_margin,
         triage,
     )

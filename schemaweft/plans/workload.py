@@ -33,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a scan that has fewer splits than the session has cores.
+
+    Only small inputs are moved; a large table has splits enough and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def column_name(text: Column, lang: Column) -> Column:
     """First, longest and last word, of three to eight letters, of the whole text."""
     words = F.filter(
@@ -60,7 +69,8 @@ def document_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     get the table prefix, French ones lose their vowels, Spanish ones are upper-cased,
     English ones of good quality are abbreviated; toxic documents are dropped.
     """
-    documents = table(spark, sf_dir, "documents").select(
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    documents = texts.select(
         F.concat_ws("_", "source", F.expr(f"doc_id div {BLOCK}")).alias("pair_id"),
         "doc_id",
         "lang",
