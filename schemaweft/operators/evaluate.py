@@ -26,9 +26,8 @@ def truth_sets(truth: DataFrame) -> DataFrame:
     )
 
 
-def _labelled(all_src: DataFrame, labels: DataFrame | list[str], column: str) -> DataFrame:
-    values = F.array(*[F.lit(x) for x in labels])
-    return all_src.withColumn(column, F.explode(values))
+def _labelled(all_src: DataFrame, labels: list[str], column: str) -> DataFrame:
+    return all_src.withColumn(column, F.explode(F.array(*[F.lit(x) for x in labels])))
 
 
 def outcomes(

@@ -75,18 +75,24 @@ def pair_plans(sized: DataFrame, src_cell: int, tgt_cell: int) -> DataFrame:
     )
 
 
-def with_lots(plans: DataFrame, src_cell: int, tgt_cell: int) -> DataFrame:
+def with_lots(plans: DataFrame, src_cell: int, tgt_cell: int) -> tuple[DataFrame, bool]:
     """Add ``lot``: the pair itself, or the lot that it shares with other narrow pairs.
 
     A pair is narrow if it fits one cell eight times. The number of lots follows from the
-    number of columns in narrow pairs, so a lot stays about one cell large.
+    number of columns in narrow pairs, so a lot stays about one cell large. Also tells
+    whether any pair is wide.
     """
     narrow = (F.col("n_rows") == 1) & (F.col("n_src") * 8 <= src_cell) & (F.col("n_tgt") * 8 <= tgt_cell)
-    size = F.greatest(F.sum("n_src") / src_cell, F.sum("n_tgt") / tgt_cell)
-    needed = plans.filter(narrow).agg(size.alias("cells")).first()["cells"] or 0.0
-    lots = max(1, math.ceil(needed))
+
+    def total(column: str) -> Column:
+        return F.coalesce(F.sum(F.when(narrow, F.col(column))), F.lit(0))
+
+    cells = F.greatest(total("n_src") / src_cell, total("n_tgt") / tgt_cell)
+    whole = plans.agg(cells.alias("cells"), F.coalesce(F.bool_or("wide"), F.lit(False)).alias("wide")).first()
+    lots = max(1, math.ceil(whole["cells"]))
     shared = F.concat(F.lit("lot "), F.pmod(F.xxhash64("pair_id"), F.lit(lots)).cast("string"))
-    return plans.withColumn("lot", F.when(narrow, shared).otherwise(F.concat(F.lit("pair "), "pair_id")))
+    lot = F.when(narrow, shared).otherwise(F.concat(F.lit("pair "), "pair_id"))
+    return plans.withColumn("lot", lot), whole["wide"]
 
 
 def cell_tasks(spark: SparkSession) -> int:
@@ -95,8 +101,9 @@ def cell_tasks(spark: SparkSession) -> int:
     return max(width, 2 * spark.sparkContext.defaultParallelism)
 
 
-def _visits(src: DataFrame, plans: DataFrame, reach: Callable[[Column, Column], Column]) -> DataFrame:
-    """Sources times the chunks of their pair, with the largest score that sizes allow."""
+def _located(src: DataFrame, plans: DataFrame, reach: Callable[[Column, Column], Column]) -> DataFrame:
+    """Sources with their grid row, the largest score that every band allows by its sizes,
+    and the band and chunk that they visit first."""
     size = F.col("size")
 
     def visit(b: Column) -> Column:
@@ -107,16 +114,48 @@ def _visits(src: DataFrame, plans: DataFrame, reach: Callable[[Column, Column],
 
     return (
         src.join(plans, "pair_id")
-        .withColumn("grid_row", F.pmod(F.xxhash64("src_ord"), "n_rows").cast("int"))
-        .withColumn("visits", F.transform("bands", visit))
-        .withColumn("best_band", F.array_max("visits").band)
+        .select(
+            "lot",
+            "pair_id",
+            "src_ord",
+            "src",
+            "low",
+            "wide",
+            F.pmod(F.xxhash64("src_ord"), "n_rows").cast("int").alias("grid_row"),
+            F.transform("bands", visit).alias("visits"),
+        )
+        .withColumn("first", F.array_max("visits"))
+        .withColumn("home_chunk", F.pmod(F.xxhash64("src_ord"), F.col("first.n_chunks")).cast("int"))
+    )
+
+
+def _home_visits(located: DataFrame) -> DataFrame:
+    return located.select(
+        "lot",
+        "grid_row",
+        F.col("first.band").alias("band"),
+        F.col("home_chunk").alias("chunk"),
+        "pair_id",
+        "src_ord",
+        "src",
+        "low",
+        F.lit(0.0).alias("bar"),
+    )
+
+
+def _other_visits(located: DataFrame, bars: DataFrame) -> DataFrame:
+    """All chunks of a wide pair but the home chunk, if they can reach the source's bar."""
+    everywhere = (
+        located.filter("wide")
+        .join(bars, SOURCE_KEY, "left")
+        .withColumn("bar", F.coalesce("bar", F.lit(0.0)))
         .withColumn("visit", F.explode("visits"))
-        .select("*", "visit.*")
-        .withColumn("home_chunk", F.pmod(F.xxhash64("src_ord"), "n_chunks").cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .withColumn("home", (F.col("band") == F.col("best_band")) & (F.col("chunk") == F.col("home_chunk")))
-        .select(*CELL_KEY, "pair_id", "src_ord", "src", "low", "reach", "home", "wide")
+        .filter(F.col("visit.reach") >= F.col("bar"))
+        .withColumn("band", F.col("visit.band"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("visit.n_chunks") - 1)))
     )
+    at_home = (F.col("band") == F.col("first.band")) & (F.col("chunk") == F.col("home_chunk"))
+    return everywhere.filter(~at_home)
 
 
 def _placed(tgt: DataFrame, plans: DataFrame) -> DataFrame:
@@ -196,8 +235,8 @@ def grid_top_k(
     src = sources(catalog).withColumn("low", F.lower("src")).withColumn("size", size)
     tgt = targets(catalog).withColumn("low", F.lower("tgt")).withColumn("size", size)
     sized = catalog.select("pair_id", "side", F.lower("name").alias("low")).select("pair_id", "side", size.alias("size"))
-    plans = with_lots(settle(pair_plans(sized, src_cell, tgt_cell)), src_cell, tgt_cell)
-    visits, placed = _visits(src, plans, reach), _placed(tgt, plans)
+    plans, any_wide = with_lots(settle(pair_plans(sized, src_cell, tgt_cell)), src_cell, tgt_cell)
+    located, placed = _located(src, plans, reach), _placed(tgt, plans)
     cell = _cell_function(scorer, k)
     # Cells are few bytes and much work: sized by bytes they would end in too few tasks.
     n_tasks = cell_tasks(catalog.sparkSession)
@@ -214,15 +253,13 @@ def grid_top_k(
             .applyInPandas(cell, CELL_SCHEMA)
         )
 
-    home = settle(compare(visits.filter("home").withColumn("bar", F.lit(0.0)), placed))
+    columns = PREDICTION_COLUMNS[:-1]
+    home = compare(_home_visits(located), placed).select(*columns)
+    if not any_wide:
+        return ranked(home, k)
+    home = settle(home)
     bars = (
         ranked(home, k).filter(F.col("rank") == k).select(*SOURCE_KEY, F.col("score").alias("bar"))
     )
-    away = (
-        visits.filter(F.col("wide") & ~F.col("home"))
-        .join(bars, SOURCE_KEY, "left")
-        .withColumn("bar", F.coalesce("bar", F.lit(0.0)))
-        .filter(F.col("reach") >= F.col("bar"))
-    )
-    scored = home.unionByName(compare(away, placed.filter("wide")))
-    return ranked(scored.select(*PREDICTION_COLUMNS[:-1]), k)
+    others = compare(_other_visits(located, bars), placed.filter("wide")).select(*columns)
+    return ranked(home.unionByName(others), k)

@@ -1,6 +1,6 @@
 """Set-overlap join inside schema pairs through an inverted index.
 
-Columns carry small element sets (trigrams, word tokens). Two columns of one pair meet
+Columns carry small element sets (word tokens). Two columns of one pair meet
 only at their rarest common element, so a candidate is produced once and frequent
 elements are met only by columns that have nothing rarer in common. Postings of an
 element that many columns share are cut into a grid of cells of bounded size, so no task
