@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweft.llm import chat, fingerprints, languages, mixing, ngram_join, packing, private_data
-from schemaweft.llm.common import positions, settle, word_count
+from schemaweft.llm import chat, fingerprints, languages, line_quality, mixing, ngram_join, packing, private_data, repeats, warc
+from schemaweft.llm.common import positions, settle, shared_folder, word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +116,32 @@ def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_quality.train(docs, table(spark, sf_dir, "labels"))
+    return line_quality.judge(docs, field).drop("boilerplate")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives, indexed, and read back through the index."""
+    root = shared_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), root)
+    warc.write_index(spark, root)
+    return warc.captures(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+g AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS first FROM p)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM g
+"""
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
@@ -130,6 +156,11 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.withColumn("mask", F.array_join(runs, ","))
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 OP10_SQL = """
 WITH n AS (
   SELECT conv_id, role, replace(coalesce(text, ''), '<|', '< |') AS text,
@@ -156,8 +187,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_best_two_fit,
         op4_source_mix,
         op5_private_data,
+        op6_line_quality,
+        op7_warc,
         op8_language,
+        op9_repeated_bytes,
         op10_perspectives,
     )
 }
-ORACLES = {"op4_source_mix": OP4_SQL, "op10_perspectives": OP10_SQL}
+ORACLES = {"op4_source_mix": OP4_SQL, "op7_warc": OP7_SQL, "op10_perspectives": OP10_SQL}
