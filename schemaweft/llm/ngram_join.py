@@ -30,7 +30,7 @@ from schemaweft.llm.shingles import SHINGLE, mix, set_class, shingle_set
 
 PERCENT = 75
 #: Elements of a segment at the upper end of a size band; keys of a bucket, about.
-SEGMENT, KEYS_PER_BUCKET = 2.3, 1_000_000
+SEGMENT, KEYS_PER_BUCKET = 2.3, 400_000
 #: Keys of a batch that so many of its sets share are met there.
 HOT = 24
 #: Classes whose membership is tested map-side before their sets travel.
@@ -107,8 +107,8 @@ def set_keys(elements: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray,
 BLOCK = "bucket int, keys binary, flags binary, classes binary, counts binary, hub bigint"
 
 
-def _blocks(texts: Iterator[pa.RecordBatch], percent: int, seed: int, buckets: int, n: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Packed keys by bucket, and lists of sets that meet at a hot key (bucket -1, with their hub)."""
+def _blocks(texts: Iterator[pa.RecordBatch], percent: int, seed: int, buckets: int, n: int, flush: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Packed keys by bucket, and lists of sets that meet at a hot key (negative buckets, with their hub)."""
     seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     held = 0
     for batch in texts:
@@ -147,7 +147,7 @@ def _packed(seen: dict, buckets: int) -> pa.RecordBatch:
         raw = members.tobytes()
         if raw not in met:
             met.add(raw)
-            rows.append((-1, None, None, raw, None, int(members[0])))
+            rows.append((-1 - len(met) % buckets, None, None, raw, None, int(members[0])))
     keys, flags, owner = keys[keep], flags[keep], owner[keep]
     bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -173,7 +173,13 @@ def _list_names(members: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """The distinct lists of sets that share a key of a bucket."""
+    """The distinct lists of sets that share a key of a bucket, or that met at a hot key."""
+    if table.column("bucket")[0].as_py() < 0:
+        members = [np.frombuffer(x, np.int64) for x in table.column("classes").to_pylist()]
+        sizes = list(map(len, members))
+        every = np.concatenate(members)
+        names = _list_names(every, np.cumsum(sizes) - sizes)
+        return _entries(np.repeat(names, sizes), every, np.repeat(table.column("hub").to_numpy(), sizes))
     column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
     low = column("keys", np.uint8).reshape(-1, 5)
     keys = np.zeros((len(low), 8), np.uint8)
@@ -202,15 +208,6 @@ def _shared(table: pa.Table) -> pa.Table:
     return _entries(np.repeat(names, sizes)[kept], member[kept], None)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of sets that met at a hot key inside a batch."""
-    for batch in batches:
-        for raw, hub in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            members = np.frombuffer(raw, np.int64)
-            name = int(_list_names(members, np.zeros(1, np.int64))[0])
-            yield from _entries([name] * len(members), members, np.full(len(members), hub)).to_batches()
-
-
 def classes(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, class (NULL without words), n_shingles: a row per row of ``docs``, settled."""
 
@@ -233,14 +230,10 @@ def shared_lists(docs: DataFrame, n_elements: int, percent: int = PERCENT, n: in
     for seed in range(SEEDS):
         blocks = docs.select("text").mapInArrow(lambda it, s=seed: _blocks(it, percent, s, buckets, n), BLOCK)
         try:
-            blocks = settle(blocks)
-            break
+            return settle(blocks.groupBy("bucket").applyInArrow(_shared, ENTRY).distinct())
         except PythonException as error:
             if Unallocated.__name__ not in str(error) or seed == SEEDS - 1:
                 raise
-    met = blocks.filter("bucket < 0").select("classes", "hub").mapInArrow(_met, ENTRY)
-    shared = blocks.filter("bucket >= 0").drop("hub").groupBy("bucket").applyInArrow(_shared, ENTRY)
-    return settle(shared.unionByName(met).distinct())
 
 
 def element_sets(docs: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SHINGLE = 5
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
