@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import PythonException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaweft.llm.common import join_small, settle
@@ -55,13 +56,17 @@ def segments(upper: int) -> int:
     return 256 if upper <= 8 else 4 * upper if upper <= 64 else math.ceil(upper / SEGMENT)
 
 
-def allocate(counts: np.ndarray, units: int) -> np.ndarray:
-    """Units (0, 1, 2) by segment, ``units`` in all, at least cost."""
+def allocate(counts: np.ndarray, rare: np.ndarray, units: int) -> np.ndarray:
+    """Units (0, 1, 2) by segment, ``units`` in all, at least cost.
+
+    ``rare`` is how many elements of a segment are not known to be common: keys of common
+    elements alone are met by many.
+    """
     able = np.flatnonzero(counts >= 3)
     if len(counts) + len(able) < units:
         raise Unallocated(f"{units} units for {len(counts)} segments")
-    first = RARITY**counts
-    second = (counts[able] + 1) * RARITY ** (counts[able] - 1)
+    first = RARITY**rare
+    second = (rare[able] + 1) * RARITY ** (rare[able] - 1)
     cheap = np.argsort(np.concatenate([first, second]), kind="stable")[:units]
     given = np.zeros(len(counts), np.int64)
     given[cheap[cheap < len(counts)]] += 1
@@ -69,7 +74,7 @@ def allocate(counts: np.ndarray, units: int) -> np.ndarray:
     return given
 
 
-def band_keys(elements: np.ndarray, upper: int, units: int, own: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(elements: np.ndarray, common: np.ndarray, upper: int, units: int, own: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, flags) of a set in the segmentation of a band.
 
     In its own band a set shows all its segments; in the one below it only asks. Segments are
@@ -79,7 +84,8 @@ def band_keys(elements: np.ndarray, upper: int, units: int, own: bool, seed: int
     place = ((elements >> np.uint64(32)) * np.uint64(segments(upper))) >> np.uint64(32)
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     counts = np.diff(np.append(starts, len(elements)))
-    given = allocate(counts.astype(np.float64), units)
+    rare = np.add.reduceat((~common).astype(np.float64), starts)
+    given = allocate(counts, rare, units)
     salted = mix(elements + np.uint64(seed * 2 + 1))
     sums = np.add.reduceat(salted, starts)
     at = mix(place[starts] * np.uint64(0x9E3779B1) + np.uint64(upper))
@@ -92,38 +98,79 @@ def band_keys(elements: np.ndarray, upper: int, units: int, own: bool, seed: int
     return keys, np.concatenate([flags[shown], shorter[segment[left]]]).astype(np.uint8)
 
 
-def set_keys(elements: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def set_keys(elements: np.ndarray, common: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and flags of a set in all bands where a partner no longer than it may be."""
     n = len(elements)
     if seed:
-        elements = np.sort(mix(elements ^ mix(np.full(1, seed, np.uint64))))
+        elements = mix(elements ^ mix(np.full(1, seed, np.uint64)))
+        order = np.argsort(elements)
+        elements, common = elements[order], common[order]
     upper = 1 << n.bit_length()
-    found = [band_keys(elements, upper, differ(n, n, percent) + 1, True, seed)]
+    found = [band_keys(elements, common, upper, differ(n, n, percent) + 1, True, seed)]
     while (upper := upper // 2) > 1 and 100 * (upper - 1) >= percent * n:
-        found.append(band_keys(elements, upper, differ(n, upper - 1, percent) + 1, False, seed))
+        found.append(band_keys(elements, common, upper, differ(n, upper - 1, percent) + 1, False, seed))
     return np.concatenate([k for k, _ in found]), np.concatenate([f for _, f in found])
 
 
 BLOCK = "bucket int, keys binary, flags binary, classes binary, counts binary, hub bigint"
+#: Elements of the sets among which common ones are told, and in how many sets those are.
+HELD, COMMON = 2_500_000, 3
 
 
-def _blocks(texts: Iterator[pa.RecordBatch], percent: int, seed: int, buckets: int, n: int, flush: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Packed keys by bucket, and lists of sets that meet at a hot key (negative buckets, with their hub)."""
-    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _blocks(rows: Iterator[pa.RecordBatch], percent: int, seed: int, buckets: int, n: int) -> Iterator[pa.RecordBatch]:
+    """Packed keys by bucket; in negative buckets the rows themselves, packed, and lists of sets
+    that meet at a hot key (with their hub)."""
+    sets: dict[int, np.ndarray] = {}
     held = 0
-    for batch in texts:
-        for text in batch.column(0):
+    for batch in rows:
+        names, sizes = [], []
+        for text in batch.column(2):
             elements = shingle_set(text.as_py(), n)
             name = set_class(elements)
-            if name is None or name in seen:
-                continue
-            seen[name] = set_keys(elements, percent, seed)
-            held += len(seen[name][0])
-            if held >= flush:
-                yield _packed(seen, buckets)
-                seen, held = {}, 0
-    if seen:
-        yield _packed(seen, buckets)
+            names.append(name)
+            sizes.append(len(elements))
+            if name is not None and name not in sets:
+                sets[name] = elements
+                held += len(elements)
+        yield _rows_packed(batch.column(0), batch.column(1), names, sizes, buckets)
+        if held >= HELD:
+            yield from _keyed(sets, percent, seed, buckets)
+            sets, held = {}, 0
+    yield from _keyed(sets, percent, seed, buckets)
+
+
+def _keyed(sets: dict[int, np.ndarray], percent: int, seed: int, buckets: int, flush: int = 400_000) -> Iterator[pa.RecordBatch]:
+    if not sets:
+        return
+    values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    common = np.append(values[counts >= COMMON], np.iinfo(np.uint64).max)
+    del values, counts
+    made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    held = 0
+    for name, elements in sets.items():
+        made[name] = set_keys(elements, common[np.searchsorted(common, elements)] == elements, percent, seed)
+        held += len(made[name][0])
+        if held >= flush:
+            yield _packed(made, buckets)
+            made, held = {}, 0
+    if made:
+        yield _packed(made, buckets)
+
+
+def _block(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "flags", "classes", "counts", "hub"])
+
+
+def _rows_packed(ids: pa.Array, hashes: pa.Array, names: list, sizes: list, buckets: int) -> pa.RecordBatch:
+    """The rows of a batch as one: ids, text hashes, classes, sizes; NULLs are kept in a bit each."""
+    no_id = np.array(ids.is_null())
+    raw = [ids.fill_null(0).to_numpy(), hashes.to_numpy(), np.array([x or 0 for x in names], np.int64)]
+    state = no_id.astype(np.uint8) | (np.array([x is None for x in names], bool).astype(np.uint8) << 1)
+    counts = np.array(sizes, "<u4")
+    bucket = -1 - int(raw[1].view(np.uint64).sum() % np.uint64(buckets)) if len(names) else -1
+    return _block([(bucket, np.concatenate(raw[:2]).tobytes(), state.tobytes(), raw[2].tobytes(), counts.tobytes(), None)])
 
 
 def _packed(seen: dict, buckets: int) -> pa.RecordBatch:
@@ -156,31 +203,53 @@ def _packed(seen: dict, buckets: int) -> pa.RecordBatch:
         first = np.flatnonzero(np.append(True, np.diff(owner[here]) != 0))
         counts = np.diff(np.append(first, len(here))).astype("<u4")
         rows.append((int(bucket[here[0]]), low.tobytes(), flags[here].tobytes(), classes[owner[here[first]]].tobytes(), counts.tobytes(), None))
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "keys", "flags", "classes", "counts", "hub"])
+    return _block(rows)
+
+
+ENTRY = "list bigint, class bigint, asks boolean, hub bigint, doc_id bigint, text_hash bigint, n bigint"
 
 
-ENTRY = "list bigint, class bigint, hub bigint"
+def _entries(lists: list, members: np.ndarray, asks: np.ndarray, hubs: np.ndarray | None = None) -> pa.Table:
+    """Rows of lists: who is in which, and whether it asks for partners no longer than it."""
+    none = pa.nulls(len(members), pa.int64())
+    hub = none if hubs is None else pa.array(hubs, pa.int64())
+    whole = {"list": pa.array(lists, pa.int64()), "class": pa.array(members, pa.int64()), "asks": pa.array(asks, pa.bool_()), "hub": hub}
+    return pa.table(whole | {k: none for k in ("doc_id", "text_hash", "n")})
 
 
-def _entries(lists: list, members: np.ndarray, hubs: np.ndarray | None) -> pa.Table:
-    hub = pa.nulls(len(members), pa.int64()) if hubs is None else pa.array(hubs, pa.int64())
-    return pa.table({"list": pa.array(lists, pa.int64()), "class": pa.array(members, pa.int64()), "hub": hub})
+def _documents(table: pa.Table) -> pa.Table:
+    """The rows that came along, packed, as rows without a list."""
+    parts = []
+    for keys, state, classes, counts in zip(*(table.column(n).to_pylist() for n in ("keys", "flags", "classes", "counts"))):
+        state = np.frombuffer(state, np.uint8)
+        ids, hashes = np.frombuffer(keys, np.int64).reshape(2, -1)
+        parts.append((ids, state & 1, hashes, np.frombuffer(classes, np.int64), state & 2, np.frombuffer(counts, "<u4")))
+    ids, no_id, hashes, names, no_name, sizes = (np.concatenate(x) for x in zip(*parts))
+    none = pa.nulls(len(ids), pa.int64())
+    name, doc = pa.array(names, pa.int64(), mask=no_name > 0), pa.array(ids, pa.int64(), mask=no_id > 0)
+    return pa.table({"list": none, "class": name, "asks": pa.nulls(len(ids), pa.bool_()), "hub": none, "doc_id": doc, "text_hash": pa.array(hashes), "n": pa.array(sizes, pa.int64())})
 
 
 def _list_names(members: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(members.view(np.uint64)), starts)).view(np.int64)
 
 
+def _met(table: pa.Table) -> pa.Table:
+    """Lists of sets that met at a hot key inside a batch."""
+    members = [np.frombuffer(x, np.int64) for x in table.column("classes").to_pylist()]
+    sizes = list(map(len, members))
+    every = np.concatenate(members)
+    names = _list_names(every, np.cumsum(sizes) - sizes)
+    return _entries(np.repeat(names, sizes), every, np.ones(len(every), bool), np.repeat(table.column("hub").to_numpy(), sizes))
+
+
 def _shared(table: pa.Table) -> pa.Table:
-    """The distinct lists of sets that share a key of a bucket, or that met at a hot key."""
-    if table.column("bucket")[0].as_py() < 0:
-        members = [np.frombuffer(x, np.int64) for x in table.column("classes").to_pylist()]
-        sizes = list(map(len, members))
-        every = np.concatenate(members)
-        names = _list_names(every, np.cumsum(sizes) - sizes)
-        return _entries(np.repeat(names, sizes), every, np.repeat(table.column("hub").to_numpy(), sizes))
+    """The distinct lists of sets that share a key of a bucket, or that met at a hot key; rows."""
     column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+    if table.column("bucket")[0].as_py() < 0:
+        of_rows = table.column("hub").is_null()
+        parts = [f(t) for f, t in ((_documents, table.filter(of_rows)), (_met, table.filter(pc.invert(of_rows)))) if len(t)]
+        return pa.concat_tables(parts)
     low = column("keys", np.uint8).reshape(-1, 5)
     keys = np.zeros((len(low), 8), np.uint8)
     keys[:, :5] = low
@@ -194,81 +263,111 @@ def _shared(table: pa.Table) -> pa.Table:
     several = np.minimum.reduceat(member, starts) < np.maximum.reduceat(member, starts)
     asked = ((every & IS > 0) & (every & WANTS > 0)) | ((every & IS_SHORTENED > 0) & (every & WANTS_LONGER > 0))
     kept = np.repeat(several & asked, np.diff(np.append(starts, len(keys))))
-    keys, member = keys[kept], member[kept]
+    keys, member, flags = keys[kept], member[kept], flags[kept]
     if not len(keys):
-        return _entries([], np.zeros(0, np.int64), None)
-    once = np.append(True, (keys[1:] != keys[:-1]) | (member[1:] != member[:-1]))
+        return _entries([], np.zeros(0, np.int64), np.zeros(0, bool))
+    once = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (member[1:] != member[:-1])))
+    asks = np.bitwise_or.reduceat(flags, once) & (WANTS | WANTS_LONGER) > 0
     keys, member = keys[once], member[once]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    names = _list_names(member, starts)
+    names = _list_names(np.where(asks, ~member, member), starts)
     sizes = np.diff(np.append(starts, len(keys)))
     first = np.zeros(len(starts), bool)
     first[np.unique(names, return_index=True)[1]] = True
     kept = np.repeat(first, sizes)
-    return _entries(np.repeat(names, sizes)[kept], member[kept], None)
-
+    return _entries(np.repeat(names, sizes)[kept], member[kept], asks[kept])
 
-def classes(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, class (NULL without words), n_shingles: a row per row of ``docs``, settled."""
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), n) for t in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.array(map(set_class, sets), pa.int64()), pa.array(map(len, sets), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "class", "n_shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), "text")
-    return settle(rows.mapInArrow(named, "doc_id bigint, text_hash bigint, class bigint, n_shingles bigint"))
 
+def classes_and_lists(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Two settled tables, from one pass over the texts.
 
-def shared_lists(docs: DataFrame, n_elements: int, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """list, class, hub: sets that share a key they may be similar by, settled.
-
-    ``hub`` is set in lists met inside a batch: outside it, the hub alone stood for them.
+    doc_id, text_hash, class (NULL without words), n_shingles: a row per row of ``docs``.
+    list, class, asks, hub: sets that share a key they may be similar by; one that asks, and
+    others no longer than it, may be partners. ``hub`` is set in lists met
+    inside a batch: outside it, the hub alone stood for them.
     """
-    buckets = max(1, math.ceil(n_elements / KEYS_PER_BUCKET))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
+    # About a key for each seven characters.
+    buckets = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / 7 / KEYS_PER_BUCKET))
     for seed in range(SEEDS):
-        blocks = docs.select("text").mapInArrow(lambda it, s=seed: _blocks(it, percent, s, buckets, n), BLOCK)
+        blocks = rows.mapInArrow(lambda it, s=seed: _blocks(it, percent, s, buckets, n), BLOCK)
         try:
-            return settle(blocks.groupBy("bucket").applyInArrow(_shared, ENTRY).distinct())
+            found = settle(blocks.groupBy("bucket").applyInArrow(_shared, ENTRY))
+            break
         except PythonException as error:
             if Unallocated.__name__ not in str(error) or seed == SEEDS - 1:
                 raise
+    named = found.filter("list is null").select("doc_id", "text_hash", "class", F.col("n").alias("n_shingles"))
+    return named, settle(found.filter("list is not null").select("list", "class", "asks", "hub").distinct())
 
 
-def element_sets(docs: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """class, elements (array<bigint>) of the sets named in ``wanted`` (class), settled."""
-    few = wanted.count() <= MAX_BROADCAST
-    names = np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+def parity(elements: np.ndarray) -> np.ndarray:
+    """A power of two of bits, at least one an element: whether an odd number of elements falls on each.
+
+    Sets that differ in d elements differ in at most d bits. Folding the halves on each other
+    gives the bits of half the number.
+    """
+    width = max(64, 1 << (len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    """Number of differing bits of two parities, the longer one folded once."""
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+
+    def folded(x: str, y: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return apart(F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q)), F.col(y))
+
+    return F.when(F.size(a) == F.size(b), apart(F.col(a), F.col(b))).when(F.size(a) == 2 * F.size(b), folded(a, b)).when(F.size(b) == 2 * F.size(a), folded(b, a)).otherwise(0)
+
+
+def element_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """class, bits, elements (array<bigint>) of the sets named in ``wanted`` (class), settled.
+
+    One text of each class is read again, found by its hash.
+    """
+    texts = named.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("text_hash").alias("h")).select("h").distinct()
+    texts = settle(texts)
+    few = texts.count() <= MAX_BROADCAST
+    hashes = np.sort(np.array([r[0] for r in texts.collect()], np.int64)) if few else None
+    shared = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
+            if known is not None and batch.num_rows:
+                h = batch.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                batch = batch.filter(pa.array(known[at] == h if len(known) else np.zeros(len(h), bool)))
             out: dict[int, np.ndarray] = {}
-            for text in batch.column(0):
+            for text in batch.column(1):
                 elements = shingle_set(text.as_py(), n)
                 name = set_class(elements)
-                if name is None or name in out:
-                    continue
-                if known is not None:
-                    at = np.searchsorted(known, name)
-                    if at == len(known) or known[at] != name:
-                        continue
-                out[name] = elements
-            arrays = pa.array([e.view(np.int64) for e in out.values()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), arrays], names=["class", "elements"])
-
-    sets = docs.select("text").mapInArrow(made, "class bigint, elements array<bigint>")
-    if not few:
-        sets = sets.join(wanted, "class", "left_semi")
-    return settle(sets.groupBy("class").agg(F.first("elements").alias("elements")))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """The pairs (u, v) of classes that are similar, checked on their whole sets, settled."""
+                if name is not None:
+                    out[name] = elements
+            many = pa.list_(pa.int64())
+            bits, whole = pa.array(map(parity, out.values()), many), pa.array([e.view(np.int64) for e in out.values()], many)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), bits, whole], names=["class", "bits", "elements"])
+
+    rows = docs.select(F.xxhash64("text").alias("h"), "text")
+    rows = rows if few else rows.join(texts, "h", "left_semi")
+    sets = rows.mapInArrow(made, "class bigint, bits array<bigint>, elements array<bigint>")
+    return settle(sets.groupBy("class").agg(F.first("bits").alias("bits"), F.first("elements").alias("elements")))
+
+
+def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
+    """The pairs (u, v) of classes that are similar, checked on their whole sets, settled.
+
+    Sets whose parities differ in too many bits are told apart before whole sets travel.
+    """
     ends = settle(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct())
-    sets = element_sets(docs, ends, n)
+    sets = element_sets(docs, named, ends, n)
+    bits = lambda end: sets.select(F.col("class").alias(end), F.col("bits").alias(f"bits_{end}"), F.size("elements").alias(f"n_{end}"))
+    most = F.floor((100 - percent) * (F.col("n_u") + F.col("n_v")) / (100 + percent))
+    near = pairs.join(bits("v"), "v").join(bits("u"), "u").filter(_bits_apart("bits_u", "bits_v") <= most)
+    pairs = settle(near.select("u", "v"))
     one = sets.select(F.col("class").alias("v"), F.col("elements").alias("b"))
     other = sets.select(F.col("class").alias("u"), F.col("elements").alias("a"))
     both = F.size(F.array_intersect("a", "b"))
@@ -276,19 +375,19 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, n: int =
     return settle(met.filter(100 * F.col("both") >= percent * F.col("either")).select("u", "v"))
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow similarity."""
+def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int, no_longer: bool = False) -> DataFrame:
+    """Pairs whose sizes allow similarity; on request only those whose v is no longer than u."""
     of = lambda end: sizes.select(F.col("class").alias(end), F.col("n").alias(f"n_{end}"))
     sized = pairs.join(of("u"), "u").join(of("v"), "v")
     fits = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    return sized.filter(fits).select("u", "v")
+    return sized.filter(fits & (F.col("n_v") <= F.col("n_u")) if no_longer else fits).select("u", "v")
 
 
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def link_components(docs: DataFrame, named: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
+def link_components(docs: DataFrame, named: DataFrame, lists: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """class, component (the least class reachable): the classes with a link, settled.
 
     First every set of a list is checked against the list's least set. Then, in lists that
@@ -296,30 +395,31 @@ def link_components(docs: DataFrame, named: DataFrame, percent: int = PERCENT, n
     """
     known = named.filter(F.col("class").isNotNull())
     sizes = settle(known.groupBy("class").agg(F.first("n_shingles").alias("n")))
-    n_elements = sizes.agg(F.sum("n")).first()[0] or 0
-    lists = shared_lists(docs, n_elements, percent, n)
     hubs = lists.groupBy("list").agg(F.min("class").alias("least"))
     stars = lists.join(hubs, "list").filter("class <> least").select(*_pair("class", "least")).distinct()
     stars = settle(_fitting(stars, sizes, percent))
-    links = verified(docs, stars, percent, n)
+    links = verified(docs, named, stars, percent, n)
     first = settle(components(links))
     at = F.coalesce("component", "class").alias("component")
-    placed = lists.join(first.withColumnRenamed("node", "class"), "class", "left").select("list", "class", "hub", at)
+    placed = lists.join(first.withColumnRenamed("node", "class"), "class", "left").select("list", "class", "asks", "hub", at)
     placed = settle(placed)
     # A hub stands for all sets that it met in a batch, in whatever lists it is.
     stood = placed.filter("hub is not null").select(F.col("hub").alias("seat"), F.col("class").alias("member"), F.col("component").alias("c")).distinct()
     stood = settle(stood)
     reach = stood.groupBy("seat").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high"))
-    seats = placed.select("list", F.col("class").alias("seat"), "component").distinct().join(reach, "seat", "left")
+    seats = placed.select("list", F.col("class").alias("seat"), "asks", "component").distinct().join(reach, "seat", "left")
     low, high = F.least(F.min("component"), F.min("c_low")), F.greatest(F.max("component"), F.max("c_high"))
     spans = settle(seats.groupBy("list").agg(low.alias("low"), high.alias("high")).filter("low < high").select("list"))
     split = seats.join(spans, "list", "left_semi")
-    guests = split.filter("c_low is not null").select("list", "seat").join(stood, "seat").select("list", F.col("member").alias("class"), F.col("c").alias("component"))
-    across = settle(split.select("list", F.col("seat").alias("class"), "component").unionByName(guests).distinct())
-    left, right = (across.select("list", F.col("class").alias(f"class_{x}"), F.col("component").alias(f"component_{x}")) for x in "lr")
-    crossing = left.join(right, "list").filter("component_l < component_r").select(*_pair("class_l", "class_r")).distinct()
-    crossing = settle(_fitting(crossing, sizes, percent).join(stars, ["u", "v"], "left_anti"))
-    more = verified(docs, crossing, percent, n)
+    guests = split.filter("c_low is not null").select("list", "seat").join(stood, "seat")
+    guests = guests.select("list", F.col("member").alias("class"), F.lit(True).alias("asks"), F.col("c").alias("component"))
+    across = settle(split.select("list", F.col("seat").alias("class"), "asks", "component").unionByName(guests).distinct())
+    ask = across.filter("asks").select("list", F.col("class").alias("u"), F.col("component").alias("c_u"))
+    answer = across.select("list", F.col("class").alias("v"), F.col("component").alias("c_v"))
+    crossing = ask.join(answer, "list").filter("c_u <> c_v").select("u", "v").distinct()
+    crossing = _fitting(crossing, sizes, percent, True).select(*_pair("u", "v")).distinct()
+    crossing = settle(crossing.join(stars, ["u", "v"], "left_anti"))
+    more = verified(docs, named, crossing, percent, n)
     return settle(components(links.unionByName(more)).withColumnRenamed("node", "class"))
 
 
@@ -331,8 +431,8 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE)
     an empty set and stand alone under their own id, NULL or not. A component of NULL ids only
     has the id NULL. Repeated rows come out repeated; other columns are ignored.
     """
-    named = classes(docs, n)
-    linked = link_components(docs, named, percent, n)
+    named, lists = classes_and_lists(docs, percent, n)
+    linked = link_components(docs, named, lists, percent, n)
     ids = named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     joined = settle(ids.join(linked, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")))
     of_component = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -348,39 +448,12 @@ def similar_pairs(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) ->
     Pairs of a list are paired out here, so the result of a group of mutually similar sets
     grows with its square; ``similar_documents`` needs no such thing.
     """
-    known = classes(docs, n).filter(F.col("class").isNotNull())
-    sizes = settle(known.groupBy("class").agg(F.first("n_shingles").alias("n")))
-    lists = shared_lists(docs, sizes.agg(F.sum("n")).first()[0] or 0, percent, n)
+    named, lists = classes_and_lists(docs, percent, n)
+    sizes = settle(named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.first("n_shingles").alias("n")))
     stood = lists.filter("hub is not null").select("hub", F.col("class").alias("member"))
     seats = lists.select("list", F.col("class").alias("seat"))
-    guests = seats.join(stood, F.col("seat") == F.col("hub")).select("list", F.col("member").alias("class"))
-    every = settle(lists.select("list", "class").unionByName(guests).distinct())
-    left, right = (every.select("list", F.col("class").alias(f"class_{x}")) for x in "lr")
-    pairs = left.join(right, "list").filter("class_l < class_r").select(*_pair("class_l", "class_r")).distinct()
-    return verified(docs, settle(_fitting(pairs, sizes, percent)), percent, n)
-
-
-def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """``docs`` without all but one document of every component: the one of the least doc_id.
-
-    Without ids, and of several texts under one id, the least text hash stays; of repeated
-    rows one does. Documents without words all stay. Texts are not shuffled while the list of
-    what goes is small.
-    """
-    found = settle(similar_documents(docs, percent, n).filter("class is not null"))
-    ids = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    stays = found.groupBy(F.coalesce("component_id", "class").alias("g"), F.col("component_id").isNull().alias("anonymous")).agg(F.min(ids).alias("first"))
-    member = found.select(F.coalesce("component_id", "class").alias("g"), F.col("component_id").isNull().alias("anonymous"), "doc_id", "text_hash")
-    counted = member.groupBy("g", "anonymous", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    marked = counted.join(stays, ["g", "anonymous"]).select(
-        F.col("doc_id").alias("_id"),
-        F.col("text_hash").alias("_hash"),
-        "copies",
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("first"),
-    )
-    goes = settle(marked.filter("not first").select("_id", "_hash"))
-    twice = settle(marked.filter("first and copies > 1").select("_id", "_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    kept = join_small(docs, goes, same, "left_anti")
-    once = join_small(kept, twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return join_small(kept, twice, same, "left_anti").unionByName(once)
+    guests = seats.join(stood, F.col("seat") == F.col("hub")).select("list", F.col("member").alias("class"), F.lit(True).alias("asks"))
+    every = settle(lists.select("list", "class", "asks").unionByName(guests).distinct())
+    ask, answer = every.filter("asks").select("list", F.col("class").alias("u")), every.select("list", F.col("class").alias("v"))
+    pairs = _fitting(ask.join(answer, "list").filter("u <> v").select("u", "v").distinct(), sizes, percent, True)
+    return verified(docs, named, settle(pairs.select(*_pair("u", "v")).distinct()), percent, n)
