@@ -123,16 +123,18 @@ def _blocks(rows: Iterator[pa.RecordBatch], percent: int, seed: int, buckets: in
     sets: dict[int, np.ndarray] = {}
     held = 0
     for batch in rows:
-        names, sizes = [], []
+        names, sizes, bits = [], [], []
         for text in batch.column(2):
             elements = shingle_set(text.as_py(), n)
             name = set_class(elements)
             names.append(name)
             sizes.append(len(elements))
+            bits.append(parity(elements))
             if name is not None and name not in sets:
                 sets[name] = elements
                 held += len(elements)
-        yield _rows_packed(batch.column(0), batch.column(1), names, sizes, buckets)
+        if names:
+            yield _rows_packed(batch.column(0), batch.column(1), names, sizes, bits, buckets)
         if held >= HELD:
             yield from _keyed(sets, percent, seed, buckets)
             sets, held = {}, 0
@@ -163,14 +165,14 @@ def _block(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "flags", "classes", "counts", "hub"])
 
 
-def _rows_packed(ids: pa.Array, hashes: pa.Array, names: list, sizes: list, buckets: int) -> pa.RecordBatch:
-    """The rows of a batch as one: ids, text hashes, classes, sizes; NULLs are kept in a bit each."""
+def _rows_packed(ids: pa.Array, hashes: pa.Array, names: list, sizes: list, bits: list, buckets: int) -> pa.RecordBatch:
+    """The rows of a batch as one: ids, text hashes, parities, classes, sizes; NULLs are kept in a bit each."""
     no_id = np.array(ids.is_null())
     raw = [ids.fill_null(0).to_numpy(), hashes.to_numpy(), np.array([x or 0 for x in names], np.int64)]
     state = no_id.astype(np.uint8) | (np.array([x is None for x in names], bool).astype(np.uint8) << 1)
     counts = np.array(sizes, "<u4")
-    bucket = -1 - int(raw[1].view(np.uint64).sum() % np.uint64(buckets)) if len(names) else -1
-    return _block([(bucket, np.concatenate(raw[:2]).tobytes(), state.tobytes(), raw[2].tobytes(), counts.tobytes(), None)])
+    bucket = -1 - int(raw[1].view(np.uint64).sum() % np.uint64(buckets))
+    return _block([(bucket, np.concatenate([*raw[:2], *bits]).tobytes(), state.tobytes(), raw[2].tobytes(), counts.tobytes(), None)])
 
 
 def _packed(seen: dict, buckets: int) -> pa.RecordBatch:
@@ -206,7 +208,7 @@ def _packed(seen: dict, buckets: int) -> pa.RecordBatch:
     return _block(rows)
 
 
-ENTRY = "list bigint, class bigint, asks boolean, hub bigint, doc_id bigint, text_hash bigint, n bigint"
+ENTRY = "list bigint, class bigint, asks boolean, hub bigint, doc_id bigint, text_hash bigint, n bigint, bits array<bigint>"
 
 
 def _entries(lists: list, members: np.ndarray, asks: np.ndarray, hubs: np.ndarray | None = None) -> pa.Table:
@@ -214,7 +216,7 @@ def _entries(lists: list, members: np.ndarray, asks: np.ndarray, hubs: np.ndarra
     none = pa.nulls(len(members), pa.int64())
     hub = none if hubs is None else pa.array(hubs, pa.int64())
     whole = {"list": pa.array(lists, pa.int64()), "class": pa.array(members, pa.int64()), "asks": pa.array(asks, pa.bool_()), "hub": hub}
-    return pa.table(whole | {k: none for k in ("doc_id", "text_hash", "n")})
+    return pa.table(whole | {k: none for k in ("doc_id", "text_hash", "n")} | {"bits": pa.nulls(len(members), pa.list_(pa.int64()))})
 
 
 def _documents(table: pa.Table) -> pa.Table:
@@ -222,12 +224,14 @@ def _documents(table: pa.Table) -> pa.Table:
     parts = []
     for keys, state, classes, counts in zip(*(table.column(n).to_pylist() for n in ("keys", "flags", "classes", "counts"))):
         state = np.frombuffer(state, np.uint8)
-        ids, hashes = np.frombuffer(keys, np.int64).reshape(2, -1)
-        parts.append((ids, state & 1, hashes, np.frombuffer(classes, np.int64), state & 2, np.frombuffer(counts, "<u4")))
-    ids, no_id, hashes, names, no_name, sizes = (np.concatenate(x) for x in zip(*parts))
+        ids, hashes, bits = np.split(np.frombuffer(keys, np.int64), [len(state), 2 * len(state)])
+        parts.append((ids, state & 1, hashes, np.frombuffer(classes, np.int64), state & 2, np.frombuffer(counts, "<u4"), bits))
+    ids, no_id, hashes, names, no_name, sizes, bits = (np.concatenate(x) for x in zip(*parts))
+    ends = np.cumsum([parity_bits(n) // 64 for n in sizes.tolist()])
+    bits = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(bits, pa.int64()))
     none = pa.nulls(len(ids), pa.int64())
     name, doc = pa.array(names, pa.int64(), mask=no_name > 0), pa.array(ids, pa.int64(), mask=no_id > 0)
-    return pa.table({"list": none, "class": name, "asks": pa.nulls(len(ids), pa.bool_()), "hub": none, "doc_id": doc, "text_hash": pa.array(hashes), "n": pa.array(sizes, pa.int64())})
+    return pa.table({"list": none, "class": name, "asks": pa.nulls(len(ids), pa.bool_()), "hub": none, "doc_id": doc, "text_hash": pa.array(hashes), "n": pa.array(sizes, pa.int64()), "bits": bits})
 
 
 def _list_names(members: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -281,7 +285,7 @@ def _shared(table: pa.Table) -> pa.Table:
 def classes_and_lists(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Two settled tables, from one pass over the texts.
 
-    doc_id, text_hash, class (NULL without words), n_shingles: a row per row of ``docs``.
+    doc_id, text_hash, class (NULL without words), n_shingles, bits: a row per row of ``docs``.
     list, class, asks, hub: sets that share a key they may be similar by; one that asks, and
     others no longer than it, may be partners. ``hub`` is set in lists met
     inside a batch: outside it, the hub alone stood for them.
@@ -297,17 +301,21 @@ def classes_and_lists(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE)
         except PythonException as error:
             if Unallocated.__name__ not in str(error) or seed == SEEDS - 1:
                 raise
-    named = found.filter("list is null").select("doc_id", "text_hash", "class", F.col("n").alias("n_shingles"))
+    named = found.filter("list is null").select("doc_id", "text_hash", "class", F.col("n").alias("n_shingles"), "bits")
     return named, settle(found.filter("list is not null").select("list", "class", "asks", "hub").distinct())
 
 
+def parity_bits(n: int) -> int:
+    return max(64, 1 << max(0, n - 1).bit_length())
+
+
 def parity(elements: np.ndarray) -> np.ndarray:
     """A power of two of bits, at least one an element: whether an odd number of elements falls on each.
 
     Sets that differ in d elements differ in at most d bits. Folding the halves on each other
     gives the bits of half the number.
     """
-    width = max(64, 1 << (len(elements) - 1).bit_length())
+    width = parity_bits(len(elements))
     odd = np.bincount((elements & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -324,7 +332,7 @@ def _bits_apart(a: str, b: str) -> Column:
 
 
 def element_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """class, bits, elements (array<bigint>) of the sets named in ``wanted`` (class), settled.
+    """class, elements (array<bigint>) of the sets named in ``wanted`` (class), settled.
 
     One text of each class is read again, found by its hash.
     """
@@ -347,27 +355,19 @@ def element_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int =
                 name = set_class(elements)
                 if name is not None:
                     out[name] = elements
-            many = pa.list_(pa.int64())
-            bits, whole = pa.array(map(parity, out.values()), many), pa.array([e.view(np.int64) for e in out.values()], many)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), bits, whole], names=["class", "bits", "elements"])
+            whole = pa.array([e.view(np.int64) for e in out.values()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), whole], names=["class", "elements"])
 
     rows = docs.select(F.xxhash64("text").alias("h"), "text")
     rows = rows if few else rows.join(texts, "h", "left_semi")
-    sets = rows.mapInArrow(made, "class bigint, bits array<bigint>, elements array<bigint>")
-    return settle(sets.groupBy("class").agg(F.first("bits").alias("bits"), F.first("elements").alias("elements")))
+    sets = rows.mapInArrow(made, "class bigint, elements array<bigint>")
+    return settle(sets.groupBy("class").agg(F.first("elements").alias("elements")))
 
 
 def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """The pairs (u, v) of classes that are similar, checked on their whole sets, settled.
-
-    Sets whose parities differ in too many bits are told apart before whole sets travel.
-    """
+    """The pairs (u, v) of classes that are similar, checked on their whole sets, settled."""
     ends = settle(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct())
     sets = element_sets(docs, named, ends, n)
-    bits = lambda end: sets.select(F.col("class").alias(end), F.col("bits").alias(f"bits_{end}"), F.size("elements").alias(f"n_{end}"))
-    most = F.floor((100 - percent) * (F.col("n_u") + F.col("n_v")) / (100 + percent))
-    near = pairs.join(bits("v"), "v").join(bits("u"), "u").filter(_bits_apart("bits_u", "bits_v") <= most)
-    pairs = settle(near.select("u", "v"))
     one = sets.select(F.col("class").alias("v"), F.col("elements").alias("b"))
     other = sets.select(F.col("class").alias("u"), F.col("elements").alias("a"))
     both = F.size(F.array_intersect("a", "b"))
@@ -375,12 +375,35 @@ def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, percent: int =
     return settle(met.filter(100 * F.col("both") >= percent * F.col("either")).select("u", "v"))
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int, no_longer: bool = False) -> DataFrame:
-    """Pairs whose sizes allow similarity; on request only those whose v is no longer than u."""
-    of = lambda end: sizes.select(F.col("class").alias(end), F.col("n").alias(f"n_{end}"))
-    sized = pairs.join(of("u"), "u").join(of("v"), "v")
+def _of_classes(named: DataFrame) -> DataFrame:
+    """class, n, bits, settled."""
+    known = named.filter(F.col("class").isNotNull())
+    return settle(known.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+
+
+def _may_be(percent: int) -> Column:
+    """Whether sizes (n_u, n_v) and parities (bits_u, bits_v) allow similarity."""
     fits = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    return sized.filter(fits & (F.col("n_v") <= F.col("n_u")) if no_longer else fits).select("u", "v")
+    most = F.floor((100 - percent) * (F.col("n_u") + F.col("n_v")) / (100 + percent))
+    return fits & (_bits_apart("bits_u", "bits_v") <= most)
+
+
+def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be similar."""
+    of = lambda end: sizes.select(*(F.col(c).alias(a) for c, a in (("class", end), ("n", f"n_{end}"), ("bits", f"bits_{end}"))))
+    return pairs.join(of("u"), "u").join(of("v"), "v").filter(_may_be(percent)).select("u", "v")
+
+
+def _asked(every: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """u, v of ``every`` (list, class, asks, component) that may be similar: an asker, and an
+    answer no longer than it of another component. What tells them apart is in the join's own
+    condition, so that only pairs worth a check come out of it."""
+    known = every.join(sizes, "class")
+    end = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("class", "component", "n", "bits")]
+    ask, answer = known.filter("asks").select(F.col("list").alias("l"), *end("u")), known.select("list", *end("v"))
+    apart = (F.col("component_u") != F.col("component_v")) & (F.col("n_v") <= F.col("n_u"))
+    met = ask.join(answer, (F.col("l") == F.col("list")) & apart & _may_be(percent))
+    return settle(met.select(*_pair("class_u", "class_v")).distinct())
 
 
 def _pair(a: str, b: str) -> list:
@@ -393,8 +416,7 @@ def link_components(docs: DataFrame, named: DataFrame, lists: DataFrame, percent
     First every set of a list is checked against the list's least set. Then, in lists that
     span several components, sets of different components are; no other pair can add a link.
     """
-    known = named.filter(F.col("class").isNotNull())
-    sizes = settle(known.groupBy("class").agg(F.first("n_shingles").alias("n")))
+    sizes = _of_classes(named)
     hubs = lists.groupBy("list").agg(F.min("class").alias("least"))
     stars = lists.join(hubs, "list").filter("class <> least").select(*_pair("class", "least")).distinct()
     stars = settle(_fitting(stars, sizes, percent))
@@ -414,11 +436,7 @@ def link_components(docs: DataFrame, named: DataFrame, lists: DataFrame, percent
     guests = split.filter("c_low is not null").select("list", "seat").join(stood, "seat")
     guests = guests.select("list", F.col("member").alias("class"), F.lit(True).alias("asks"), F.col("c").alias("component"))
     across = settle(split.select("list", F.col("seat").alias("class"), "asks", "component").unionByName(guests).distinct())
-    ask = across.filter("asks").select("list", F.col("class").alias("u"), F.col("component").alias("c_u"))
-    answer = across.select("list", F.col("class").alias("v"), F.col("component").alias("c_v"))
-    crossing = ask.join(answer, "list").filter("c_u <> c_v").select("u", "v").distinct()
-    crossing = _fitting(crossing, sizes, percent, True).select(*_pair("u", "v")).distinct()
-    crossing = settle(crossing.join(stars, ["u", "v"], "left_anti"))
+    crossing = settle(_asked(across, sizes, percent).join(stars, ["u", "v"], "left_anti"))
     more = verified(docs, named, crossing, percent, n)
     return settle(components(links.unionByName(more)).withColumnRenamed("node", "class"))
 
@@ -449,11 +467,35 @@ def similar_pairs(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) ->
     grows with its square; ``similar_documents`` needs no such thing.
     """
     named, lists = classes_and_lists(docs, percent, n)
-    sizes = settle(named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.first("n_shingles").alias("n")))
+    sizes = _of_classes(named)
     stood = lists.filter("hub is not null").select("hub", F.col("class").alias("member"))
     seats = lists.select("list", F.col("class").alias("seat"))
     guests = seats.join(stood, F.col("seat") == F.col("hub")).select("list", F.col("member").alias("class"), F.lit(True).alias("asks"))
-    every = settle(lists.select("list", "class", "asks").unionByName(guests).distinct())
-    ask, answer = every.filter("asks").select("list", F.col("class").alias("u")), every.select("list", F.col("class").alias("v"))
-    pairs = _fitting(ask.join(answer, "list").filter("u <> v").select("u", "v").distinct(), sizes, percent, True)
-    return verified(docs, named, settle(pairs.select(*_pair("u", "v")).distinct()), percent, n)
+    every = lists.select("list", "class", "asks").unionByName(guests).distinct().withColumn("component", F.col("class"))
+    return verified(docs, named, _asked(settle(every), sizes, percent), percent, n)
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
+    """``docs`` without all but one document of every component: the one of the least doc_id.
+
+    Without ids, and of several texts under one id, the least text hash stays; of repeated
+    rows one does. Documents without words all stay. Texts are not shuffled while the list of
+    what goes is small.
+    """
+    found = settle(similar_documents(docs, percent, n).filter("class is not null"))
+    ids = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    stays = found.groupBy(F.coalesce("component_id", "class").alias("g"), F.col("component_id").isNull().alias("anonymous")).agg(F.min(ids).alias("first"))
+    member = found.select(F.coalesce("component_id", "class").alias("g"), F.col("component_id").isNull().alias("anonymous"), "doc_id", "text_hash")
+    counted = member.groupBy("g", "anonymous", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    marked = counted.join(stays, ["g", "anonymous"]).select(
+        F.col("doc_id").alias("_id"),
+        F.col("text_hash").alias("_hash"),
+        "copies",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("first"),
+    )
+    goes = settle(marked.filter("not first").select("_id", "_hash"))
+    twice = settle(marked.filter("first and copies > 1").select("_id", "_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = join_small(docs, goes, same, "left_anti")
+    once = join_small(kept, twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return join_small(kept, twice, same, "left_anti").unionByName(once)
