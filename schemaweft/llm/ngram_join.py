@@ -442,7 +442,7 @@ def link_components(docs: DataFrame, named: DataFrame, lists: DataFrame, percent
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class, component_id for every row of ``docs`` (doc_id, text).
+    """doc_id, text_hash, n_shingles, class, component, component_id for every row of ``docs`` (doc_id, text).
 
     Rows of equal shingle sets are of one class, a signed 64-bit hash of the set; component_id
     is the least doc_id reachable by links. Rows without words (NULL, empty, white space) have
@@ -454,9 +454,9 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE)
     ids = named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     joined = settle(ids.join(linked, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")))
     of_component = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = joined.join(of_component, "component").select(F.col("class").alias("c"), "component_id")
+    by_class = joined.join(of_component, "component").select(F.col("class").alias("c"), "component", "component_id")
     return named.join(by_class, F.col("class") == F.col("c"), "left").select(
-        "doc_id", "text_hash", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "text_hash", "n_shingles", "class", "component", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
@@ -484,10 +484,9 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     """
     found = settle(similar_documents(docs, percent, n).filter("class is not null"))
     ids = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    stays = found.groupBy(F.coalesce("component_id", "class").alias("g"), F.col("component_id").isNull().alias("anonymous")).agg(F.min(ids).alias("first"))
-    member = found.select(F.coalesce("component_id", "class").alias("g"), F.col("component_id").isNull().alias("anonymous"), "doc_id", "text_hash")
-    counted = member.groupBy("g", "anonymous", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    marked = counted.join(stays, ["g", "anonymous"]).select(
+    stays = found.groupBy("component").agg(F.min(ids).alias("first"))
+    counted = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    marked = counted.join(stays, "component").select(
         F.col("doc_id").alias("_id"),
         F.col("text_hash").alias("_hash"),
         "copies",
