@@ -27,11 +27,15 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path under the folder the session names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a local folder made
-    and set, so that later calls and ``checkpoint()`` use the same one.
+    Only where the session names none and runs on one machine (tests) is a local folder made
+    and set, so that later calls and ``checkpoint()`` use the same one. On a cluster that
+    would leave parts on executors' own disks, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = tempfile.mkdtemp(prefix="schemaweft-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/schemaweft-{uuid.uuid4().hex}"
