@@ -18,6 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaweft.catalog import dtype_family
 from schemaweft.functions import names
 from schemaweft.functions.values import JUNK_COLUMNS, JUNK_DTYPES
 
@@ -91,7 +92,7 @@ def case_flip(state: DataFrame) -> DataFrame:
 
 
 def date_format(state: DataFrame) -> DataFrame:
-    is_date = F.col("dtype") == "datetime"
+    is_date = dtype_family(F.col("dtype")) == "time"
     return state.withColumn("dtype", F.when(is_date, "int").otherwise(F.col("dtype")))
 
 

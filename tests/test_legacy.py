@@ -133,3 +133,9 @@ def test_migrated_table_has_the_rows_of_the_original(spark):
         assert new.CUST_STRS == (f"{old.address_line_1}, {old.address_line_2}" if old.address_line_2 else old.address_line_1)
         assert new.CUST_MNT == int(old.amount * 100)
         assert new.CUST_CRTD_T == int(old.created_at.strftime("%Y%m%d"))
+
+
+def test_date_format_retypes_all_date_types(catalog_of):
+    names = [("a", "timestamp"), ("b", "timestamp_ntz"), ("c", "date"), ("d", "datetime"), ("e", "string"), ("f", None)]
+    state = legacy.date_format(legacy.initial_state(catalog_of({"p": (names, [])})))
+    assert {r["name"]: r["dtype"] for r in state.collect()} == {"a": "int", "b": "int", "c": "int", "d": "int", "e": "string", "f": None}
