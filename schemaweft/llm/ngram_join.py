@@ -8,9 +8,11 @@ every segment differed by at least its units, the sets would differ in more than
 partners always meet. Units go where they are cheapest: keys of many elements are rare.
 
 Keys travel packed, in blocks by bucket; only keys that several sets share come back, as lists.
-Lists are never paired out: sets are first checked against one hub of each list, and only lists
-that still span several components are looked at again, across components. All links are
-checked on whole shingle sets.
+Lists are never paired out: sets are first checked against one hub of each list, the set that is
+in most lists, and only lists that still span several components are looked at again, across
+components. There the sets of long lists with the same hub meet in cells of bounded size, so that
+a pair is met once and not once for each list it shares. All links are checked on whole shingle
+sets.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ PERCENT = 75
 SEGMENT, KEYS_PER_BUCKET = 2.3, 400_000
 #: Keys of a batch that so many of its sets share are met there.
 HOT = 24
+#: Sets of a chunk of a hub's lists, about; a cell holds two chunks.
+CHUNK = 256
 #: Classes whose membership is tested map-side before their sets travel.
 MAX_BROADCAST = 1_000_000
 IS, WANTS, WANTS_LONGER, IS_SHORTENED = 1, 2, 4, 8
@@ -410,15 +414,87 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def _apart(u: np.ndarray, v: np.ndarray, bits: list[np.ndarray], words: int = 2_000_000) -> np.ndarray:
+    """Number of differing bits of the parities of u[i] and v[i]: ``_bits_apart`` for cells."""
+    width = np.array([len(b) for b in bits])
+    out = np.zeros(len(u), np.int64)
+    # Row of a set among those of its width, and these rows as one matrix.
+    row, stacked = np.zeros(len(bits), np.int64), {}
+    for w in np.unique(width):
+        same = np.flatnonzero(width == w)
+        row[same] = np.arange(len(same))
+        stacked[w] = np.stack([bits[i] for i in same]).view(np.uint64)
+    for wide, narrow in {(a, b) for a in stacked for b in stacked if a in (b, 2 * b)}:
+        x, y = np.where(width[u] >= width[v], u, v), np.where(width[u] >= width[v], v, u)
+        here = np.flatnonzero((width[x] == wide) & (width[y] == narrow))
+        of_wide = stacked[wide] if wide == narrow else stacked[wide][:, :narrow] ^ stacked[wide][:, narrow:]
+        step = max(1, words // int(narrow))
+        for part in (here[i : i + step] for i in range(0, len(here), step)):
+            out[part] = np.bitwise_count(of_wide[row[x[part]]] ^ stacked[narrow][row[y[part]]]).sum(axis=1)
+    return out
+
+
+def _cell(table: pa.Table, percent: int) -> pa.Table:
+    """u, v: pairs of a cell that share a list, are of different components and may be similar.
+
+    Between two chunks only pairs across them count, so that every pair is met in one cell.
+    """
+    column = lambda name: table.column(name).to_numpy()
+    names, component, n, chunk = column("class"), column("component"), column("n"), column("chunk")
+    lists, asks = table.column("lists").combine_chunks(), table.column("asked").combine_chunks()
+    owner = np.repeat(np.arange(len(names)), np.diff(lists.offsets.to_numpy()))
+    lists, asks = lists.flatten().to_numpy(), asks.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(lists, kind="stable")
+    owner, asks = owner[order], asks[order]
+    edges = np.flatnonzero(np.diff(lists[order])) + 1
+    share = np.zeros((len(names), len(names)), bool)
+    for a, b in zip(np.append(0, edges), np.append(edges, len(owner))):
+        if b - a > 1:
+            share[np.ix_(owner[a:b][asks[a:b]], owner[a:b])] = True
+    share &= (component[:, None] != component) & (n[:, None] >= n) & (100 * n >= percent * n[:, None])
+    if chunk.min() < chunk.max():
+        share &= chunk[:, None] != chunk
+    u, v = np.nonzero(share)
+    bits = [np.array(b, np.int64) for b in table.column("bits").to_pylist()]
+    fits = _apart(u, v, bits) <= (100 - percent) * (n[u] + n[v]) // (100 + percent)
+    u, v = names[u[fits]], names[v[fits]]
+    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def _asked_in_cells(every: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """As ``_asked``, of ``every`` (center, list, class, asks, component), for long lists.
+
+    Sets of lists with one center are dealt into chunks by hash, and every two chunks meet in
+    a cell; a set brings its lists along once, however many they are.
+    """
+    held = every.groupBy("center", "class", "component").agg(F.collect_list("list").alias("lists"), F.collect_list("asks").alias("asked"))
+    held = settle(held)
+    many = held.groupBy("center").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
+    dealt = held.join(many, "center").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("k")).cast("int")).join(sizes, "class")
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = cells.select("center", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "class", "component", "n", "bits", "lists", "asked")
+    return cells.groupBy("center", "a", "b").applyInArrow(lambda t: _cell(t, percent), "u bigint, v bigint")
+
+
+def _centers(lists: DataFrame) -> DataFrame:
+    """list, center: its set that is in most lists, by the least class of several such.
+
+    An original is in the lists of all its copies, a copy only where it was left alone.
+    """
+    often = lists.groupBy("class").agg(F.count("*").alias("often"))
+    first = F.struct("often", -F.col("class"))
+    return settle(lists.join(often, "class").groupBy("list").agg(F.max_by("class", first).alias("center")))
+
+
 def link_components(docs: DataFrame, named: DataFrame, lists: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """class, component (the least class reachable): the classes with a link, settled.
 
-    First every set of a list is checked against the list's least set. Then, in lists that
+    First every set of a list is checked against the list's center. Then, in lists that
     span several components, sets of different components are; no other pair can add a link.
     """
     sizes = _of_classes(named)
-    hubs = lists.groupBy("list").agg(F.min("class").alias("least"))
-    stars = lists.join(hubs, "list").filter("class <> least").select(*_pair("class", "least")).distinct()
+    centers = _centers(lists)
+    stars = lists.join(centers, "list").filter("class <> center").select(*_pair("class", "center")).distinct()
     stars = settle(_fitting(stars, sizes, percent))
     links = verified(docs, named, stars, percent, n)
     first = settle(components(links))
@@ -428,15 +504,20 @@ def link_components(docs: DataFrame, named: DataFrame, lists: DataFrame, percent
     # A hub stands for all sets that it met in a batch, in whatever lists it is.
     stood = placed.filter("hub is not null").select(F.col("hub").alias("seat"), F.col("class").alias("member"), F.col("component").alias("c")).distinct()
     stood = settle(stood)
-    reach = stood.groupBy("seat").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high"))
+    reach = stood.groupBy("seat").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.count("*").alias("c_n"))
     seats = placed.select("list", F.col("class").alias("seat"), "asks", "component").distinct().join(reach, "seat", "left")
     low, high = F.least(F.min("component"), F.min("c_low")), F.greatest(F.max("component"), F.max("c_high"))
-    spans = settle(seats.groupBy("list").agg(low.alias("low"), high.alias("high")).filter("low < high").select("list"))
-    split = seats.join(spans, "list", "left_semi")
-    guests = split.filter("c_low is not null").select("list", "seat").join(stood, "seat")
-    guests = guests.select("list", F.col("member").alias("class"), F.lit(True).alias("asks"), F.col("c").alias("component"))
-    across = settle(split.select("list", F.col("seat").alias("class"), "asks", "component").unionByName(guests).distinct())
-    crossing = settle(_asked(across, sizes, percent).join(stars, ["u", "v"], "left_anti"))
+    met = F.sum(F.coalesce("c_n", F.lit(0)) + 1)
+    spans = seats.groupBy("list").agg(low.alias("low"), high.alias("high"), (met >= HOT).alias("long"))
+    spans = settle(spans.filter("low < high").join(centers, "list").select("list", "center", "long"))
+    split = seats.join(spans, "list")
+    guests = split.filter("c_low is not null").select("list", "center", "long", "seat").join(stood, "seat")
+    guests = guests.select("list", "center", "long", F.col("member").alias("class"), F.lit(True).alias("asks"), F.col("c").alias("component"))
+    across = split.select("list", "center", "long", F.col("seat").alias("class"), "asks", "component").unionByName(guests)
+    across = settle(across.groupBy("list", "center", "long", "class", "component").agg(F.max("asks").alias("asks")))
+    crossing = _asked(across.filter("not long").drop("center", "long"), sizes, percent)
+    crossing = crossing.unionByName(_asked_in_cells(across.filter("long"), sizes, percent)).distinct()
+    crossing = settle(settle(crossing).join(stars, ["u", "v"], "left_anti"))
     more = verified(docs, named, crossing, percent, n)
     return settle(components(links.unionByName(more)).withColumnRenamed("node", "class"))
 
