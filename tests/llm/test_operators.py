@@ -77,6 +77,43 @@ def test_one_document_of_each_group_stays(docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 6, 7, 8, 9, 10, 10, None, 11])
 
 
+def test_long_lists_meet_in_cells(spark, monkeypatch):
+    """Near copies of one text, of which only some are similar to one another, over many cells."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    draw = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for doc in range(160):
+        words = list(base)
+        for at in draw.integers(0, 150, int(draw.integers(0, 12))):
+            words[at] = f"x{doc}y{at}"
+        rows.append((doc, " ".join(words), "en", "a", None))
+    met = []
+    whole = ngram_join._asked_in_cells
+
+    def seen(every, sizes, percent):
+        met.append(every.count())
+        return whole(every, sizes, percent)
+
+    monkeypatch.setattr(ngram_join, "_asked_in_cells", seen)
+    found = ngram_join.similar_documents(spark.createDataFrame(rows, DOCS).repartition(8)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
+    assert met and met[0] > 0
+
+
+def test_parities_apart():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 2**64, n, np.uint64)) for n in (3, 60, 64, 65, 100, 128, 130, 200)]
+    bits = [ngram_join.parity(s) for s in sets]
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    fits = [len(bits[a]) in (len(bits[b]), 2 * len(bits[b])) or 2 * len(bits[a]) == len(bits[b]) for a, b in zip(u, v)]
+    for a, b, apart in zip(u[fits], v[fits], ngram_join._apart(u[fits], v[fits], bits)):
+        width = 64 * min(len(bits[a]), len(bits[b]))
+        odd = [np.bincount((sets[i] % np.uint64(width)).astype(int), minlength=width) % 2 for i in (a, b)]
+        assert apart == (odd[0] != odd[1]).sum() <= len(np.setxor1d(sets[a], sets[b]))
+
+
 def test_units_suffice():
     for n in (1, 2, 4, 7, 12, 40, 100, 900):
         elements = np.sort(np.random.default_rng(n).integers(0, 2**64, n, np.uint64))
