@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from schemaweft.llm.common import lower_ascii, words
 
 SHINGLE = 5
-FRACTION = 1 / 16
+FRACTION = 1 / 2
 LOWEST = -(2**63)
 
 

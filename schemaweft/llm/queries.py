@@ -30,7 +30,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with likeness to what they resemble.
 
     Each row of equal (doc_id, text) counts once in the order of documents. Texts are shuffled
-    once; the next document sends only what the edit takes.
+    once; the next document sends only its sketch and what the edit takes.
     """
     text = F.coalesce("text", F.lit(""))
     own = F.concat(F.when(F.col("doc_id").isNull(), "n").otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string"))), F.lit(":"), text)
@@ -40,16 +40,17 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = placed.count()
     after = placed.select(F.col("row").alias("giver"), F.when(F.col("pos") == 1, last).otherwise(F.col("pos") - 1).alias("pos"))
     links = settle(placed.select("pos", F.col("row").alias("taker"), "n_chars").join(after, "pos").select("giver", "taker", F.floor(F.col("n_chars") / 2).cast("int").alias("half")))
-    base = fingerprints.with_sketch(docs)
-    given = base.join(links, F.col("row") == F.col("giver")).groupBy("taker").agg(
+    # Sketches are made behind the shuffle of texts: a text's own would travel with it for nothing.
+    giving = fingerprints.with_sketch(docs.join(links, F.col("row") == F.col("giver")))
+    given = giving.groupBy("taker").agg(
         F.first("doc_id").alias("next_doc_id"),
         F.first(F.expr("substring(text, 1, half)")).alias("borrowed"),
         F.first("sketch").alias("next_sketch"),
     )
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 2))"), "borrowed")
-    both = base.join(given, F.col("row") == F.col("taker")).withColumn("edited", edited)
-    both = fingerprints.with_sketch(both, "edited", "edited_sketch")
+    both = docs.join(given, F.col("row") == F.col("taker")).withColumn("edited", edited)
+    both = fingerprints.with_sketch(fingerprints.with_sketch(both), "edited", "edited_sketch")
     return both.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
