@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Sampled documents and dictionary bytes of each language, and languages at most.
-SAMPLE_DOCS, DICTIONARY_BYTES, MAX_LANGUAGES = 64, 48_000, 256
+#: Sampled documents and dictionary bytes of each language, and bytes of all dictionaries together.
+SAMPLE_DOCS, DICTIONARY_BYTES, TOTAL_BYTES = 64, 48_000, 256 * 48_000
 PIECE, LEVEL = 4000, 12
 SHORT, PRIMER, FINE_LEVEL = 100, 3000, 19
 #: Least relative lead over the second best that is no rejection.
@@ -34,7 +34,8 @@ def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary
 
     A bounded sample is fitted: for each language and each of ``sample_docs`` classes of
     the id's hash, the document with the least hash; its text enters cut to its share of
-    ``dictionary_bytes``. Rows without a language or a text teach nothing.
+    the language's bytes: ``dictionary_bytes``, or with many languages an even share of
+    TOTAL_BYTES. Rows without a language or a text teach nothing.
     """
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)))
@@ -42,20 +43,31 @@ def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary
     if not chosen:
         return {}
     languages = sorted({r.lang for r in chosen})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    room = max(4 * sample_docs, min(dictionary_bytes, TOTAL_BYTES // len(languages)))
     wanted = labelled.sparkSession.createDataFrame([(r.lang, r.h) for r in chosen], "lang string, h bigint")
     share = dictionary_bytes // sample_docs * 2
     rows = known.withColumn("h", hashed).join(F.broadcast(wanted), ["lang", "h"], "left_semi")
     # An id that repeats gives its first text alone.
     texts = rows.groupBy("lang", "h").agg(F.min(F.substring(F.lower("text"), 1, share)).alias("text")).collect()
-    out = {}
-    for language in languages:
-        sample = [r.text for r in sorted(texts, key=lambda r: r.h) if r.lang == language]
-        out[language] = "\n".join(sample).encode()[:dictionary_bytes]
+    samples: dict[str, list[bytes]] = {}
+    for r in sorted(texts, key=lambda r: r.h):
+        samples.setdefault(r.lang, []).append(r.text.encode("utf-8", "replace"))
+    out = {language: b"\n".join(_shared(samples.get(language, []), room)) for language in languages}
     return {k: v for k, v in out.items() if v}
 
 
+def _shared(texts: list[bytes], room: int) -> list[bytes]:
+    """``texts`` cut, at whole characters, so that with a byte between they fit in ``room``.
+
+    Each has an even share; what short texts leave goes to the longer ones.
+    """
+    left, cut = room - len(texts) + 1, [b""] * len(texts)
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        cut[i] = texts[i][: left // (len(texts) - done)].decode("utf-8", "ignore").encode()
+        left -= len(cut[i])
+    return cut
+
+
 @functools.lru_cache(maxsize=4)
 def _coarse(items: tuple) -> list:
     made = []
