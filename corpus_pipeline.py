@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens: a row per piece with its place and ids."""
-    return packing.pack(packing.tokenise(docs, tokenizer_path()))
+    return packing.pack(packing.tokenise(docs, tokenizer_path(), with_ids=True))
 
 
 STAGES = [
