@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweft.llm import chat, fingerprints, languages, line_quality, mixing, ngram_join, packing, private_data, repeats, warc
-from schemaweft.llm.common import positions, settle, shared_folder, word_count
+from schemaweft.llm import chat, fingerprints, languages, line_quality, merkle, mixing, negatives, ngram_join, packing, private_data, records, repeats, warc
+from schemaweft.llm.common import lower_ascii, positions, settle, shared_folder, word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +180,100 @@ SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, ''
 FROM r GROUP BY conv_id, speaker, part
 """
 
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides vec_id, the label is the next one; every hundredth id is an anchor."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
+         CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id AND len(a.q) = len(v.q)
+  WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents in record files, read back in shuffled order."""
+    found = records.token_records(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), seed=1)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; where 5 divides the id's checksum, of a text in lower case."""
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    columns = [altered if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    return merkle.proofs(table(spark, sf_dir, "documents"), merkle.leaf(*columns))
+
+
+def _op13_sql(levels: int = 8) -> str:
+    """Levels of source trees and of the tree over their subroots, one after the other."""
+
+    def side(value: str) -> str:
+        return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(side(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    steps = "[CAST(xor(c, b) AS UBIGINT)] || CAST(range(8) AS UBIGINT[])"
+    crc = (
+        "xor(list_reduce([CAST(4294967295 AS UBIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT)), "
+        f"lambda c, b: list_reduce({steps}, lambda s, k: xor(s >> 1, CAST(3988292384 AS UBIGINT) * (s & 1)))), CAST(4294967295 AS UBIGINT))"
+    )
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, "
+        f"CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS tampered FROM documents)",
+        "r0 AS (SELECT coalesce('s:' || source, 'n') AS tree, doc_id, leaf, leaf AS hash, tampered AS fold, '' AS proof, NULL AS subroot, "
+        "row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d)",
+    ]
+    # A row is a document; at each level it knows its node's hash and number and what it folds to.
+    at = "r0"
+    for tree in ("tree", "'t'"):
+        if tree == "'t'":
+            ctes.append(f"u AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM (SELECT DISTINCT CASE WHEN tree <> 'n' THEN tree END AS source FROM {at}))")
+            ctes.append(
+                f"top AS (SELECT 't' AS tree, doc_id, leaf, hash, fold, proof, hash AS subroot, pos AS idx FROM {at} JOIN u ON source IS NOT DISTINCT FROM CASE WHEN tree <> 'n' THEN tree END)"
+            )
+            at = "top"
+        for _ in range(levels):
+            n = len(ctes)
+            ctes.append(f"m{n} AS (SELECT DISTINCT tree, idx, hash FROM {at})")
+            ctes.append(f"c{n} AS (SELECT tree, count(*) AS nodes FROM m{n} GROUP BY tree)")
+            ctes.append(f"g{n} AS (SELECT tree, idx // 16 AS up, list(hash ORDER BY idx) AS hashes FROM m{n} GROUP BY tree, idx // 16)")
+            before = "array_to_string(hashes[1:idx % 16], '')"
+            after = "array_to_string(hashes[idx % 16 + 2:], '')"
+            ctes.append(
+                f"r{n} AS (SELECT {at}.tree, doc_id, leaf, CASE WHEN nodes > 1 THEN sha256(array_to_string(hashes, '')) ELSE hash END AS hash, "
+                f"CASE WHEN nodes > 1 THEN sha256({before} || fold || {after}) ELSE fold END AS fold, "
+                f"CASE WHEN nodes > 1 THEN proof || {before} || {after} ELSE proof END AS proof, subroot, idx // 16 AS idx "
+                f"FROM {at} JOIN g{n} ON {at}.tree = g{n}.tree AND idx // 16 = up JOIN c{n} ON {at}.tree = c{n}.tree)"
+            )
+            at = f"r{n}"
+    return (
+        "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, hash AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = hash AS verified FROM {at}"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -193,6 +287,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_repeated_bytes,
         op10_perspectives,
+        op11_hard_negatives,
+        op12_token_records,
+        op13_merkle_manifest,
     )
 }
-ORACLES = {"op4_source_mix": OP4_SQL, "op7_warc": OP7_SQL, "op10_perspectives": OP10_SQL}
+ORACLES = {"op4_source_mix": OP4_SQL, "op7_warc": OP7_SQL, "op10_perspectives": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_merkle_manifest": _op13_sql()}
