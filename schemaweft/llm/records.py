@@ -5,10 +5,10 @@ A record is a frame around one document's ids::
     uint64 length | uint32 checksum of the length | payload | uint32 checksum of the payload
 
 little-endian, checksums CRC-32C, rotated by 15 bits and shifted by a constant, so that checksums
-of data that hold checksums stay apart. The payload is ``uint32 has_id, int64 doc_id, uint32
-ids...``. Beside each data file lies ``<file>.index``: the uint64 offsets of its records and the
-file's end. Records have whole words, so an offset and a record's number give the number of ids
-before it.
+of data that hold checksums stay apart. The payload is ``uint32 flags, int64 doc_id, ids...``, ids
+as uint16 where the vocabulary allows it, else as uint32, padded to a whole word. Flags: 1 for a
+doc_id, 2 for two bytes of padding, 4 for ids of four bytes. Beside each data file lies
+``<file>.index``: for each record the uint64 offset and the number of ids before it, and the file's end.
 
 Files hold consecutive ranges of doc_id. A task writes its file under a name of its own and returns a
 manifest row; only files in the settled manifest count, so what a lost or repeated task left
@@ -37,13 +37,14 @@ END_ID = 0
 FILE_BYTES = 32 << 20
 UNIT_RECORDS = 1024
 #: Bytes of text that are encoded and framed at a time, and distinct words whose ids a worker remembers.
-STEP_BYTES = 4 << 20
-REMEMBERED = 400_000
+STEP_BYTES = 8 << 20
+REMEMBERED = 800_000
 #: The reflected polynomial of CRC-32C and the constant of masked checksums.
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 #: Words of a frame before its payload, of the payload's head, and behind the payload.
 FRAME, HEAD, TAIL = 3, 3, 1
+HAS_ID, PADDED, WIDE = 1, 2, 4
 #: Words of a segment whose checksum is taken in step with those of all others.
 SEGMENT = 256
 #: Marks that stand alone behind a letter, and the first character that is not taken for one.
@@ -80,26 +81,27 @@ class ByteIds:
 
     def forget(self) -> None:
         self.number = Numbers()
-        self.flat = np.zeros(0, "<u4")
+        # Words that are left to the tokenizer stand for one id, the first, until their text is.
+        self.flat = np.zeros(1, "<u4")
         self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.odd = np.zeros(0, bool)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _cut(self, text: str) -> list[str] | None:
-        """Words of ``text`` behind a line break: '\\nword' as it is, others without their space."""
-        led = "\n" + text
-        if "  " in led or " \n" in led or "\n\n\n" in led or "\n\n " in led or led.endswith((" ", "\n\n")) or any(s in text for s in self.specials):
-            return None
-        return led.replace("\n", " \n").split(" ")[1:]
+    def _left_alone(self, led: pa.Array) -> np.ndarray:
+        """Texts (behind a line break) that are not cut: see the class."""
+        found = pc.or_(pc.ends_with(led, " "), pc.ends_with(led, "\n\n"))
+        for part in ("  ", " \n", "\n\n\n", "\n\n ", *self.specials):
+            found = pc.or_(found, pc.match_substring(led, part))
+        return found.to_numpy(zero_copy_only=False)
 
     def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks, and how many each has."""
         ids = [self._whole("".join(chunks[at : at + 5000])) for at in range(0, len(chunks), 5000)]
         flat = np.concatenate([np.zeros(0, "<u4"), *ids])
         sizes = np.cumsum([len(c.encode()) for c in chunks], dtype=np.int64)
-        return flat, np.diff(np.searchsorted(np.cumsum(self.size[flat]), sizes) + 1, prepend=0)
+        return flat, np.diff(np.searchsorted(np.cumsum(self.size[flat]), sizes, side="right"), prepend=0)
 
     def _learn(self, new: list[str]) -> None:
         whole, stems, marks = [], {}, {}
@@ -113,14 +115,14 @@ class ByteIds:
                     self.number[stem]
             else:
                 whole.append(w)
-        chunks = [w if w[:1] == "\n" else " " + w for w in whole]
+        chunks = [w if w[:1] in ("\n", "") else " " + w for w in whole]
         odd = [not c[1:].isprintable() for c in chunks]
         flat, counts = self._ids([c for c, bad in zip(chunks, odd, strict=True) if not bad])
         grown = np.zeros(len(self.number) - len(self.counts), np.int64)
         self.starts, self.counts = np.concatenate([self.starts, grown]), np.concatenate([self.counts, grown])
         self.odd = np.concatenate([self.odd, grown > 0])
         at = np.fromiter(map(self.number.__getitem__, whole), np.int64, len(whole))
-        self.odd[at] = odd
+        self.odd[at], self.counts[at] = odd, 1
         at = at[~np.array(odd, bool)]
         self.counts[at], self.starts[at] = counts, len(self.flat) + np.cumsum(counts) - counts
         self.flat = np.concatenate([self.flat, flat])
@@ -137,18 +139,32 @@ class ByteIds:
             self.starts[at] = len(self.flat) + np.cumsum(self.counts[at]) - self.counts[at]
             self.flat = np.concatenate([self.flat, gathered(both, starts.ravel(), counts.ravel())])
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, ``end_id`` behind those of each, and how many each has."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        cuts = [self._cut(t) for t in texts]
-        known = len(self.number)
-        places = [np.fromiter(map(self.number.__getitem__, words or ()), np.int64, len(words or ())) for words in cuts]
+        led = pc.binary_join_element_wise("\n", texts, "")
+        alone = self._left_alone(led)
+        # Each text is "", its line break with the first word, and its other words.
+        led = pc.if_else(pa.array(alone), "\n", led)
+        pieces = pc.split_pattern(pc.replace_substring(led, "\n", " \n"), " ")
+        encoded, firsts = pieces.flatten().dictionary_encode(), pieces.offsets.to_numpy()[:-1] - pieces.offsets[0].as_py()
+        known, words = len(self.number), encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[encoded.indices.to_numpy()]
         if len(self.number) > known:
             self._learn(list(islice(self.number, known, None)))
-        return [
-            self._whole(text) if words is None or self.odd[at].any() else gathered(self.flat, self.starts[at], self.counts[at])[1:]
-            for text, words, at in zip(texts, cuts, places, strict=True)
-        ]
+        counts = np.add.reduceat(self.counts[place], firsts)
+        alone |= np.add.reduceat(self.odd[place].astype(np.int64), firsts) > 0
+        # The line break in front of a text gives way to the end of the text before.
+        ids = np.roll(gathered(self.flat, self.starts[place], self.counts[place]), -1)
+        ends = np.cumsum(counts)
+        ids[ends - 1] = end_id
+        if alone.any():
+            parts = np.split(ids, ends[:-1])
+            for i in np.flatnonzero(alone):
+                parts[i] = np.append(self._whole(texts[i].as_py()), np.uint32(end_id))
+            ids, counts = np.concatenate(parts), np.array([len(part) for part in parts], np.int64)
+        return ids, counts
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -214,21 +230,23 @@ def masked_checksums(words: np.ndarray, starts: np.ndarray, counts: np.ndarray)
     return out
 
 
-def framed(doc_ids: list[int | None], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def framed(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
     """The records, as words, and the number of words of each."""
-    tokens = np.array([len(x) for x in ids], np.int64)
-    sizes = FRAME + HEAD + tokens + TAIL
+    body = counts if wide else (counts + 1) // 2
+    sizes = FRAME + HEAD + body + TAIL
     at = np.cumsum(sizes) - sizes
     words = np.zeros(int(sizes.sum()), "<u4")
-    words[at] = 4 * (HEAD + tokens)
-    words[at + FRAME] = [d is not None for d in doc_ids]
-    known = np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64)
+    words[at] = 4 * (HEAD + body)
+    padded = 0 if wide else counts % 2
+    words[at + FRAME] = HAS_ID * doc_ids.is_valid().to_numpy(zero_copy_only=False) + PADDED * padded + WIDE * wide
+    known = doc_ids.fill_null(0).to_numpy().view(np.uint64)
     words[at + FRAME + 1] = known & np.uint64(0xFFFFFFFF)
     words[at + FRAME + 2] = known >> np.uint64(32)
-    body = np.repeat(at + FRAME + HEAD - (np.cumsum(tokens) - tokens), tokens) + np.arange(tokens.sum())
-    words[body] = np.concatenate([np.zeros(0, "<u4"), *ids])
+    kind, per = ("<u4", 1) if wide else ("<u2", 2)
+    begin = per * (at + FRAME + HEAD) - (np.cumsum(counts) - counts)
+    words.view(kind)[np.repeat(begin, counts) + np.arange(len(ids))] = ids
     words[at + 2] = masked_checksums(words, at, np.full(len(at), 2))
-    words[at + sizes - 1] = masked_checksums(words, at + FRAME, HEAD + tokens)
+    words[at + sizes - 1] = masked_checksums(words, at + FRAME, HEAD + body)
     return words, sizes
 
 
@@ -249,7 +267,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, root: str, end_id: int =
     dealt = keyed.repartitionByRange(max(1, math.ceil(size / file_bytes)), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, offsets, tokens, part = None, None, [np.zeros(1, np.int64)], 0, None
+        encode, out, listed, part, end = None, None, [], None, np.zeros(2, np.int64)
         target, inside = fs.FileSystem.from_uri(root)
         path = f"{inside}/{uuid.uuid4().hex}.records"
         for batch in batches:
@@ -257,25 +275,25 @@ def write_records(docs: DataFrame, tokenizer_path: str, root: str, end_id: int =
                 continue
             if encode is None:
                 encode, out, part = ByteIds(tokenizer_path), target.open_output_stream(path), batch["part"][0].as_py()
-            ends = pc.cumulative_sum(pc.binary_length(batch["text"]).cast(pa.int64())).to_numpy()
+            length = pc.cumulative_sum(pc.binary_length(batch["text"]).cast(pa.int64())).to_numpy()
             at = 0
             while at < batch.num_rows:
-                last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, side="right")))
+                last = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + STEP_BYTES, side="right")))
                 some = batch.slice(at, last - at)
-                ids = [np.append(x, np.uint32(end_id)) for x in encode(some["text"].to_pylist())]
-                words, sizes = framed(some["doc_id"].to_pylist(), ids)
+                ids, counts = encode(some["text"], end_id)
+                words, sizes = framed(some["doc_id"], ids, counts, wide=len(encode.size) > 1 << 16)
                 out.write(words.tobytes())
-                offsets.append(offsets[-1][-1] + 4 * np.cumsum(sizes))
-                tokens += sum(map(len, ids))
-                at = last
+                ends = end + np.stack([4 * np.cumsum(sizes), np.cumsum(counts)], 1)
+                listed += [np.vstack([end, ends[:-1]])]
+                end, at = ends[-1], last
         if out is not None:
             out.close()
-            index = np.concatenate(offsets).astype("<u8")
-            with target.open_output_stream(path + ".index") as listed:
-                listed.write(index.tobytes())
-            row = [part], [path.rpartition("/")[2]], [len(index) - 1], [tokens], [int(index[-1])]
+            index = np.vstack([*listed, end]).astype("<u8")
+            with target.open_output_stream(path + ".index") as beside:
+                beside.write(index.tobytes())
+            row = part, path.rpartition("/")[2], len(index) - 1, int(end[1]), int(end[0])
             kinds = pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "path", "records", "tokens", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "path", "records", "tokens", "bytes"])
 
     return settle(dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(write, MANIFEST))
 
@@ -303,24 +321,24 @@ def read_records(spark: SparkSession, manifest: DataFrame, root: str, seed: int
             for unit in batch.to_pylist():
                 last = min(unit["first"] + UNIT_RECORDS, unit["records"])
                 with store.open_input_file(f"{folder}/{unit['path']}.index") as listed:
-                    offsets = np.frombuffer(listed.read_at(8 * (last - unit["first"] + 1), 8 * unit["first"]), "<u8").astype(np.int64)
+                    raw = listed.read_at(16 * (last - unit["first"] + 1), 16 * unit["first"])
+                offsets, before = np.frombuffer(raw, "<u8").astype(np.int64).reshape(-1, 2).T
                 with store.open_input_file(f"{folder}/{unit['path']}") as data:
                     words = np.frombuffer(data.read_at(int(offsets[-1] - offsets[0]), int(offsets[0])), "<u4")
                 at = (offsets[:-1] - offsets[0]) // 4
-                sizes = np.diff(offsets) // 4
-                tokens = sizes - FRAME - HEAD - TAIL
-                verify(words, at, tokens)
-                number = unit["first"] + np.arange(len(at))
-                start = unit["base"] + offsets[:-1] // 4 - number * (FRAME + HEAD + TAIL)
+                counts = np.diff(before)
+                verify(words, at, np.diff(offsets) // 4, counts)
                 order = np.arange(len(at)) if seed is None else np.random.default_rng([seed, unit["first"]]).permutation(len(at))
-                raw, low, high = words.tobytes(), words[at + FRAME + 1].astype(np.uint64), words[at + FRAME + 2].astype(np.uint64)
-                ids = (low | high << np.uint64(32)).view(np.int64)
-                bodies = [raw[4 * a : 4 * b] for a, b in zip((at + FRAME + HEAD)[order].tolist(), (at + sizes - TAIL)[order].tolist(), strict=True)]
+                flags, low, high = words[at + FRAME], words[at + FRAME + 1].astype(np.uint64), words[at + FRAME + 2].astype(np.uint64)
+                doc_ids = (low | high << np.uint64(32)).view(np.int64)
+                begin = (4 * (at + FRAME + HEAD))[order].tolist()
+                raw, kinds = words.tobytes(), np.where(flags & WIDE, "<u4", "<u2")[order].tolist()
+                bodies = [np.frombuffer(raw, k, n, b).astype("<u4").tobytes() for b, n, k in zip(begin, counts[order].tolist(), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[order], pa.int64(), mask=words[at + FRAME][order] == 0),
-                        pa.array(start[order], pa.int64()),
-                        pa.array(tokens[order], pa.int64()),
+                        pa.array(doc_ids[order], pa.int64(), mask=(flags & HAS_ID)[order] == 0),
+                        pa.array((unit["base"] + before[:-1])[order], pa.int64()),
+                        pa.array(counts[order], pa.int64()),
                         pa.array(bodies, pa.binary()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
@@ -329,11 +347,13 @@ def read_records(spark: SparkSession, manifest: DataFrame, root: str, seed: int
     return dealt.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
-def verify(words: np.ndarray, at: np.ndarray, tokens: np.ndarray) -> None:
+def verify(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
     """ValueError unless the frames at ``at`` have the lengths that the index gives, and their checksums."""
-    sound = (words[at] == 4 * (HEAD + tokens)) & (words[at + 1] == 0)
+    flags = words[at + FRAME]
+    body = np.where(flags & WIDE, counts, (counts + 1) // 2)
+    sound = (sizes == FRAME + HEAD + body + TAIL) & (words[at] == 4 * (HEAD + body)) & (words[at + 1] == 0)
     sound &= words[at + 2] == masked_checksums(words, at, np.full(len(at), 2))
-    sound &= words[at + FRAME + HEAD + tokens] == masked_checksums(words, at + FRAME, HEAD + tokens)
+    sound &= words[at + sizes - 1] == masked_checksums(words, at + FRAME, sizes - FRAME - TAIL)
     if not sound.all():
         raise ValueError(f"{int((~sound).sum())} of {len(at)} records are damaged")
 
