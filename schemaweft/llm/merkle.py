@@ -5,8 +5,8 @@ these subroots, in order of their sources, are put together likewise. The built
 rows that link to their parents, each with its siblings' hashes on both sides. A recursive query then
 ascends from every leaf: it appends the siblings and folds the leaf's hash, level by level.
 
-The leaves of one run share all that is above them, so they climb in one row, each with a hash of
-its own. A link is listed once for each few thousand runs below it (``salt``), so runs of a large
+The leaves of one run share all that is above them, so they climb in one row, with each distinct hash
+that they fold to. Digests travel as bytes; hashed is their hex text. A link is listed once for each few thousand runs below it (``salt``), so runs of a large
 source do not meet in one task near the root.
 """
 
@@ -48,11 +48,23 @@ def _groups(nodes: DataFrame) -> DataFrame:
     return groups.withColumns({"hashes": F.col("members.hash"), "alone": (F.col("up") == 0) & (F.size("members") == 1)})
 
 
-def _between(hashes: str, at: str) -> tuple[Column, Column]:
-    """The hashes in front of and behind the one at position ``at`` (from 0)."""
-    before = F.array_join(F.expr(f"slice({hashes}, 1, {at})"), "")
-    after = F.array_join(F.expr(f"slice({hashes}, {at} + 2, size({hashes}))"), "")
-    return before, after
+def joined(digests: str) -> str:
+    """The bytes of an array of digests, one behind the other."""
+    return f"aggregate({digests}, X'', (all, x) -> concat(all, x))"
+
+
+def parent(content: str) -> str:
+    """The digest over the hex text of ``content``."""
+    return f"unhex(sha2(lower(hex({content})), 256))"
+
+
+def _between(hashes: str, at: str) -> tuple[str, str]:
+    """The digests in front of and behind the one at position ``at`` (from 0)."""
+    return joined(f"slice({hashes}, 1, {at})"), joined(f"slice({hashes}, {at} + 2, size({hashes}))")
+
+
+def _hex(digest) -> Column:
+    return F.lower(F.hex(digest))
 
 
 def _node(tree: Column, level: int, idx: Column) -> Column:
@@ -66,7 +78,7 @@ def _levels(nodes: DataFrame, first: int, subroots: bool) -> tuple[list[DataFram
     ``subroots`` says that the nodes are ends of sources' trees: their links name them.
     """
     links, ends, level = [], [], first
-    nodes = nodes.withColumn("subroot", F.col("hash") if subroots else F.lit(None).cast("string"))
+    nodes = nodes.withColumn("subroot", F.col("hash") if subroots else F.lit(None).cast("binary"))
     while True:
         groups = settle(_groups(nodes))
         ends.append(groups.filter("alone").select("tree", F.col("members")[0]["hash"].alias("hash"), "runs", F.col("members")[0]["node"].alias("node")))
@@ -79,15 +91,15 @@ def _levels(nodes: DataFrame, first: int, subroots: bool) -> tuple[list[DataFram
                 F.col("member.runs").alias("below"),
                 up.alias("parent"),
                 F.ceil(F.col("runs") / RUNS_PER_LINK).cast("long").alias("salts"),
-                before.alias("before"),
-                after.alias("after"),
+                F.expr(before).alias("before"),
+                F.expr(after).alias("after"),
                 F.col("member.subroot").alias("subroot"),
             )
         )
-        above = rest.select("tree", F.col("up").alias("idx"), F.sha2(F.array_join("hashes", ""), 256).alias("hash"), "runs", up.alias("node"))
+        above = rest.select("tree", F.col("up").alias("idx"), F.expr(parent(joined("hashes"))).alias("hash"), "runs", up.alias("node"))
         if not rest.take(1):
             return links, ends
-        nodes, level = above.withColumn("subroot", F.lit(None).cast("string")), level + 1
+        nodes, level = above.withColumn("subroot", F.lit(None).cast("binary")), level + 1
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -107,13 +119,13 @@ def _unlimited(spark: SparkSession):
         spark.conf.unset(ROW_LIMIT) if had is None else spark.conf.set(ROW_LIMIT, had)
 
 
-CLIMB = """
+CLIMB = f"""
 WITH RECURSIVE climb AS (
-  SELECT run, node, salt, hashes, leaves, CAST('' AS STRING) AS proof, CAST(NULL AS STRING) AS subroot FROM {runs}
+  SELECT tree, run, node, salt, folds, CAST(X'' AS BINARY) AS proof, CAST(NULL AS BINARY) AS subroot FROM {{runs}}
   UNION ALL
-  SELECT c.run, l.parent, pmod(c.run, l.salts), transform(c.hashes, h -> sha2(concat(l.before, h, l.after), 256)), c.leaves,
+  SELECT c.tree, c.run, l.parent, pmod(c.run, l.salts), transform(c.folds, x -> {parent("concat(l.before, x, l.after)")}),
          concat(c.proof, l.before, l.after), coalesce(c.subroot, l.subroot)
-  FROM climb c JOIN {links} l ON c.node.tree = l.node.tree AND c.node.level = l.node.level AND c.node.idx = l.node.idx AND c.salt = l.salt)
+  FROM climb c JOIN {{links}} l ON c.node.tree = l.node.tree AND c.node.level = l.node.level AND c.node.idx = l.node.idx AND c.salt = l.salt)
 SELECT * FROM climb
 """
 ALONE = "run = 0 AND size(leaves) = 1"
@@ -129,10 +141,11 @@ def proofs(docs: DataFrame, tampered: Column) -> DataFrame:
     not read.
     """
     spark = docs.sparkSession
-    read = docs.select("doc_id", "source", leaf(*map(F.col, COLUMNS)).alias("leaf"), tampered.alias("tampered"))
+    own = leaf(*map(F.col, COLUMNS))
+    read = docs.select("doc_id", "source", F.unhex(own).alias("leaf"), F.unhex(F.when(tampered != own, tampered)).alias("tampered"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("tampered")]
     tree = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("n"))
-    leaves = positions(read.withColumn("tree", tree), ["tree"], order)
+    leaves = positions(read.select(tree.alias("tree"), "doc_id", "leaf", "tampered"), ["tree"], order)
     idx = F.col("pos") - 1
     entry = F.struct(idx.alias("idx"), "doc_id", "leaf", "tampered")
     runs = settle(
@@ -142,42 +155,38 @@ def proofs(docs: DataFrame, tampered: Column) -> DataFrame:
         kind = docs.schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
     alone = F.expr(ALONE)
-    top = F.when(alone, F.col("leaves")[0]["leaf"]).otherwise(F.sha2(F.array_join("leaves.leaf", ""), 256))
+    top = F.when(alone, F.col("leaves")[0]["leaf"]).otherwise(F.expr(parent(joined("leaves.leaf"))))
     node = F.when(alone, _node(F.col("tree"), 0, F.lit(0))).otherwise(_node(F.col("tree"), 1, F.col("run")))
     nodes = runs.select("tree", F.col("run").alias("idx"), top.alias("hash"), F.lit(1).cast("long").alias("runs"), node.alias("node"))
     links, ends = _levels(nodes, 2, False)
     subroots = settle(_union(ends).withColumn("name", F.when(F.col("tree") != "n", F.col("tree"))))
     placed = positions(subroots, [], [F.col("name").asc_nulls_first()])
     above, last = _levels(placed.select(F.lit(TOP).alias("tree"), (F.col("pos") - 1).alias("idx"), "hash", "runs", "node"), 1, True)
-    root = _union(last).first()
+    root = _union(last).select("node", _hex("hash").alias("hash")).first()
     every = _union(links + above)
     # One copy of a link for each RUNS_PER_LINK runs below it.
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("below") / RUNS_PER_LINK).cast("long") - 1))
     salted = settle(every.select("node", copies.alias("salt"), "parent", "salts", "before", "after", "subroot"))
-    ready = runs.select(
-        "run",
-        node.alias("node"),
-        F.lit(0).cast("long").alias("salt"),
-        F.expr(
-            f"transform(leaves, (l, i) -> if({ALONE}, l.tampered, sha2(concat("
-            "array_join(slice(leaves.leaf, 1, i), ''), l.tampered, array_join(slice(leaves.leaf, i + 2, size(leaves)), '')), 256)))"
-        ).alias("hashes"),
-        F.transform("leaves", lambda l: F.struct(l["doc_id"].alias("doc_id"), l["leaf"].alias("leaf"))).alias("leaves"),
-    )
+    before, after = _between("leaves.leaf", "i")
+    mine = "coalesce(l.tampered, l.leaf)"
+    first = f"transform(leaves, (l, i) -> if({ALONE}, {mine}, {parent(f'concat({before}, {mine}, {after})')}))"
+    folded = settle(runs.select("tree", "run", "leaves", node.alias("node"), F.expr(first).alias("each")))
+    ready = folded.select("tree", "run", "node", F.lit(0).cast("long").alias("salt"), F.array_distinct("each").alias("folds"))
     at = root["node"]
     with _unlimited(spark):
         climb = spark.sql(CLIMB, runs=ready, links=salted)
         ended = [F.col(f"node.{part}") == at[part] for part in ("tree", "level", "idx")]
-        climbed = settle(climb.filter(ended[0] & ended[1] & ended[2]).select("hashes", "leaves", "proof", "subroot"))
-    each = climbed.select("leaves", "hashes", "proof", "subroot", F.posexplode("leaves").alias("at", "own"))
-    before, after = _between("leaves.leaf", "at")
-    folded = F.element_at("hashes", F.col("at") + 1)
+        climbed = settle(climb.filter(ended[0] & ended[1] & ended[2]).select("tree", "run", "folds", "proof", "subroot"))
+    place = F.transform("each", lambda x: F.array_position(F.array_distinct("each"), x).cast("int"))
+    carried = folded.select("tree", "run", "leaves", place.alias("place")).join(climbed, ["tree", "run"])
+    each = carried.select("leaves", "place", "folds", "proof", "subroot", F.posexplode("leaves").alias("i", "own"))
+    top = _hex(F.element_at("folds", F.element_at("place", F.col("i") + 1)))
     return each.select(
         F.col("own.doc_id").alias("doc_id"),
-        F.col("own.leaf").alias("leaf"),
-        F.coalesce("subroot", F.lit(root["hash"])).alias("subroot"),
+        _hex("own.leaf").alias("leaf"),
+        F.coalesce(_hex("subroot"), F.lit(root["hash"])).alias("subroot"),
         F.lit(root["hash"]).alias("root"),
-        F.sha2(F.concat(before, after, "proof"), 256).alias("proof_sha256"),
-        folded.alias("folded_root"),
-        (folded == F.lit(root["hash"])).alias("verified"),
+        F.sha2(_hex(F.expr(f"concat({before}, {after}, proof)")), 256).alias("proof_sha256"),
+        top.alias("folded_root"),
+        (top == F.lit(root["hash"])).alias("verified"),
     )
