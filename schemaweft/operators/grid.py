@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweft.catalog import PREDICTION_COLUMNS, no_predictions, sources, targets
+from schemaweft.catalog import PREDICTION_COLUMNS, dtype_family, no_predictions, sources, targets
 from schemaweft.operators.ranking import SOURCE_KEY, ranked
 from schemaweft.session import settle
 
@@ -158,7 +158,7 @@ def _other_visits(located: DataFrame, bars: DataFrame) -> DataFrame:
     return everywhere.filter(~at_home)
 
 
-def _placed(tgt: DataFrame, plans: DataFrame) -> DataFrame:
+def _placed(tgt: DataFrame, plans: DataFrame, *more: str) -> DataFrame:
     """Targets in their chunk, once per grid row of their pair."""
     size = F.col("size")
     own = F.filter("bands", lambda b: (b.lo <= size) & (size <= b.hi))[0]
@@ -168,7 +168,7 @@ def _placed(tgt: DataFrame, plans: DataFrame) -> DataFrame:
         .withColumn("band", F.col("own.band"))
         .withColumn("chunk", F.pmod(F.xxhash64("tgt_ord"), F.col("own.n_chunks")).cast("int"))
         .withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
-        .select(*CELL_KEY, "pair_id", "tgt_ord", "tgt", "low", "wide")
+        .select(*CELL_KEY, "pair_id", "tgt_ord", "tgt", "low", "wide", *more)
     )
 
 
@@ -216,6 +216,43 @@ def _cell_function(scorer: Scorer, k: int):
     return cell
 
 
+def _cell_join(left: DataFrame, right: DataFrame, cell, schema: str) -> DataFrame:
+    """``cell`` over the sources and targets of every cell.
+
+    Cells are few bytes and much work: sized by bytes they would end in too few tasks. toDF
+    gives the right side, which shares the plan table, columns of its own.
+    """
+    n_tasks = cell_tasks(left.sparkSession)
+    left = left.repartition(n_tasks, *CELL_KEY)
+    right = right.toDF(*right.columns).repartition(n_tasks, *CELL_KEY)
+    return left.groupBy(*CELL_KEY).cogroup(right.groupBy(*CELL_KEY)).applyInPandas(cell, schema)
+
+
+def grid_every(catalog: DataFrame, cell, schema: str, src_cell: int = 1024, tgt_cell: int = 4096) -> DataFrame:
+    """``cell(sources, targets)`` so that every source meets every target of its pair once.
+
+    For results that need the whole product but not its rows: a cell sums up what it sees.
+    Sources come as pair_id, src_ord, src, low; targets as pair_id, tgt_ord, tgt, low, family.
+    """
+    low, one_size = F.lower("name").alias("low"), F.lit(0).alias("size")
+    src = catalog.filter(F.col("side") == "source").select(
+        "pair_id", F.col("name").alias("src"), F.col("ordinal").cast("bigint").alias("src_ord"), low, one_size
+    )
+    tgt = catalog.filter(F.col("side") == "target").select(
+        "pair_id", F.col("name").alias("tgt"), F.col("ordinal").cast("bigint").alias("tgt_ord"), low, one_size,
+        dtype_family(F.col("dtype")).alias("family"),
+    )
+    sized = catalog.select("pair_id", "side", one_size)
+    plans, _ = with_lots(settle(pair_plans(sized, src_cell, tgt_cell)), src_cell, tgt_cell)
+    located = _located(src, plans, lambda a, b: F.lit(1.0)).withColumn("visit", F.explode("visits"))
+    visits = located.withColumn("band", F.col("visit.band")).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.col("visit.n_chunks") - 1))
+    )
+    left = visits.select(*CELL_KEY, "pair_id", "src_ord", "src", "low")
+    right = _placed(tgt, plans, "family").select(*CELL_KEY, "pair_id", "tgt_ord", "tgt", "low", "family")
+    return _cell_join(left, right, cell, schema)
+
+
 def grid_top_k(
     catalog: DataFrame,
     k: int,
@@ -238,20 +275,11 @@ def grid_top_k(
     plans, any_wide = with_lots(settle(pair_plans(sized, src_cell, tgt_cell)), src_cell, tgt_cell)
     located, placed = _located(src, plans, reach), _placed(tgt, plans)
     cell = _cell_function(scorer, k)
-    # Cells are few bytes and much work: sized by bytes they would end in too few tasks.
-    n_tasks = cell_tasks(catalog.sparkSession)
     left_columns = [*CELL_KEY, "pair_id", "src_ord", "src", "low", "bar"]
     right_columns = [*CELL_KEY, "pair_id", "tgt_ord", "tgt", "low"]
 
     def compare(left: DataFrame, right: DataFrame) -> DataFrame:
-        # toDF gives the right side, which shares the plan table, columns of its own.
-        left = left.select(*left_columns).repartition(n_tasks, *CELL_KEY)
-        right = right.select(*right_columns).toDF(*right_columns).repartition(n_tasks, *CELL_KEY)
-        return (
-            left.groupBy(*CELL_KEY)
-            .cogroup(right.groupBy(*CELL_KEY))
-            .applyInPandas(cell, CELL_SCHEMA)
-        )
+        return _cell_join(left.select(*left_columns), right.select(*right_columns), cell, CELL_SCHEMA)
 
     columns = PREDICTION_COLUMNS[:-1]
     home = compare(_home_visits(located), placed).select(*columns)

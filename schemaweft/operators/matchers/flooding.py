@@ -13,8 +13,9 @@ differ only by the initial similarity of their names. So after any number of rou
 
 with one alpha per schema pair and one beta per pair of type families. The rounds run on
 these few numbers, for all schema pairs in parallel, and are exactly those of the full
-graph. Initial similarities come from the trigram matcher's candidates and are zero
-elsewhere.
+graph. Initial similarities are the trigram similarities of all name pairs. What the rounds
+need of them is their sums, sums of squares and largest values per pair of families, which the
+trigram matcher's cells add up; no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaweft.catalog import PREDICTION_COLUMNS, dtype_family
-from schemaweft.operators.matchers.trigram import trigram_match
+from schemaweft.operators.matchers.trigram import trigram_levels
 from schemaweft.operators.ranking import first_targets, ranked
 from schemaweft.session import settle
 
@@ -38,7 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FORMULAS = ("basic", "a", "b", "c")
 SOLVED_SCHEMA = (
     "pair_id string, src_family string, tgt_family string, n_src bigint, n_tgt bigint, "
-    "alpha double, beta double, rounds int, residual double"
+    "alpha double, beta double, rounds int, residual double, converged boolean"
 )
 
 
@@ -111,7 +112,7 @@ def _solver(formula: str, max_rounds: int, epsilon: float):
             new = graph.step(state, formula)
             state, rounds, residual = new, rounds + 1, graph.distance(new, state)
         return classes[["pair_id", "src_family", "tgt_family", "n_src", "n_tgt"]].assign(
-            alpha=state[0], beta=state[2], rounds=rounds, residual=residual
+            alpha=state[0], beta=state[2], rounds=rounds, residual=residual, converged=residual <= epsilon
         )
 
     return solve
@@ -126,32 +127,43 @@ def _families(catalog: DataFrame, side: str, prefix: str) -> DataFrame:
     )
 
 
+class NotConverged(ValueError):
+    """Some pairs did not come to rest within the rounds allowed."""
+
+
 class Flooding:
-    """Solved propagation of a catalog: the explicit pairs and the class table."""
+    """Solved propagation of a catalog: levels of similarity, first targets, the class table.
+
+    ``k`` is the largest number of first targets that ``top_k`` can be asked for. ``seeds``
+    (pair_id, src_ord, tgt_ord, score) replaces the trigram similarities. With ``epsilon`` 0 exactly
+    ``max_rounds`` rounds are run; otherwise pairs that do not come to rest in them are an error.
+    """
 
     def __init__(
         self,
         catalog: DataFrame,
         seeds: DataFrame | None = None,
-        seed_k: int = 10,
+        k: int = 5,
         formula: str = "c",
-        max_rounds: int = 100,
+        max_rounds: int = 1000,
         epsilon: float = 1e-6,
+        **cells: int,
     ):
         if formula not in FORMULAS:
             raise ValueError(f"formula must be one of {FORMULAS}")
-        seeds = trigram_match(catalog, seed_k) if seeds is None else seeds
+        self.k = k
         self.src = _families(catalog, "source", "src")
         self.tgt = _families(catalog, "target", "tgt")
-        self.explicit = settle(
-            seeds.filter(F.col("score") > 0)
-            .select("pair_id", "src_ord", "tgt_ord", F.col("score").alias("s"))
-            .join(self.src, ["pair_id", "src_ord"])
-            .join(self.tgt, ["pair_id", "tgt_ord"])
+        found = settle(trigram_levels(catalog, k, **cells) if seeds is None else self._given(seeds))
+        found = found.withColumnRenamed("family", "tgt_family").join(
+            self.src.select("pair_id", "src_ord", "src_family"), ["pair_id", "src_ord"]
         )
+        self.levels, self.first = found.filter(F.col("n") > 0), found.filter(F.col("n") == 0).drop("n")
         type_pair = ["pair_id", "src_family", "tgt_family"]
-        sums = self.explicit.groupBy(*type_pair).agg(
-            F.sum("s").alias("s_sum"), F.sum(F.col("s") * F.col("s")).alias("s_squares"), F.max("s").alias("s_max")
+        sums = self.levels.groupBy(*type_pair).agg(
+            F.sum(F.col("n") * F.col("s")).alias("s_sum"),
+            F.sum(F.col("n") * F.col("s") * F.col("s")).alias("s_squares"),
+            F.max("s").alias("s_max"),
         )
         n_src = self.src.groupBy("pair_id", "src_family").agg(F.count("*").alias("n_src"))
         n_tgt = self.tgt.groupBy("pair_id", "tgt_family").agg(F.count("*").alias("n_tgt"))
@@ -160,30 +172,45 @@ class Flooding:
         self.classes = settle(
             classes.groupBy("pair_id").applyInPandas(_solver(formula, max_rounds, epsilon), SOLVED_SCHEMA)
         )
+        restless = self.classes.filter(~F.col("converged")).select("pair_id").distinct().limit(5).collect() if epsilon > 0 else []
+        if restless:
+            raise NotConverged(f"after {max_rounds} rounds, among others: {[r.pair_id for r in restless]}")
 
-    def scored(self) -> DataFrame:
-        """Scores of the pairs with a positive initial similarity."""
-        return self.explicit.join(
-            self.classes.select("pair_id", "src_family", "tgt_family", "alpha", "beta"),
-            ["pair_id", "src_family", "tgt_family"],
-        ).withColumn("score", F.col("alpha") * F.col("s") + F.col("beta"))
+    def _given(self, seeds: DataFrame) -> DataFrame:
+        """The rows of ``trigram_levels`` for given similarities."""
+        pairs = (
+            seeds.filter(F.col("score") > 0)
+            .select("pair_id", "src_ord", "tgt_ord", F.col("score").alias("s"))
+            .join(self.src.select("pair_id", "src_ord", "src"), ["pair_id", "src_ord"])
+            .join(self.tgt.withColumnRenamed("tgt_family", "family"), ["pair_id", "tgt_ord"])
+        )
+        key = ["pair_id", "src_ord", "src", "family", "s"]
+        levels = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("tgt_ord", "tgt")).alias("first"))
+        single = first_targets(pairs, self.k, ["pair_id", "src_ord", "family"], F.col("s").desc())
+        return levels.select(*key, "n", "first.*").unionByName(single.select(*key, F.lit(0).cast("bigint").alias("n"), "tgt_ord", "tgt"))
+
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        solved = self.classes.select("pair_id", "src_family", "tgt_family", "alpha", "beta")
+        return rows.join(solved, ["pair_id", "src_family", "tgt_family"]).withColumn(
+            "score", F.col("alpha") * F.col("s") + F.col("beta")
+        )
 
     def shortlist(self) -> DataFrame:
         """The whole ranking of every source, with pairs of equal standing in one row.
 
-        Rows with a target are single pairs. Rows without one stand for the ``n_targets``
-        other targets of a type family, which all have the same score for the source.
+        A row stands for the ``n_targets`` targets of a type family that have one similarity ``s``
+        to the source, and so one score; ``tgt`` is the first of them by ordinal. The targets that
+        share no trigram with it are in one row a family, without a name.
         """
-        single = self.scored()
-        listed = single.groupBy("pair_id", "src_ord", "tgt_family").agg(F.count("*").alias("n_listed"))
+        listed = self.levels.groupBy("pair_id", "src_ord", "tgt_family").agg(F.sum("n").alias("n_listed"))
         rest = (
             self.src.join(self.classes, ["pair_id", "src_family"])
             .join(listed, ["pair_id", "src_ord", "tgt_family"], "left")
             .withColumn("n_targets", F.col("n_tgt") - F.coalesce("n_listed", F.lit(0)))
             .filter(F.col("n_targets") > 0)
         )
-        columns = ["pair_id", "src", "src_ord", "tgt", "tgt_ord", "tgt_family", "score", "n_targets"]
-        return single.withColumn("n_targets", F.lit(1).cast("bigint")).select(*columns).unionByName(
+        columns = ["pair_id", "src", "src_ord", "tgt", "tgt_ord", "tgt_family", "s", "score", "n_targets"]
+        return self._scored(self.levels).withColumnRenamed("n", "n_targets").select(*columns).unionByName(
             rest.select(
                 "pair_id",
                 "src",
@@ -191,6 +218,7 @@ class Flooding:
                 F.lit(None).cast("string").alias("tgt"),
                 F.lit(None).cast("bigint").alias("tgt_ord"),
                 "tgt_family",
+                F.lit(0.0).alias("s"),
                 F.col("beta").alias("score"),
                 "n_targets",
             )
@@ -199,9 +227,11 @@ class Flooding:
     def top_k(self, k: int) -> DataFrame:
         """The first ``k`` of every source's ranking, ties by target ordinal.
 
-        Pairs that are not explicit rank by type class and ordinal, so the first ``k`` of
-        them per source type are enough: explicit pairs only move up.
+        In a family of targets scores follow the similarity, so its first ``k`` are enough. Those
+        without a similarity rank by type class and ordinal: the first ``k`` per source type will do.
         """
+        if k > self.k:
+            raise ValueError(f"built for the first {self.k} targets")
         rounded = F.round("score", 9)
         heads = first_targets(self.tgt, k, ["pair_id", "tgt_family"])
         background = heads.join(
@@ -212,7 +242,7 @@ class Flooding:
         columns = PREDICTION_COLUMNS[:-1]
         padded = self.src.join(background.drop("tgt_family"), ["pair_id", "src_family"]).select(*columns)
         pooled = (
-            self.scored()
+            self._scored(self.first)
             .select(*columns)
             .unionByName(padded)
             .repartition("pair_id", "src_ord")
@@ -224,4 +254,4 @@ class Flooding:
 
 def flooding_match(catalog: DataFrame, k: int = 5, **options) -> DataFrame:
     """First ``k`` targets per source; ``Flooding(...).shortlist()`` has the whole ranking."""
-    return Flooding(catalog, **options).top_k(k)
+    return Flooding(catalog, k=k, **options).top_k(k)

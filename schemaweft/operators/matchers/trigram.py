@@ -6,11 +6,12 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaweft.operators.grid import grid_top_k
+from schemaweft.operators.grid import grid_every, grid_top_k
 
 # The cell functions travel with the task, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -73,3 +74,80 @@ def trigram_match(
         return F.when((a == 0) | (b == 0), 0.0).otherwise(1.0)
 
     return grid_top_k(catalog, k, _by_shared_grams, n_grams, reach, src_cell, tgt_cell)
+
+
+LEVELS_SCHEMA = "pair_id string, src_ord bigint, src string, family string, s double, n bigint, tgt_ord bigint, tgt string"
+
+
+def _levels_function(k: int):
+    def levels_of(rows: list[tuple]):
+        """(sizes, postings, family numbers, rows) of a pair's targets in the cell, by ordinal."""
+        rows = sorted(rows)
+        postings: dict[str, list[int]] = {}
+        sizes = np.empty(len(rows))
+        for i, (_, _, low, _) in enumerate(rows):
+            grams = _grams(low)
+            sizes[i] = len(grams)
+            for gram in grams:
+                postings.setdefault(gram, []).append(i)
+        names = sorted({r[3] for r in rows})
+        family = np.array([names.index(r[3]) for r in rows], dtype=np.int64)
+        return rows, sizes, {g: np.array(m) for g, m in postings.items()}, names, family
+
+    def one_source(low: str, rows, sizes, postings, names, family) -> list[tuple]:
+        grams = _grams(low)
+        met = [postings[g] for g in grams if g in postings]
+        if not met:
+            return []
+        overlap = np.bincount(np.concatenate(met), minlength=len(rows))
+        hits = np.flatnonzero(overlap)
+        shared = overlap[hits]
+        s = shared / (len(grams) + sizes[hits] - shared)
+        order = np.lexsort((hits, -s, family[hits]))
+        hits, s, kind = hits[order], s[order], family[hits][order]
+        new = np.flatnonzero(np.r_[True, (np.diff(s) != 0) | (np.diff(kind) != 0)])
+        counts = np.diff(np.r_[new, len(s)])
+        out = [
+            (names[kind[i]], float(s[i]), int(n), rows[hits[i]][0], rows[hits[i]][1])
+            for i, n in zip(new.tolist(), counts.tolist())
+        ]
+        # Rows come best first within a family, so its first k stand at its beginning.
+        begin = np.searchsorted(kind, np.arange(len(names)))
+        head = np.arange(len(s)) - begin[kind] < k
+        out += [(names[kind[i]], float(s[i]), 0, rows[hits[i]][0], rows[hits[i]][1]) for i in np.flatnonzero(head).tolist()]
+        return out
+
+    def cell(src: pd.DataFrame, tgt: pd.DataFrame) -> pd.DataFrame:
+        of_pair: dict[str, list[tuple]] = {}
+        for pair_id, *row in zip(tgt["pair_id"], tgt["tgt_ord"], tgt["tgt"], tgt["low"], tgt["family"]):
+            of_pair.setdefault(pair_id, []).append(tuple(row))
+        prepared: dict[str, tuple] = {}
+        known: dict[tuple[str, str], list[tuple]] = {}
+        found: list[tuple] = []
+        for pair_id, src_ord, name, low in zip(src["pair_id"], src["src_ord"], src["src"], src["low"]):
+            if pair_id not in of_pair:
+                continue
+            if pair_id not in prepared:
+                prepared[pair_id] = levels_of(of_pair[pair_id])
+            if (pair_id, low) not in known:
+                known[pair_id, low] = one_source(low, *prepared[pair_id])
+            found += [(pair_id, src_ord, name, *row) for row in known[pair_id, low]]
+        return pd.DataFrame(found, columns=["pair_id", "src_ord", "src", "family", "s", "n", "tgt_ord", "tgt"])
+
+    return cell
+
+
+def trigram_levels(catalog: DataFrame, k: int = 5, src_cell: int = 1024, tgt_cell: int = 4096) -> DataFrame:
+    """The positive similarities of every source to all targets of its pair, without the pairs.
+
+    Two kinds of rows. With ``n`` > 0: so many targets of ``family`` have the similarity ``s``, and
+    the first of them by ordinal is named; a name's length bounds how many values there are. With ``n`` = 0:
+    a target that is among the source's first ``k`` of the family in its chunk, so the first ``k`` of all
+    are there. Cells sum up what they see; the parts of a source, one for each chunk of its pair's
+    targets, are put together by an aggregation.
+    """
+    parts = grid_every(catalog, _levels_function(k), LEVELS_SCHEMA, src_cell, tgt_cell)
+    first = F.min(F.struct("tgt_ord", "tgt"))
+    key = ["pair_id", "src_ord", "src", "family", "s"]
+    whole = parts.groupBy(*key, F.when(F.col("n") == 0, F.col("tgt_ord")).alias("single")).agg(F.sum("n").alias("n"), first.alias("first"))
+    return whole.select(*key, "n", "first.tgt_ord", "first.tgt")

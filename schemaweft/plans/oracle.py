@@ -14,8 +14,7 @@ from schemaweft.operators.evaluate import DEFAULT_THRESHOLDS
 from schemaweft.operators.legacy import JUNK_ORDINAL
 from schemaweft.operators.matchers.cupid import OTHER_TYPES, RELATED_TYPES, SAME_TYPE, CupidParameters
 from schemaweft.operators.stability import DEFAULT_SEEDS, HIGH_PART, PRIME, SHIFT, STEP
-from schemaweft.plans.queries import FLOODING_ROUNDS
-from schemaweft.plans.workload import BLOCK, DTYPE_OF_LANG, WORD_ABBREVIATIONS
+from schemaweft.plans.workload import DTYPE_OF_LANG, WORD_ABBREVIATIONS
 from schemaweft.sources.generator import ANCHOR, BASE_SCHEMA, FULL_NAMES, MODULUS, STATUSES, STREETS
 
 
@@ -46,8 +45,8 @@ _JUNK_ROWS = ", ".join(
 
 DOCUMENTS = f"""
 words AS (
-  SELECT source || '_' || (doc_id // {BLOCK}) AS pair_id, doc_id, lang, source,
-         list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: length(x) BETWEEN 3 AND 8) AS ws
+  SELECT coalesce(source, '') AS pair_id, doc_id, lang, source,
+         list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS ws
   FROM documents),
 named AS (
   SELECT pair_id, doc_id, lang, source,
@@ -110,6 +109,8 @@ def _trigram(k: int = 5, name: str = "trigram", src: str = "src", tgt: str = "tg
 {name} AS MATERIALIZED ({_top(name + "_c", k)})"""
 
 
+# Targets are taken to be under 200 characters (the longest in the tables has 48): beyond, the
+# matcher leaves out popular characters as difflib does, which this does not state.
 # A segment is a pair of strings. Its longest common block, earliest in the first and
 # then in the second, splits it into a left and a right segment.
 SEQUENCE = f"""
@@ -209,49 +210,35 @@ cupid AS (
   FROM cupid_c WHERE score >= {_CUPID.th_accept})"""
 
 
-def _flooding() -> str:
-    """The full graph, node by node, for a fixed number of rounds of formula c.
-
-    Columns: c column pair, m name pair per (i, j); k type pair per family pair; t table.
-    """
-    parts = [
-        f"""
-fs AS MATERIALIZED (SELECT pair_id, src, src_ord, {_family("dtype")} AS sf FROM src),
-ft AS MATERIALIZED (SELECT pair_id, tgt, tgt_ord, {_family("dtype")} AS tf FROM tgt),
+# The full graph, node by node, by formula c until a pair comes to rest; the similarities of all
+# name pairs seed it. Columns: c column pair, m name pair per (i, j); k type pair per family pair; t table.
+FLOODING = f"""
+sim_s AS MATERIALIZED (SELECT *, {_family("dtype")} AS sf, {_GRAMS.format("src")} AS g FROM src),
+sim_t AS MATERIALIZED (SELECT *, {_family("dtype")} AS tf, {_GRAMS.format("tgt")} AS h FROM tgt),
 node AS MATERIALIZED (
-  SELECT a.pair_id, a.src, a.src_ord, a.sf, b.tgt, b.tgt_ord, b.tf, coalesce(x.score, 0.0) AS s,
-         count(*) OVER (PARTITION BY a.pair_id) AS n_all,
-         count(*) OVER (PARTITION BY a.pair_id, a.sf, b.tf) AS n_kind
-  FROM fs a JOIN ft b USING (pair_id)
-  LEFT JOIN seed x ON x.pair_id = a.pair_id AND x.src_ord = a.src_ord AND x.tgt_ord = b.tgt_ord),
-r0 AS MATERIALIZED (
+  SELECT a.pair_id, src, src_ord, sf, tgt, tgt_ord, tf,
+         CASE WHEN len(g) = 0 OR len(h) = 0 THEN 0.0::DOUBLE
+              ELSE len(list_intersect(g, h))::DOUBLE / (len(g) + len(h) - len(list_intersect(g, h))) END AS s,
+         count(*) OVER (PARTITION BY a.pair_id) AS n_all, count(*) OVER (PARTITION BY a.pair_id, sf, tf) AS n_kind
+  FROM sim_s a JOIN sim_t b ON a.pair_id = b.pair_id),
+flood AS (
   SELECT pair_id, src_ord, tgt_ord, sf, tf, s, n_all, n_kind, 0.0::DOUBLE AS c, s AS m,
-         CASE WHEN sf = tf THEN 1.0::DOUBLE ELSE 0.0 END AS k, 0.0::DOUBLE AS t FROM node)"""
-    ]
-    for i in range(1, FLOODING_ROUNDS + 1):
-        p = f"r{i - 1}"
-        parts.append(
-            f"""
-u{i} AS (
-  SELECT pair_id, src_ord, tgt_ord, sf, tf, s, n_all, n_kind, c, m + s AS m,
-         k + CASE WHEN sf = tf THEN 1.0::DOUBLE ELSE 0.0 END AS k, t FROM {p}),
-v{i} AS (
-  SELECT *, c + m + t / n_all + k / n_kind AS nc, m + c AS nm,
-         k + sum(c) OVER (PARTITION BY pair_id, sf, tf) AS nk, t + sum(c) OVER (PARTITION BY pair_id) AS nt FROM u{i}),
-r{i} AS MATERIALIZED (
-  SELECT pair_id, src_ord, tgt_ord, sf, tf, s, n_all, n_kind, nc / top AS c, nm / top AS m, nk / top AS k, nt / top AS t
-  FROM (SELECT *, max(greatest(nc, nm, nk, nt)) OVER (PARTITION BY pair_id) AS top FROM v{i}))"""
-        )
-    parts.append(
-        f"""
+         CASE WHEN sf = tf THEN 1.0::DOUBLE ELSE 0.0 END AS k, 0.0::DOUBLE AS t, 0 AS round, 1.0::DOUBLE AS residual
+  FROM node
+  UNION ALL
+  SELECT pair_id, src_ord, tgt_ord, sf, tf, s, n_all, n_kind, nc / top, nm / top, nk / top, nt / top, round + 1,
+         sqrt(sum((nc / top - c) ^ 2 + (nm / top - m) ^ 2 + (nk / top - k) ^ 2 / n_kind + (nt / top - t) ^ 2 / n_all)
+              OVER (PARTITION BY pair_id))
+  FROM (
+    SELECT *, max(greatest(nc, nm, nk, nt)) OVER (PARTITION BY pair_id) AS top FROM (
+      SELECT *, c + um + t / n_all + uk / n_kind AS nc, um + c AS nm,
+             uk + sum(c) OVER (PARTITION BY pair_id, sf, tf) AS nk, t + sum(c) OVER (PARTITION BY pair_id) AS nt
+      FROM (SELECT *, m + s AS um, k + CASE WHEN sf = tf THEN 1.0::DOUBLE ELSE 0.0 END AS uk
+            FROM flood WHERE round < 1000 AND residual > 1e-6)))),
 flooded AS MATERIALIZED (
-  SELECT pair_id, src, src_ord, tgt, tgt_ord, r.tf AS tf, node.s AS s, r.c AS score
-  FROM r{FLOODING_ROUNDS} r JOIN node USING (pair_id, src_ord, tgt_ord))"""
-    )
-    return ",".join(parts)
-
-
-FLOODING = _trigram(10, "seed") + "," + _flooding()
+  SELECT pair_id, src, src_ord, tgt, tgt_ord, tf, node.s AS s, c AS score
+  FROM (SELECT pair_id, src_ord, tgt_ord, c FROM flood QUALIFY round = max(round) OVER (PARTITION BY pair_id))
+  JOIN node USING (pair_id, src_ord, tgt_ord))"""
 
 _COLUMNS = "pair_id, src, src_ord, tgt, tgt_ord, round(score, 6) AS score, rank"
 
@@ -427,10 +414,10 @@ ORACLES: dict[str, str] = {
     "match_flooding": f"""{_with(DOCUMENTS, FLOODING)}, best AS ({_top("flooded", 5, "round(score, 9)")})
       SELECT {_COLUMNS} FROM best""",
     "match_flooding_shortlist": f"""{_with(DOCUMENTS, FLOODING)}
-      SELECT pair_id, src, src_ord, tgt, tgt_ord, tf AS tgt_family, round(score, 6) AS score, CAST(1 AS BIGINT) AS n_targets
-      FROM flooded WHERE s > 0
-      UNION ALL SELECT pair_id, src, src_ord, NULL, NULL, tf, round(max(score), 6), count(*) FROM flooded WHERE s = 0
-      GROUP BY pair_id, src, src_ord, tf""",
+      SELECT pair_id, src, src_ord, CASE WHEN s > 0 THEN arg_min(tgt, tgt_ord) END AS tgt,
+        CASE WHEN s > 0 THEN min(tgt_ord) END AS tgt_ord, tf AS tgt_family, round(s, 6) AS s, round(max(score), 6) AS score,
+        count(*) AS n_targets
+      FROM flooded GROUP BY pair_id, src, src_ord, tf, s""",
     "eval_outcomes": f"{EVAL_3} SELECT matcher, pair_id, src, outcome, n_cand FROM outcome",
     "eval_ranks": f"{EVAL_3} SELECT matcher, pair_id, src, coalesce(rank, 0) AS rank FROM outcome WHERE known",
     "eval_report": EVAL_4

@@ -21,7 +21,6 @@ from schemaweft.session import settle, shared_folder
 from schemaweft.sources import pairs, sinks
 from schemaweft.sources.generator import base_table
 
-FLOODING_ROUNDS = 8
 MATCHERS_3 = {"exact": exact_match, "normalized": normalized_match, "trigram": trigram_match}
 MATCHERS_4 = {**MATCHERS_3, "sequence": sequence_match}
 
@@ -191,15 +190,13 @@ def match_cupid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_flooding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Documents(spark, sf_dir)
-    solved = Flooding(settle(d.catalog), max_rounds=FLOODING_ROUNDS, epsilon=0.0)
-    return _predictions(solved.top_k(5))
+    return _predictions(Flooding(settle(d.catalog)).top_k(5))
 
 
 def match_flooding_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ranking of every source, tied targets of a type family in one row."""
+    """The whole ranking of every source, equally similar targets of a type family in one row."""
     d = Documents(spark, sf_dir)
-    solved = Flooding(settle(d.catalog), max_rounds=FLOODING_ROUNDS, epsilon=0.0)
-    return _rounded(solved.shortlist(), "score")
+    return _rounded(Flooding(settle(d.catalog)).shortlist(), "score", "s")
 
 
 # Evaluation

@@ -15,10 +15,6 @@ from schemaweft.functions.values import JUNK_COLUMNS, JUNK_DTYPES
 from schemaweft.operators import legacy
 from schemaweft.sources.generator import base_catalog
 
-# Ids per block in the SQL twins. Here a source is one schema, however many documents it has;
-# both agree up to this id.
-BLOCK = 10000
-
 # Abbreviations of words that are frequent in the documents.
 WORD_ABBREVIATIONS = {
     "with": "wth",
@@ -34,20 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share out a scan that has fewer splits than the session has cores.
-
-    Only small inputs are moved; a large table has splits enough and stays where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def column_name(text: Column, lang: Column) -> Column:
-    """First, longest and last word, of three to eight letters, of the whole text."""
-    words = F.filter(
-        F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w).between(3, 8)
-    )
+    """First, longest and last word of the whole text, by code points; words are runs of letters."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
     def joined(ws: Column) -> Column:
         longest = F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
@@ -70,9 +55,9 @@ def document_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     get the table prefix, French ones lose their vowels, Spanish ones are upper-cased,
     English ones of good quality are abbreviated; toxic documents are dropped.
     """
-    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     documents = texts.select(
-        F.concat_ws("_", "source", F.lit(0)).alias("pair_id"),
+        F.coalesce("source", F.lit("")).alias("pair_id"),
         "doc_id",
         "lang",
         "source",

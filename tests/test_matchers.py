@@ -5,9 +5,9 @@ import pytest
 
 from schemaweft.operators.matchers.cupid import CupidParameters, cupid_match
 from schemaweft.operators.matchers.exact import exact_match, normalized_match
-from schemaweft.operators.matchers.flooding import FORMULAS, Flooding, flooding_match
+from schemaweft.operators.matchers.flooding import FORMULAS, Flooding, NotConverged, flooding_match
 from schemaweft.operators.matchers.sequence import sequence_match
-from schemaweft.operators.matchers.trigram import trigram_match
+from schemaweft.operators.matchers.trigram import trigram_levels, trigram_match
 
 
 def grams(name):
@@ -224,14 +224,11 @@ def test_flooding_equals_the_full_graph(catalog_of, ranked_lists, formula):
     seen = 0
     for row in solved.shortlist().collect():
         i = row.src_ord - 1
-        if row.tgt is not None:
-            assert row.score == pytest.approx(expected[i, row.tgt_ord - 1])
-            seen += 1
-        else:
-            same = [j for j, t in enumerate(named[1]) if t[1] == row.tgt_family and seeds[i, j] == 0]
-            assert row.n_targets == len(same)
-            assert [expected[i, j] for j in same] == pytest.approx([row.score] * len(same))
-            seen += len(same)
+        same = [j for j, t in enumerate(named[1]) if t[1] == row.tgt_family and seeds[i, j] == pytest.approx(row.s, abs=1e-12)]
+        assert row.n_targets == len(same)
+        assert [expected[i, j] for j in same] == pytest.approx([row.score] * len(same))
+        assert row.tgt_ord == (None if row.s == 0 else min(same) + 1)
+        seen += len(same)
     assert seen == len(expected)
     best = ranked_lists(solved.top_k(3))
     for i in range(len(src)):
@@ -239,6 +236,45 @@ def test_flooding_equals_the_full_graph(catalog_of, ranked_lists, formula):
         assert [t for t, _ in best[("p", i + 1)]] == [tgt[j][0] for j in order]
 
 
+@pytest.mark.parametrize("cells", [{}, {"src_cell": 6, "tgt_cell": 5}])
+def test_levels_sum_up_the_full_product(catalog_of, cells):
+    pairs = random_pairs(11, n_pairs=12)
+    rng = random.Random(5)
+    typed = {p: [[(n, rng.choice(["int", "str", None])) for n in side] for side in both] for p, both in pairs.items()}
+    names = {"int": "integer", "str": "text", None: "other"}
+    levels, first = {}, {}
+    for pair, (src, tgt) in typed.items():
+        for i, (s, _) in enumerate(src):
+            rows = [(names[kind], jaccard(s, t), j + 1) for j, (t, kind) in enumerate(tgt)]
+            for kind, value, j in rows:
+                if value > 0:
+                    n, least = levels.get((pair, i + 1, kind, value), (0, j))
+                    levels[pair, i + 1, kind, value] = (n + 1, min(least, j))
+            for kind in names.values():
+                best = sorted((-v, j) for k, v, j in rows if k == kind and v > 0)[:3]
+                if best:
+                    first[pair, i + 1, kind] = [j for _, j in best]
+    found = trigram_levels(catalog_of(typed), 3, **cells).collect()
+    assert {(r.pair_id, r.src_ord, r.family, r.s): (r.n, r.tgt_ord) for r in found if r.n} == levels
+    got = {}
+    for r in sorted((r for r in found if not r.n), key=lambda r: (-r.s, r.tgt_ord)):
+        got.setdefault((r.pair_id, r.src_ord, r.family), []).append(r.tgt_ord)
+    # Every chunk sends its first three; the first of all are among them, in order.
+    assert {key: rows[:3] for key, rows in got.items()} == first
+
+
+def test_flooding_with_given_similarities_and_rounds_that_end_early(spark, catalog_of, ranked_lists):
+    catalog = catalog_of(random_pairs(8, n_pairs=3, widest=9))
+    seeds = trigram_match(catalog, 9)
+    own, given = Flooding(catalog, k=4), Flooding(catalog, seeds=seeds, k=4)
+    rounded = [{key: [(t, round(s, 9)) for t, s in rows] for key, rows in ranked_lists(f.top_k(4)).items()} for f in (own, given)]
+    assert rounded[0] == rounded[1]
+    with pytest.raises(ValueError, match="first 4"):
+        own.top_k(5)
+    with pytest.raises(NotConverged):
+        Flooding(catalog, max_rounds=2)
+
+
 def test_flooding_converges_and_never_abstains(catalog_of):
     catalog = catalog_of(random_pairs(3, n_pairs=4, widest=8))
     rounds = {r.pair_id: (r.rounds, r.residual) for r in Flooding(catalog).classes.collect()}
