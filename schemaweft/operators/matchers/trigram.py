@@ -1,17 +1,25 @@
-"""Top-k targets by Jaccard similarity of lower-case character trigrams."""
+"""Jaccard similarity of lower-case character trigrams: first targets, and levels of similarity.
+
+First targets come from an inverted index, in Spark's own operators. Levels, which need every pair
+that shares a trigram, are added up in the cells of a grid.
+"""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaweft.operators.grid import grid_every, grid_top_k
+from schemaweft.catalog import PREDICTION_COLUMNS, no_predictions, sources, targets
+from schemaweft.functions.names import trigrams
+from schemaweft.operators.grid import grid_every
+from schemaweft.operators.ranking import first_targets, ranked
+from schemaweft.operators.setjoin import meet, rare_first
+from schemaweft.session import settle
 
 # The cell functions travel with the task, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -21,59 +29,97 @@ def _grams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
-def _by_shared_grams(
-    texts: list[str], firsts: list[int], bars: dict[str, float], k: int
-) -> Iterator[tuple[str, list[tuple[int, float]]]]:
-    """Score only targets that share a trigram, through the postings of the chunk.
+#: Share of a source's trigrams, the rarest, that are looked up first, for its bar.
+SEED_SHARE = 0.6
 
-    Fewer than ``k`` such targets are padded with the chunk's first targets at 0.0: of
-    its first k at most as many are hits as there are hits, so enough zeros remain.
-    """
-    postings: dict[str, list[int]] = {}
-    sizes = np.empty(len(texts))
-    for i, text in enumerate(texts):
-        grams = _grams(text)
-        sizes[i] = len(grams)
-        for gram in grams:
-            postings.setdefault(gram, []).append(i)
-    lists = {gram: np.array(members) for gram, members in postings.items()}
-    order = np.array(firsts, dtype=np.int64)
-    padding = np.argsort(order, kind="stable")[:k]
-    for text, bar in bars.items():
-        grams = _grams(text)
-        met = [lists[g] for g in grams if g in lists]
-        best: list[tuple[int, float]] = []
-        if met:
-            overlap = np.bincount(np.concatenate(met), minlength=len(texts))
-            hits = np.flatnonzero(overlap)
-            shared = overlap[hits]
-            scores = shared / (len(grams) + sizes[hits] - shared)
-            floor = bar
-            if len(hits) > k:
-                floor = max(bar, np.partition(scores, len(scores) - k)[len(scores) - k])
-            kept = scores >= floor
-            best = list(zip(hits[kept].tolist(), scores[kept].tolist()))
-        if len(best) < k and bar == 0.0:
-            seen = {i for i, _ in best}
-            best += [(int(i), 0.0) for i in padding if int(i) not in seen]
-        yield text, best
-
-
-def trigram_match(
-    catalog: DataFrame, k: int = 5, src_cell: int = 1024, tgt_cell: int = 4096
-) -> DataFrame:
-    """Exact top-k of every source over all targets of its pair; zero scores are kept.
 
-    Names under three characters have no trigrams and score 0.0, even when equal.
+def gram_codes(name: Column) -> Column:
+    """Distinct trigrams as numbers: three code points of 21 bits each."""
+
+    def code(gram: Column) -> Column:
+        points = [F.ascii(F.substr(gram, F.lit(i), F.lit(1))).cast("bigint") for i in (1, 2, 3)]
+        return F.shiftleft(points[0], 42) + F.shiftleft(points[1], 21) + points[2]
+
+    return F.transform(trigrams(name), code)
+
+
+class TrigramIndex:
+    """Postings of a catalog's trigrams by pair, and how far each source has to read them.
+
+    Trigrams are ordered rarest first. A source first looks up the rarest ``SEED_SHARE`` of its own,
+    whose postings are short; the k-th score found there is its bar ``t``. A target that reaches it shares
+    at least ``t * n`` of the source's ``n`` trigrams, so it holds one of the first
+    ``e - ceil(t * n) + 1`` of the ``e`` that occur among the targets: the others, those with the
+    longest postings, are not read. What both sides still have behind the common trigram bounds
+    the score before any set is compared. Postings that many columns share are dealt into cells of at
+    most ``cell`` columns a side.
     """
-    n_grams = F.greatest(F.length("low") - 2, F.lit(0))
 
-    def reach(a, b):
-        # A name of n characters has at most n - 2 distinct trigrams and may have only
-        # one, so sizes bound nothing unless one side has none.
-        return F.when((a == 0) | (b == 0), 0.0).otherwise(1.0)
+    def __init__(self, catalog: DataFrame, k: int, cell: int = 4096):
+        self.k, self.cell = k, cell
+        grams = gram_codes(F.col("name"))
+        sets = catalog.select("pair_id", "side", F.col("ordinal").cast("bigint").alias("ord"), "name", grams.alias("elems"))
+        ordered = settle(rare_first(sets.withColumn("n", F.size("elems"))))
+        self.src = ordered.filter(F.col("side") == "source").select(
+            "pair_id", F.col("ord").alias("src_ord"), F.col("name").alias("src"), F.col("n").alias("n_src_grams"), "elems"
+        )
+        self.tgt = ordered.filter(F.col("side") == "target").select(
+            "pair_id", F.col("ord").alias("tgt_ord"), F.col("name").alias("tgt"), F.col("n").alias("n_tgt_grams"), "elems"
+        )
+        self.seeds = settle(ranked(self._met(self.src.withColumn("bar", F.lit(0.0)), self.seeding()), k))
+        bars = self.seeds.filter(F.col("rank") == k).select("pair_id", "src_ord", F.col("score").alias("bar"))
+        self.barred = settle(
+            self.src.join(bars, ["pair_id", "src_ord"], "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
+        )
+
+    @staticmethod
+    def seeding() -> Column:
+        """Number of leading trigrams that are looked up first."""
+        return F.ceil(F.size("elems") * SEED_SHARE).cast("int")
+
+    @staticmethod
+    def keep() -> Column:
+        """Number of leading trigrams to look up under the bar; all while there is none."""
+        needed = F.greatest(F.ceil(F.col("bar") * F.col("n_src_grams") - 1e-9), F.lit(1))
+        return (F.size("elems") - needed + 1).cast("int")
+
+    def _met(self, src: DataFrame, keep: Column, start: Column | None = None) -> DataFrame:
+        """Scored pairs that share a looked-up trigram and can reach the source's bar."""
+        total = F.col("n_src_grams") + F.col("n_tgt_grams")
+        possible = F.col("ub") / (total - F.col("ub")).cast("double") >= F.col("bar")
+        met = meet(src, self.tgt, keep, possible, self.cell, start)
+        score = F.col("overlap") / (total - F.col("overlap")).cast("double")
+        return met.select("pair_id", "src", "src_ord", "tgt", "tgt_ord", score.alias("score"), "bar").filter("score >= bar").drop("bar")
+
+    def hits(self) -> DataFrame:
+        """Scored pairs among which are the first k with a positive score of every source."""
+        columns = PREDICTION_COLUMNS[:-1]
+        return self.seeds.select(*columns).unionByName(self._met(self.barred, self.keep(), self.seeding()).select(*columns))
+
+    def lookups(self) -> DataFrame:
+        """pair_id, src_ord, bar, and the postings that are read and that there are."""
+        kept = F.slice("elems", F.lit(1), F.greatest(self.keep(), self.seeding()))
+        read = F.aggregate(kept, F.lit(0).cast("bigint"), lambda n, e: n + e.n_tgt)
+        every = F.aggregate("elems", F.lit(0).cast("bigint"), lambda n, e: n + e.n_tgt)
+        return self.barred.select("pair_id", "src_ord", "bar", read.alias("n_read"), every.alias("n_postings"))
+
+
+def trigram_match(catalog: DataFrame, k: int = 5, cell: int = 4096) -> DataFrame:
+    """Exact top-k of every source over all targets of its pair; zero scores are kept.
 
-    return grid_top_k(catalog, k, _by_shared_grams, n_grams, reach, src_cell, tgt_cell)
+    Names under three characters have no trigrams and score 0.0, even when equal. Fewer than
+    ``k`` hits are padded with the pair's first targets at 0.0: of its first k at most as many are hits
+    as there are hits, so enough zeros remain.
+    """
+    if k <= 0:
+        return no_predictions(catalog)
+    hits = TrigramIndex(catalog, k, cell).hits()
+    first = first_targets(targets(catalog), k, ["pair_id"])
+    padding = sources(catalog).join(first, "pair_id").withColumn("score", F.lit(0.0))
+    columns = PREDICTION_COLUMNS[:-1]
+    pooled = ranked(hits, k).select(*columns).unionByName(padding.select(*columns))
+    best = pooled.groupBy("pair_id", "src", "src_ord", "tgt", "tgt_ord").agg(F.max("score").alias("score"))
+    return ranked(best, k)
 
 
 LEVELS_SCHEMA = "pair_id string, src_ord bigint, src string, family string, s double, n bigint, tgt_ord bigint, tgt string"

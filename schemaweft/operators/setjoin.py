@@ -42,12 +42,13 @@ def _cells(count: Column, cell: int) -> Column:
 
 
 def meet(
-    src: DataFrame, tgt: DataFrame, keep: Column, condition: Column, cell: int = 4096
+    src: DataFrame, tgt: DataFrame, keep: Column, condition: Column, cell: int = 4096, start: Column | None = None
 ) -> DataFrame:
     """Join source sets to target sets at their rarest common element.
 
     ``src``: pair_id, src_ord, elems (rare-first structs) and payload; ``tgt`` alike with
-    tgt_ord. ``keep`` is the number of leading source elements to look up. ``condition``
+    tgt_ord. ``keep`` is the number of leading source elements to look up; with ``start``, those
+    before it are not, and pairs that share one of them are left out. ``condition``
     may use payload columns of both sides and ``ub``, an upper bound of the overlap.
     Adds ``overlap``, the exact number of common elements.
     """
@@ -58,6 +59,8 @@ def meet(
         .select("*", F.posexplode(F.slice("elems", F.lit(1), F.col("keep").cast("int"))).alias("i", "e"))
         .withColumn("s_left", F.size("s_elems") - F.col("i"))
     )
+    if start is not None:
+        left = left.filter(F.col("i") >= start)
     right = (
         tgt.withColumn("t_elems", F.transform("elems", lambda e: e.elem))
         .select("*", F.posexplode("elems").alias("j", "e"))

@@ -7,7 +7,7 @@ from schemaweft.operators.matchers.cupid import CupidParameters, cupid_match
 from schemaweft.operators.matchers.exact import exact_match, normalized_match
 from schemaweft.operators.matchers.flooding import FORMULAS, Flooding, NotConverged, flooding_match
 from schemaweft.operators.matchers.sequence import sequence_match
-from schemaweft.operators.matchers.trigram import trigram_levels, trigram_match
+from schemaweft.operators.matchers.trigram import TrigramIndex, trigram_levels, trigram_match
 
 
 def grams(name):
@@ -95,6 +95,8 @@ def test_zero_candidates_is_abstaining(catalog_of, match):
 @pytest.mark.parametrize("k, cells", [(5, {}), (3, {"src_cell": 7, "tgt_cell": 6}), (1, {"src_cell": 1000, "tgt_cell": 9})])
 def test_top_k_equals_the_full_product(catalog_of, ranked_lists, match, score, k, cells):
     catalog = catalog_of(random_pairs(k))
+    if match is trigram_match:
+        cells = {"cell": cells["tgt_cell"]} if cells else {}
     assert ranked_lists(match(catalog, k, **cells)) == brute_force(catalog, k, score)
 
 
@@ -103,10 +105,25 @@ def test_one_pair_holding_most_columns(catalog_of, ranked_lists):
     rng = random.Random(4)
     wide["hot"] = [[f"cust_{rng.randint(0, 999):03d}_{rng.choice(['nm', 'cd', 'dt'])}" for _ in range(300)] for _ in range(2)]
     catalog = catalog_of(wide)
-    assert ranked_lists(trigram_match(catalog, 5, src_cell=40, tgt_cell=50)) == brute_force(catalog, 5, jaccard)
+    assert ranked_lists(trigram_match(catalog, 5, cell=40)) == brute_force(catalog, 5, jaccard)
     assert ranked_lists(sequence_match(catalog, 5, src_cell=40, tgt_cell=50)) == brute_force(catalog, 5, block_ratio)
 
 
+def test_trigram_lookups_stop_at_the_bar(catalog_of):
+    """Sources with close targets read a small share of the postings; none reads past its bar's prefix."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    src = [f"cust_{rng.choice(words)}_{rng.choice(words)}_name" for _ in range(120)]
+    tgt = [f"{s}{i}" for s in src for i in range(5)]
+    read = TrigramIndex(catalog_of({"p": (src, tgt)}), 5).lookups().collect()
+    n_read, n_postings = sum(r.n_read for r in read), sum(r.n_postings for r in read)
+    assert len(read) == 120 and all(r.bar > 0.8 for r in read)
+    # The parts that all names share have most of the postings: they stay unread.
+    assert n_read < 0.5 * n_postings
+    # The whole product would visit each of the 600 targets for each of some twenty trigrams.
+    assert n_read < 0.2 * 120 * 600 * 20
+
+
 # Linguistic-structural matching against a direct computation
 
 
