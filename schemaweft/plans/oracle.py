@@ -373,10 +373,16 @@ ORACLES: dict[str, str] = {
       JOIN (SELECT pair_id, count(*) AS n_target_cols FROM tgt GROUP BY 1) USING (pair_id)
       JOIN (SELECT pair_id, count(DISTINCT src) AS n_mapped, count(*) AS n_matches FROM truth GROUP BY 1) USING (pair_id)""",
     "benchmark_pair_load": f"""{_with(DOCUMENTS)}
-      SELECT 'documents' AS dataset, 'by_source' AS scenario, pair_id, n_source_cols, n_target_cols, n_matches
+      , cols AS (SELECT pair_id, src AS name, dtype FROM src UNION ALL SELECT pair_id, tgt, dtype FROM tgt)
+      SELECT 'documents' AS dataset, 'by_source' AS scenario, pair_id || '_ev' AS pair_id, n_source_cols, n_target_cols,
+        n_int, n_float, n_str, n_letters, n_matches
       FROM (SELECT pair_id, count(*) AS n_source_cols FROM src GROUP BY 1)
       JOIN (SELECT pair_id, count(*) AS n_target_cols FROM tgt GROUP BY 1) USING (pair_id)
-      JOIN (SELECT pair_id, count(*) AS n_matches FROM truth GROUP BY 1) USING (pair_id)""",
+      JOIN (SELECT pair_id, count(*) FILTER (f = 'integer') AS n_int, count(*) FILTER (f = 'real') AS n_float,
+              count(*) FILTER (f NOT IN ('integer', 'real')) AS n_str, CAST(sum(length(name)) AS BIGINT) AS n_letters
+            FROM (SELECT *, {_family("dtype")} AS f FROM cols) GROUP BY 1) USING (pair_id)
+      JOIN (SELECT pair_id, count(*) AS n_matches FROM truth GROUP BY 1) USING (pair_id)
+      WHERE length(pair_id) % 2 = 0""",
     "legacy_abbreviate": _names(_abbreviated("name", WORD_ABBREVIATIONS)),
     "legacy_strip_vowels": _names(_no_vowels("name")),
     "legacy_table_prefix": _names(_upper("pair_id || '_' || name")),

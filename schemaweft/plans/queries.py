@@ -66,12 +66,30 @@ def catalog_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_metadata(d.catalog).join(mapped, "pair_id")
 
 
+class BenchmarkFiles:
+    """The document pairs as benchmark files: pairs of an even name length at noise level ev, others ec."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        d, self.root = Documents(spark, sf_dir), shared_folder(spark)
+        level = F.when(F.length("pair_id") % 2 == 0, "_ev").otherwise("_ec")
+        named = [df.withColumn("pair_id", F.concat("pair_id", level)) for df in (d.catalog, d.truth)]
+        pairs.write_pairs(*named, self.root, *BENCHMARK)
+
+
+BENCHMARK = ("documents", "by_source")
+
+
 def benchmark_pair_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, root = Documents(spark, sf_dir), shared_folder(spark)
-    pairs.write_pairs(d.catalog, d.truth, root, "documents", "by_source")
-    catalog, truth = pairs.read_written(spark, root, "documents", "by_source")
+    """Pairs of one noise level, listed and read by the readers of benchmark files."""
+    where = (BenchmarkFiles(spark, sf_dir).root, *BENCHMARK, "ev")
+    catalog, truth = settle(pairs.read_catalog(spark, *where)), pairs.read_truth(spark, *where)
+    types = catalog.groupBy("pair_id").agg(
+        *[F.count_if(F.col("dtype") == t).alias(f"n_{t}") for t in ("int", "float", "str")],
+        F.sum(F.length("name")).cast("bigint").alias("n_letters"),
+    )
     counts = truth.groupBy("pair_id").agg(F.count("*").alias("n_matches"))
-    return pairs.pair_metadata(catalog, "documents", "by_source").join(counts, "pair_id")
+    listed = pairs.list_pairs(spark, *where).join(pairs.pair_metadata(catalog), "pair_id")
+    return listed.join(types, "pair_id").join(counts, "pair_id")
 
 
 # Legacy transforms

@@ -8,10 +8,23 @@ directory of part files, as Spark writes them.
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import sys
+
+import pandas as pd
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from schemaweft.catalog import dtype_family
+
+# What writes a pair travels with the task, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAPPING_SCHEMA = T.StructType(
     [
         T.StructField(
@@ -25,8 +38,9 @@ MAPPING_SCHEMA = T.StructType(
     ]
 )
 
-# A comma outside double quotes; a header cell may not contain a line break.
-CELL_BREAK = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Stands for a comma between cells: a code point that Unicode keeps out of exchanged text.
+CELL_BREAK = "\ufdd0"
+QUOTE = '"'
 
 
 def _glob(root: str, dataset: str, scenario: str, noise_level: str | None, suffix: str) -> str:
@@ -63,82 +77,123 @@ def list_pairs(
     return _located(files, "mapping").select("dataset", "scenario", "pair_id").distinct()
 
 
+def cells(record: Column) -> Column:
+    """Cells of a CSV record: cut at commas outside double quotes, quotes taken off.
+
+    Every other part between quotes is outside of them, so the work is linear in the record.
+    """
+    parts = F.split(record, QUOTE, -1)
+    outside = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.translate(p, ",", CELL_BREAK)).otherwise(p))
+    return F.transform(F.split(F.array_join(outside, QUOTE), CELL_BREAK, -1), _unquoted)
+
+
 def _unquoted(cell: Column) -> Column:
-    inner = F.regexp_replace(F.regexp_extract(cell, r'^\s*"(.*)"\s*$', 1), '""', '"')
-    return F.when(cell.rlike(r'^\s*".*"\s*$'), inner).otherwise(cell)
+    bare = F.trim(cell)
+    inner = F.replace(F.substr(bare, F.lit(2), F.length(bare) - 2), F.lit(QUOTE * 2), F.lit(QUOTE))
+    quoted = bare.startswith(QUOTE) & bare.endswith(QUOTE) & (F.length(bare) > 1)
+    return F.when(quoted, inner).otherwise(cell)
+
+
+BLOCK_KEY = ["file", "block"]
+
 
+def _running(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all earlier lines of the file.
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of both files of every pair, numbered in file order (not densely)."""
+    Inside a block of the file by a window, over its blocks by one number each, so a file of any
+    size is the work of as many tasks as it has blocks.
+    """
+    sums = lines.groupBy(*BLOCK_KEY).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*BLOCK_KEY, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*BLOCK_KEY).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    own = lines.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return own.join(before, BLOCK_KEY).withColumn(name, F.col("_before") + F.col("_own")).drop("_before", "_own")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """dataset, scenario, pair_id, side, file, record (number in the file), text of all CSV records.
+
+    A line begins a record if the number of quotes before it in its file is even; one that begins
+    and ends outside of quotes is a record as it stands, the others are put together. Blank lines
+    between records are skipped; line breaks inside quotes become line feeds.
+    """
     rows = spark.read.text(path).select("value", "_metadata")
-    return _located(rows, "source|target").select(
+    lines = _located(rows, "source|target").select(
         "dataset",
         "scenario",
         "pair_id",
         F.col("kind").alias("side"),
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("at"),
-        F.regexp_replace("value", "^﻿|\r$", "").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        F.regexp_replace("value", "^\ufeff", "").alias("text"),
+    )
+    quotes = (F.length("text") - F.length(F.translate("text", QUOTE, ""))).cast("bigint")
+    counted = _running(lines.withColumn("quotes", quotes), F.col("quotes"), "quoted")
+    begins = (F.col("quoted") % 2 == 0) & (F.trim("text") != "")
+    flagged = counted.withColumn("begins", begins).filter(F.col("begins") | (F.col("quoted") % 2 == 1))
+    numbered = _running(flagged, F.col("begins").cast("bigint"), "n_before")
+    numbered = numbered.withColumn("record", F.col("n_before") + F.col("begins").cast("bigint"))
+    key = ["dataset", "scenario", "pair_id", "side", "file", "record"]
+    whole = F.col("begins") & (F.col("quotes") % 2 == 0)
+    torn = numbered.filter(~whole).groupBy(*key).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("block", "line", "text"))).getField("text"), "\n").alias("text")
     )
+    return numbered.filter(whole).select(*key, "text").unionByName(torn)
 
 
-def _typed(values: DataFrame) -> DataFrame:
-    """Narrowest of int, float, bool and str per column over all its values, one pass."""
+def _dtype() -> Column:
+    """Narrowest of int, float, bool and str over the values of a group that are not its header."""
+    given = ~F.col("header") & (F.trim("value") != "")
     value = F.trim("value")
-    given = F.count_if(value != "").alias("n")
-    fits = {
-        "n_int": value.rlike(r"^[+-]?\d{1,18}$"),
-        "n_float": value.try_cast("double").isNotNull(),
-        "n_bool": value.isin("True", "False", "TRUE", "FALSE", "true", "false"),
-    }
-    counts = values.groupBy("pair_id", "side", "ordinal").agg(
-        given, *[F.count_if((value != "") & test).alias(name) for name, test in fits.items()]
-    )
-    dtype = (
-        F.when(F.col("n") == 0, "float")
-        .when(F.col("n_int") == F.col("n"), "int")
-        .when(F.col("n_float") == F.col("n"), "float")
-        .when(F.col("n_bool") == F.col("n"), "bool")
+    n = F.count_if(given)
+
+    def all_of(test: Column) -> Column:
+        return F.count_if(given & test) == n
+
+    return (
+        F.when(F.count_if(~F.col("header")) == 0, "str")
+        .when(n == 0, "float")
+        .when(all_of(value.rlike(r"^[+-]?\d{1,18}$")), "int")
+        .when(all_of(value.try_cast("double").isNotNull()), "float")
+        .when(all_of(value.isin("True", "False", "TRUE", "FALSE", "true", "false")), "bool")
         .otherwise("str")
     )
-    return counts.select("pair_id", "side", "ordinal", dtype.alias("dtype"))
 
 
 def read_catalog(
     spark: SparkSession, root: str, dataset: str, scenario: str, noise_level: str | None = None
 ) -> DataFrame:
-    """Catalog of all pairs from their header lines, with types inferred from the values.
+    """Catalog of all pairs from their header records, with types inferred from the values.
 
-    Repeated header names get the suffixes .1, .2, ... and empty ones a positional name.
+    Repeated header names get the suffixes .1, .2, ... and empty ones a positional name. A
+    side in several part files has its header in the first. Names and types come from one
+    aggregation by column; no value is joined to its header.
     """
-    lines = _lines(spark, _glob(root, dataset, scenario, noise_level, "{source,target}.csv"))
+    path = _glob(root, dataset, scenario, noise_level, "{source,target}.csv")
     keys = ["pair_id", "side"]
-    headers = lines.groupBy(*keys).agg(F.min(F.struct("at", "line")).alias("first"))
-    raw = headers.select(*keys, F.posexplode(F.split("first.line", CELL_BREAK)).alias("pos", "cell"))
+    listed = _located(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("_metadata"), "source|target")
+    first = listed.groupBy("pair_id", F.col("kind").alias("side")).agg(F.min("_metadata.file_path").alias("file"))
+    # The files' names only: a row a file.
+    first = first.select(F.col("file").alias("first_file"))
+    records = read_records(spark, path).join(first, F.col("file") == F.col("first_file"), "left")
+    header = F.col("first_file").isNotNull() & (F.col("record") == 1)
+    values = records.select(*keys, header.alias("header"), F.posexplode(cells(F.col("text"))).alias("pos", "value"))
+    columns = values.groupBy(*keys, "pos").agg(
+        F.max(F.when(F.col("header"), F.col("value"))).alias("cell"), _dtype().alias("dtype")
+    ).filter(F.col("cell").isNotNull())
     repeats = Window.partitionBy(*keys, "cell").orderBy("pos")
-    named = (
-        raw.withColumn("cell", _unquoted(F.col("cell")))
-        .withColumn("cell", F.when(F.col("cell") == "", F.concat(F.lit("Unnamed: "), "pos")).otherwise(F.col("cell")))
+    return (
+        columns.withColumn("cell", F.when(F.col("cell") == "", F.concat(F.lit("Unnamed: "), "pos")).otherwise(F.col("cell")))
         .withColumn("nth", F.row_number().over(repeats) - 1)
         .select(
             *keys,
             (F.col("pos") + 1).cast("bigint").alias("ordinal"),
             F.when(F.col("nth") > 0, F.concat_ws(".", "cell", "nth")).otherwise(F.col("cell")).alias("name"),
+            "dtype",
         )
     )
-    body = (
-        lines.join(headers, keys)
-        .filter(F.col("at") != F.col("first.at"))
-        .filter(F.col("line") != "")
-        .select(*keys, F.posexplode(F.split("line", CELL_BREAK)).alias("pos", "value"))
-        .select(*keys, (F.col("pos") + 1).cast("bigint").alias("ordinal"), _unquoted(F.col("value")).alias("value"))
-    )
-    return named.join(_typed(body), [*keys, "ordinal"], "left").select(
-        "pair_id", "side", "ordinal", "name", F.coalesce("dtype", F.lit("str")).alias("dtype")
-    )
 
 
 def read_truth(
@@ -176,40 +231,39 @@ def pair_metadata(catalog: DataFrame, dataset: str | None = None, scenario: str
     return counts.select(F.lit(dataset).alias("dataset"), F.lit(scenario).alias("scenario"), "*")
 
 
-def write_pairs(catalog: DataFrame, truth: DataFrame, root: str, dataset: str, scenario: str) -> None:
-    """Write header-only pairs: one text file of header lines and one of mappings per pair.
+# Two cells that a reader of types takes for what a column's dtype family is.
+SAMPLES = {"integer": ("1", "-2"), "real": ("1.5", "2"), "bool": ("True", "False")}
+TEXT_SAMPLE = ('a, "b"\nc', "")
 
-    Spark names partition folders ``pair=<id>``; ``read_written`` knows that layout. A
-    header line is one row, as wide as a schema.
-    """
-    base = f"{root.rstrip('/')}/{dataset}/{scenario}"
-    header = F.array_join(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).getField("name"), ",")
-    catalog.groupBy("pair_id", "side").agg(header.alias("value")).select(
-        F.col("pair_id").alias("pair"), "side", "value"
-    ).write.partitionBy("pair", "side").text(f"{base}/headers")
-    truth.groupBy("pair_id").agg(
-        F.collect_list(F.struct(F.col("src").alias("source_column"), F.col("tgt").alias("target_column"))).alias("matches")
-    ).select(F.col("pair_id").alias("pair"), "matches").write.partitionBy("pair").json(f"{base}/mappings")
 
+def write_pairs(catalog: DataFrame, truth: DataFrame, root: str, dataset: str, scenario: str) -> int:
+    """Write pairs in the layout that the readers read; the number of files written.
 
-def read_written(spark: SparkSession, root: str, dataset: str, scenario: str) -> tuple[DataFrame, DataFrame]:
-    """Catalog (without types) and truth of pairs written by ``write_pairs``."""
+    Each side of a pair is a task: its header, quoted where needed, and two rows of samples; so is
+    each mapping. Files are opened through ``pyarrow.fs`` under their final names, so a repeated task
+    writes the same file again. A header is one record, as wide as a schema.
+    """
     base = f"{root.rstrip('/')}/{dataset}/{scenario}"
-    catalog = (
-        spark.read.text(f"{base}/headers")
-        .select("pair", "side", F.posexplode(F.split("value", CELL_BREAK)).alias("pos", "cell"))
-        .select(
-            F.col("pair").cast("string").alias("pair_id"),
-            F.col("side").cast("string").alias("side"),
-            (F.col("pos") + 1).cast("bigint").alias("ordinal"),
-            _unquoted(F.col("cell")).alias("name"),
-            F.lit("str").alias("dtype"),
-        )
-    )
-    truth = (
-        spark.read.json(f"{base}/mappings")
-        .select(F.col("pair").cast("string").alias("pair_id"), F.explode("matches").alias("m"))
-        .select("pair_id", F.col("m.source_column").alias("src"), F.col("m.target_column").alias("tgt"))
-        .distinct()
-    )
-    return catalog, truth
+
+    def written(pair: str, suffix: str, text: str) -> pd.DataFrame:
+        store, folder = fs.FileSystem.from_uri(base)
+        store.create_dir(f"{folder}/{pair}", recursive=True)
+        with store.open_output_stream(f"{folder}/{pair}/{pair}_{suffix}") as out:
+            out.write(text.encode())
+        return pd.DataFrame({"n": [1]})
+
+    def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ordinal")
+        samples = [SAMPLES.get(f, TEXT_SAMPLE) for f in rows["family"]]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([rows["name"], [s[0] for s in samples], [s[1] for s in samples]])
+        return written(key[0], f"{key[1]}.csv", out.getvalue())
+
+    def mapping(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [{"source_column": s, "target_column": t} for s, t in zip(rows["src"], rows["tgt"])]
+        return written(key[0], "mapping.json", json.dumps({"matches": found}))
+
+    sides = catalog.select("pair_id", "side", "ordinal", "name", dtype_family(F.col("dtype")).alias("family"))
+    tables = sides.groupBy("pair_id", "side").applyInPandas(table, "n bigint")
+    mappings = truth.select("pair_id", "src", "tgt").groupBy("pair_id").applyInPandas(mapping, "n bigint")
+    return tables.unionAll(mappings).count()

@@ -1,3 +1,4 @@
+import csv
 import json
 
 import pytest
@@ -62,14 +63,51 @@ def test_values_of_one_pair(spark, root):
 
 def test_written_pairs_read_back(spark, root, tmp_path):
     catalog, truth = pairs.read_catalog(spark, root, *WHERE), pairs.read_truth(spark, root, *WHERE)
-    plain = catalog.filter("name not like '%,%'")
-    pairs.write_pairs(plain, truth, str(tmp_path / "out"), *WHERE)
-    again, truth_again = pairs.read_written(spark, str(tmp_path / "out"), *WHERE)
-    assert again.select("pair_id", "side", "name").exceptAll(plain.select("pair_id", "side", "name")).count() == 0
-    assert again.count() == plain.count()
+    out = str(tmp_path / "out")
+    assert pairs.write_pairs(catalog, truth, out, *WHERE) == 9
+    again, truth_again = pairs.read_catalog(spark, out, *WHERE), pairs.read_truth(spark, out, *WHERE)
+    assert again.select("pair_id", "side", "ordinal", "name").exceptAll(catalog.select("pair_id", "side", "ordinal", "name")).count() == 0
+    assert again.count() == catalog.count()
     assert truth_again.exceptAll(truth).count() == 0 and truth_again.count() == truth.count()
 
 
+def test_records_with_line_breaks_and_many_quoted_names(spark, tmp_path):
+    names = [f'na"me, {i}\nof {i}' if i % 3 else f"plain {i}" for i in range(20_000)]
+    rows = [names, [str(i) for i in range(20_000)], ["", *["2.5"] * 19_999]]
+    folder = tmp_path / "D" / "S" / "wide_ev"
+    folder.mkdir(parents=True)
+    with open(folder / "wide_ev_source.csv", "w", newline="", encoding="utf-8-sig") as out:
+        csv.writer(out).writerows(rows[:1] + [[]] + rows[1:])
+    (folder / "wide_ev_target.csv").write_text('a,"b\n\nc",d\n\n1,"x\n\ny",True\n')
+    (folder / "wide_ev_mapping.json").write_text('{"matches": []}')
+    catalog = pairs.read_catalog(spark, str(tmp_path), "D", "S").collect()
+    source = {r.ordinal: (r.name, r.dtype) for r in catalog if r.side == "source"}
+    assert [source[i + 1][0] for i in range(20_000)] == names
+    assert source[1][1] == "int" and {source[i][1] for i in range(2, 20_001)} == {"float"}
+    target = sorted((r.ordinal, r.name, r.dtype) for r in catalog if r.side == "target")
+    assert target == [(1, "a", "int"), (2, "b\n\nc", "str"), (3, "d", "bool")]
+
+
+def test_records_across_blocks_of_a_file(spark, tmp_path):
+    """A block may begin inside quotes; which lines begin records follows from the quotes before it."""
+    folder = tmp_path / "D" / "S" / "p"
+    folder.mkdir(parents=True)
+    rows = [["id", "text"]] + [[str(i), f'line one {i}\nline "two"\n\nlast' if i % 2 else f"single {i}"] for i in range(3000)]
+    for side in ("source", "target"):
+        with open(folder / f"p_{side}.csv", "w", newline="") as out:
+            csv.writer(out, lineterminator="\n").writerows(rows)
+    had = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = pairs.read_records(spark, f"{tmp_path}/D/S/*/*_{{source,target}}.csv").withColumn("cells", pairs.cells("text")).collect()
+    finally:
+        for name, value in had.items():
+            spark.conf.set(name, value)
+    for side in ("source", "target"):
+        assert [r.cells for r in sorted((r for r in got if r.side == side), key=lambda r: r.record)] == rows
+
+
 def test_benchmark_audit_writes_reports(spark, root, tmp_path):
     out = str(tmp_path / "audit")
     names = ("normalized_match", "levenshtein_ratio_match")
