@@ -364,6 +364,22 @@ def _names(expression: str) -> str:
 
 _BLANK = r"regexp_replace(name, '^\s+|\s+$', '', 'g')"
 
+# The six matchers over pairs that were read from files: dates are text there, and there is no thesaurus.
+FILES = DOCUMENTS.replace("ELSE 'timestamp' END", "ELSE 'string' END")
+PLAIN_CUPID = CUPID.replace(f"(VALUES {_THESAURUS})", "(VALUES ('', ''))")
+M6 = {
+    "exact": "exact_match",
+    "normalized": "normalized_match",
+    "trigram": "jaccard_trigram_match",
+    "sequence": "levenshtein_ratio_match",
+    "cupid": "cupid_match",
+    "flooding": "similarity_flooding_match",
+}
+EVAL_6 = _with(
+    FILES, EXACT, NORMALIZED, _trigram(), SEQUENCE, PLAIN_CUPID, FLOODING,
+    f"flooding AS MATERIALIZED ({_top('flooded', 5, 'round(score, 9)')})", _tagged(list(M6)),
+)
+
 ORACLES: dict[str, str] = {
     "base_table_generate": f"""{_with(BASE)} SELECT row_key, id, name, email, address_line_1, address_line_2,
       CAST(created AS VARCHAR) AS created_at, amount, status FROM base""",
@@ -432,6 +448,8 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT matcher, pair_id, {_SUMS} FROM outcome GROUP BY matcher, pair_id""",
         "matcher, pair_id",
     ),
+    "eval_fixed_sources": EVAL_3
+    + _metrics(f"SELECT matcher, {_SUMS} FROM outcome WHERE src_ord % 2 = 0 GROUP BY matcher", "matcher"),
     "eval_report_files": EVAL_3
     + _metrics(f"SELECT matcher, {_SUMS} FROM outcome GROUP BY matcher", "matcher", ", n_known AS n_ranks"),
     "eval_rank_list": f"""{EVAL_3}
@@ -467,6 +485,13 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'predictions', 'none', 0
       UNION ALL SELECT 'coverage', 'source without target', count(*) FROM src p WHERE {_DROPPED} HAVING count(*) > 0
       UNION ALL SELECT 'coverage', 'target without source', count(*) FROM tgt p WHERE {_JUNK} HAVING count(*) > 0""",
+    "audit_flattened": f"{EVAL_3} SELECT matcher, pair_id, src, tgt, rank, round(score, 6) AS score FROM preds",
+    "audit_benchmark": f"""{EVAL_6}
+      , full_names(matcher, full_name) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in M6.items())})
+      SELECT full_name AS matcher, 'report/matcher=' || full_name AS report, 'audit/matcher=' || full_name AS audit,
+        (SELECT count(*) FROM preds p WHERE p.matcher = m.matcher AND length(pair_id) % 2 = 0 AND {_DROPPED}) AS n_dropped_source_mappings,
+        (SELECT count(*) FROM preds p WHERE p.matcher = m.matcher AND length(pair_id) % 2 = 0 AND {_JUNK}) AS n_junk_target_mappings
+      FROM full_names m""",
     "audit_candidate_profile": f"{EVAL_3} SELECT matcher, pair_id, src, n_cand AS n_candidates FROM outcome",
     "stability_shuffle_lost": f"""{_with(_TENANT, _trigram(), SHUFFLED, _trigram(1, "moved", "src4", "tgt4"))}
       SELECT CAST(split_part(m.pair_id, '#', 2) AS BIGINT) AS seed, c_name AS pair_id, o.src, o.tgt AS orig_tgt,

@@ -239,6 +239,13 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(whole, *METRICS)
 
 
+def eval_fixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics over a given list of sources, here those of even ordinals, instead of the catalog's."""
+    d = Documents(spark, sf_dir)
+    listed = sources(d.catalog).filter(F.col("src_ord") % 2 == 0)
+    return _rounded(jobs.run_eval(settle(d.catalog), d.truth, MATCHERS_3, all_src=listed).report().select("matcher", "tp", "fp", "fn", "tn", *METRICS), *METRICS)
+
+
 def eval_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports and rank lists written by matcher and read back."""
     run, root = Documents(spark, sf_dir).evaluated(), shared_folder(spark)
@@ -310,6 +317,20 @@ def audit_candidate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.candidate_profile(run.predictions, sources(d.catalog), run.matchers)
 
 
+def audit_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions written as one candidate list per source, read back and flattened."""
+    run, root = Documents(spark, sf_dir).evaluated(), shared_folder(spark)
+    audit.nest(run.predictions, ["matcher", "pair_id", "src"]).write.json(f"{root}/predictions")
+    schema = "matcher string, pair_id string, src string, candidates array<struct<tgt: string, score: double>>"
+    return _rounded(audit.flatten(spark.read.schema(schema).json(f"{root}/predictions")), "score")
+
+
+def audit_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six matchers over the benchmark files of one noise level."""
+    files = BenchmarkFiles(spark, sf_dir)
+    return jobs.benchmark_audit(spark, files.root, *BENCHMARK, "ev", shared_folder(spark))
+
+
 # Stability and triage
 
 
@@ -369,6 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         eval_outcomes,
         eval_ranks,
         eval_report,
+        eval_fixed_sources,
         eval_report_files,
         eval_rank_list,
         eval_coverage_curve,
@@ -378,6 +400,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         audit_tenants,
         audit_checks,
         audit_candidate_profile,
+        audit_flattened,
+        audit_benchmark,
         stability_shuffle_lost,
         stability_shuffle_documents,
         stability_ties_margin,
