@@ -151,12 +151,12 @@ def tokenise(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_id
                     for piece, start in enumerate(range(0, len(ids), length)):
                         part = ids[start : start + length]
                         row = (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()))
-                        rows.append((*row, part) if with_ids else row)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                        rows.append((*row, part.astype("<i4")) if with_ids else row)
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 columns = [pa.array([r[i] for r in rows], kinds[i]) for i in range(6 if with_ids else 5)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES + (", ids array<bigint>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
