@@ -39,9 +39,10 @@ class WordIds:
     stand are left to the tokenizer as they are.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
@@ -92,7 +93,7 @@ class WordIds:
         data = [t.encode("utf-8", "replace").lower() for t in texts]
         whole = [any(s in d for s in self.specials) for d in data]
         split = [[] if w else d.split() for d, w in zip(data, whole)]
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > self.remembered:
             self.forget()
         new = list(set().union(*split).difference(self.number))
         if new:
@@ -119,28 +120,31 @@ def _split(word: str) -> list[str]:
     return RUNS.findall(small) if safe else [word]
 
 
-_WORD_IDS: dict[str, WordIds] = {}
+_WORD_IDS: dict[tuple[str, int], WordIds] = {}
 
 
-def _word_ids(path: str) -> WordIds:
+def _word_ids(path: str, remembered: int) -> WordIds:
     """One per worker and tokenizer, kept between batches and tasks."""
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    return _WORD_IDS[path]
+    if (path, remembered) not in _WORD_IDS:
+        _WORD_IDS[path, remembered] = WordIds(path, remembered)
+    return _WORD_IDS[path, remembered]
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def tokenise(
+    docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids: bool = False, remembered: int = REMEMBERED
+) -> DataFrame:
     """doc_id, text -> one row per piece of at most ``length`` tokens.
 
     A document is its ids and the end id; only longer ones are cut, each piece but the last
-    being full. A NULL or empty text is the end id alone. Ids come along on request.
+    being full. A NULL or empty text is the end id alone. Ids come along on request. A worker forgets its
+    words' ids beyond ``remembered`` words: fewer of them save memory and cost time.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _word_ids(tokenizer_path)
+        encoder = _word_ids(tokenizer_path, remembered)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
