@@ -9,6 +9,8 @@ from schemaweft.llm import languages, mixing, ngram_join, packing, private_data
 from schemaweft.llm.common import settle, word_count
 from schemaweft.llm.queries import table, tokenizer_path
 
+#: Words whose ids a worker of the last stage keeps.
+REMEMBERED = 200_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -43,8 +45,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens: a row per piece with its place and ids."""
-    return packing.pack(packing.tokenise(docs, tokenizer_path(), with_ids=True))
+    """Sequences of at most 4096 tokens: a row per piece with its place and ids.
+
+    Workers that have served the other stages hold memory already, so fewer words are remembered.
+    """
+    return packing.pack(packing.tokenise(docs, tokenizer_path(), with_ids=True, remembered=REMEMBERED))
 
 
 STAGES = [
