@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaweft.llm import chat, fingerprints, languages, line_quality, merkle, mixing, negatives, ngram_join, packing, private_data, records, repeats, warc
-from schemaweft.llm.common import lower_ascii, positions, settle, shared_folder, word_count
+from schemaweft.llm.common import lower_ascii, settle, shared_folder, word_count
+from schemaweft.llm.neighbours import with_next
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,31 +30,18 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with likeness to what they resemble.
 
-    Each row of equal (doc_id, text) counts once in the order of documents. Texts are shuffled
-    once; the next document sends only its sketch and what the edit takes.
+    Texts are shuffled once, to stand beside the next document; sketches are made there and
+    never travel. Repeated rows count each, see ``with_next``.
     """
-    text = F.coalesce("text", F.lit(""))
-    own = F.concat(F.when(F.col("doc_id").isNull(), "n").otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string"))), F.lit(":"), text)
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.unhex(F.sha2(own, 256)).alias("row"))
-    ids = docs.select("doc_id", "row", F.length("text").cast("long").alias("n_chars")).distinct()
-    placed = settle(positions(ids, [], [F.col("doc_id").desc_nulls_last(), F.col("row")]))
-    last = placed.count()
-    after = placed.select(F.col("row").alias("giver"), F.when(F.col("pos") == 1, last).otherwise(F.col("pos") - 1).alias("pos"))
-    links = settle(placed.select("pos", F.col("row").alias("taker"), "n_chars").join(after, "pos").select("giver", "taker", F.floor(F.col("n_chars") / 2).cast("int").alias("half")))
-    # Sketches are made behind the shuffle of texts: a text's own would travel with it for nothing.
-    giving = fingerprints.with_sketch(docs.join(links, F.col("row") == F.col("giver")))
-    given = giving.groupBy("taker").agg(
-        F.first("doc_id").alias("next_doc_id"),
-        F.first(F.expr("substring(text, 1, half)")).alias("borrowed"),
-        F.first("sketch").alias("next_sketch"),
-    )
-    n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 2))"), "borrowed")
-    both = docs.join(given, F.col("row") == F.col("taker")).withColumn("edited", edited)
-    both = fingerprints.with_sketch(fingerprints.with_sketch(both), "edited", "edited_sketch")
+    both = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    kept = F.substring("text", F.lit(1), F.length("text") - half)
+    both = both.withColumn("edited", F.concat(kept, F.substring("next_text", F.lit(1), half)))
+    for text, out in (("text", "sketch"), ("edited", "edited_sketch"), ("next_text", "next_sketch")):
+        both = fingerprints.with_sketch(both, text, out)
     return both.select(
         "doc_id",
-        n.cast("long").alias("n_chars"),
+        F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprints.fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprints.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
