@@ -61,7 +61,7 @@ def with_next(docs: DataFrame, rows: int = 20_000) -> DataFrame:
         before[follower.begin].append(r.range)
     # At most one row a range; a document may begin several where equal rows fill them.
     listed = ",".join(f"{begin}:{i}" for begin, of in before.items() for i in of)
-    places = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(listed), ",")).alias("place")).select(
+    places = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(listed), ",")).alias("place")).filter("place != ''").select(
         F.substring_index("place", ":", 1).alias("begin"), F.substring_index("place", ":", -1).cast("int").alias("range")
     )
     firsts = own.join(F.broadcast(places), F.col("order") == F.col("begin")).filter(F.col("range").isNotNull()).dropDuplicates(["range"])
