@@ -61,6 +61,24 @@ def audit_hits(predictions: DataFrame, catalog: DataFrame, lineage: DataFrame) -
     return dropped.withColumn("kind", F.lit("dropped")).unionByName(junk.withColumn("kind", F.lit("junk")))
 
 
+def audited_columns(catalog: DataFrame, lineage: DataFrame) -> DataFrame:
+    """pair_id, name, ordinal, kind: the dropped source columns and the junk target columns."""
+    dropped = dropped_sources(catalog, lineage).select("pair_id", F.col("src").alias("name"), F.col("src_ord").alias("ordinal"))
+    junk = junk_targets(catalog, lineage).select("pair_id", F.col("tgt").alias("name"), F.col("tgt_ord").alias("ordinal"))
+    return dropped.withColumn("kind", F.lit("dropped")).unionByName(junk.withColumn("kind", F.lit("junk")))
+
+
+def totals(hits: DataFrame, columns: DataFrame, report: DataFrame, matchers: list[str]) -> DataFrame:
+    """One row a matcher: both column counts, both hit counts and the F1 of ``report``."""
+    listed = columns.groupBy().agg(
+        F.count_if(F.col("kind") == "dropped").alias("n_dropped_source_columns"),
+        F.count_if(F.col("kind") == "junk").alias("n_junk_target_columns"),
+    )
+    each = listed.withColumn("matcher", F.explode(F.array(*[F.lit(m) for m in matchers])))
+    counts = summary(hits, matchers).drop("report", "audit")
+    return each.join(counts, "matcher").join(report.select("matcher", "f1"), "matcher", "left")
+
+
 def summary(hits: DataFrame, matchers: list[str]) -> DataFrame:
     """Per matcher its report and audit paths and both hit counts, zeros included."""
     spark = hits.sparkSession

@@ -134,26 +134,28 @@ def split_field(state: DataFrame, role: str = SPLIT_ROLE) -> DataFrame:
 def merge_fields(state: DataFrame, roles: tuple[str, str] = MERGE_ROLES) -> DataFrame:
     """One column at the place of the first line; the second goes, and adds its lineage.
 
-    Without a second line in the pair nothing merges. Only the two role columns of each
-    pair take part in the joins. If the second line comes first in the schema it is
-    merged and removed all the same.
+    Without a second line in the pair nothing merges. Only the role columns of each pair are
+    shuffled, into one row a pair. If the second line comes first in the schema it is merged and
+    removed all the same.
     """
     first, second = leads(roles[0]), leads(roles[1])
-    lines = state.filter(second).select("pair_id", F.col("origins").alias("line_2"))
-    has_first = state.filter(first).select("pair_id").withColumn("has_line_1", F.lit(True))
-    role_rows = (
-        state.filter(first | second)
-        .join(lines, "pair_id", "left")
-        .join(has_first, "pair_id", "left")
-        .filter(first | F.col("has_line_1").isNull())
+    line = F.struct("ordinal", "name", "dtype", "origins", first.alias("first"))
+    pairs = state.filter(first | second).groupBy("pair_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    firsts = F.filter("lines", lambda x: x["first"])
+    added = F.flatten(F.transform(F.filter("lines", lambda x: ~x["first"]), lambda x: x["origins"]))
+    merges = F.exists("lines", lambda x: x["first"]) & F.exists("lines", lambda x: ~x["first"])
+    as_merged = F.transform(
+        firsts,
+        lambda x: F.struct(
+            x["ordinal"].alias("ordinal"),
+            F.lit(MERGED_NAME).alias("name"),
+            F.lit("str").alias("dtype"),
+            F.concat(x["origins"], added).alias("origins"),
+            x["first"].alias("first"),
+        ),
     )
-    merges = first & F.col("line_2").isNotNull()
-    merged = role_rows.select(
-        "pair_id",
-        "ordinal",
-        F.when(merges, MERGED_NAME).otherwise(F.col("name")).alias("name"),
-        F.when(merges, "str").otherwise(F.col("dtype")).alias("dtype"),
-        F.when(merges, F.concat("origins", "line_2")).otherwise(F.col("origins")).alias("origins"),
+    merged = pairs.select("pair_id", F.explode(F.when(merges, as_merged).otherwise(F.col("lines"))).alias("c")).select(
+        "pair_id", "c.ordinal", "c.name", "c.dtype", "c.origins"
     )
     return state.filter(~(first | second)).unionByName(merged)
 

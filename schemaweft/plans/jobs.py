@@ -60,15 +60,23 @@ def run_eval(
     return Evaluation(names, predictions, rows)
 
 
+def write_audit(run: Evaluation, catalog: DataFrame, lineage: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Write the audit of a run: hits, column lists and totals; returns hits and report."""
+    hits = settle(audit.audit_hits(run.predictions, catalog, lineage))
+    columns = settle(audit.audited_columns(catalog, lineage))
+    report = settle(run.report())
+    sinks.write_audit(hits, columns, audit.totals(hits, columns, report, run.matchers), run.matchers, root)
+    return hits, report
+
+
 def audit_job(catalog: DataFrame, lineage: DataFrame, matchers: dict[str, Matcher], root: str) -> DataFrame:
     """Evaluate, write reports, rank lists, audits and the summary; returns the summary."""
     run = run_eval(catalog, lineage, matchers)
     run = replace(run, outcomes=settle(run.outcomes))
     audit.check_prediction_shape(run.predictions)
-    hits = settle(audit.audit_hits(run.predictions, catalog, lineage))
-    result = audit.summary(hits, run.matchers)
-    sinks.write_report(run.report(), run.ranks(), root)
-    sinks.write_audit(hits, root)
+    hits, report = write_audit(run, catalog, lineage, root)
+    sinks.write_report(report, run.ranks(), root)
+    result = settle(audit.summary(hits, run.matchers))
     sinks.write_summary(result, root)
     return result
 

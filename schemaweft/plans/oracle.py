@@ -469,6 +469,29 @@ ORACLES: dict[str, str] = {
         (SELECT count(*) FROM preds p WHERE p.matcher = m.matcher AND {_DROPPED}) AS n_dropped_source_mappings,
         (SELECT count(*) FROM preds p WHERE p.matcher = m.matcher AND {_JUNK}) AS n_junk_target_mappings
       FROM (VALUES {", ".join(f"('{m}')" for m in M3)}) m(matcher)""",
+    "audit_files": f"""{EVAL_3}
+      , bad AS (
+          SELECT p.*, 1 AS dropped, 0 AS junk FROM preds p WHERE {_DROPPED}
+          UNION ALL SELECT p.*, 0, 1 FROM preds p WHERE {_JUNK}),
+      added AS (
+        SELECT matcher, sum(dropped) AS d, sum(junk) AS j, count(*) AS n, count(DISTINCT pair_id) AS pairs, sum(rank) AS ranks,
+          sum(src_ord) AS src_ords, sum(tgt_ord) AS tgt_ords, sum(length(src) + length(tgt)) AS chars,
+          round(sum(round(score, 6)), 3) AS scores
+        FROM bad GROUP BY matcher),
+      listed AS (
+        SELECT 'dropped' AS kind, src AS name, src_ord AS ordinal FROM src p WHERE {_DROPPED}
+        UNION ALL SELECT 'junk', tgt, tgt_ord FROM tgt p WHERE {_JUNK}),
+      sums AS (SELECT matcher, {_SUMS} FROM outcome GROUP BY matcher),
+      pr AS (SELECT matcher, {_div("tp", "tp + fp")} AS p, {_div("tp", "tp + fn")} AS r FROM sums),
+      f AS (SELECT matcher, round({_div("2 * p * r", "p + r")}, 6) AS f1 FROM pr)
+      SELECT matcher, f1, coalesce(d, 0) AS n_dropped_source_mappings, coalesce(j, 0) AS n_junk_target_mappings,
+        (SELECT count(*) FROM listed WHERE kind = 'dropped') AS n_dropped_source_columns,
+        (SELECT count(*) FROM listed WHERE kind = 'junk') AS n_junk_target_columns,
+        coalesce(n, 0) AS n_hits, coalesce(pairs, 0) AS n_pairs, coalesce(ranks, 0) AS sum_rank,
+        coalesce(src_ords, 0) AS sum_src_ord, coalesce(tgt_ords, 0) AS sum_tgt_ord, coalesce(chars, 0) AS hit_chars,
+        coalesce(scores, 0) AS sum_score, (SELECT count(*) FROM listed) AS n_listed,
+        (SELECT sum(ordinal) FROM listed) AS sum_ordinal, (SELECT sum(length(name)) FROM listed) AS name_chars
+      FROM f LEFT JOIN added USING (matcher)""",
     "audit_tenants": f"""{_with(_TENANT, EXACT, NORMALIZED, _trigram(), SEQUENCE, _tagged([*M3, "sequence"]))}
       , full_names(matcher, full_name) AS (VALUES ('exact', 'exact_match'), ('normalized', 'normalized_match'),
         ('trigram', 'jaccard_trigram_match'), ('sequence', 'levenshtein_ratio_match'))

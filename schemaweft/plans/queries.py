@@ -281,13 +281,37 @@ def audit_junk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(hits, "matcher")
 
 
-def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _audited(spark: SparkSession, sf_dir: str) -> tuple[list[str], str]:
     d, root = Documents(spark, sf_dir), shared_folder(spark)
     run = d.evaluated()
-    hits = audit.audit_hits(run.predictions, d.catalog, d.lineage)
-    sinks.write_audit(hits, root)
-    columns = "kind string, matcher string"
-    return audit.summary(spark.read.schema(columns).json(f"{root}/audit"), run.matchers)
+    jobs.write_audit(run, d.catalog, d.lineage, root)
+    return run.matchers, root
+
+
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matchers, root = _audited(spark, sf_dir)
+    return audit.summary(sinks.read_audit(spark, root)[0], matchers)
+
+
+def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that audit files hold, by matcher: what hits add up to, listed columns, counts and F1."""
+    matchers, root = _audited(spark, sf_dir)
+    hits, columns, totals = sinks.read_audit(spark, root)
+    listed = columns.groupBy().agg(
+        F.count("*").alias("n_listed"), F.sum("ordinal").alias("sum_ordinal"), F.sum(F.length("name")).alias("name_chars")
+    )
+    added = hits.groupBy("matcher").agg(
+        F.count("*").alias("n_hits"),
+        F.count_distinct("pair_id").alias("n_pairs"),
+        F.sum("rank").alias("sum_rank"),
+        F.sum("src_ord").alias("sum_src_ord"),
+        F.sum("tgt_ord").alias("sum_tgt_ord"),
+        F.sum(F.length("src") + F.length("tgt")).alias("hit_chars"),
+        F.round(F.sum(F.round("score", 6)), 3).alias("sum_score"),
+    )
+    whole = totals.join(added, "matcher", "left").fillna(0)
+    each = listed.withColumn("matcher", F.explode(F.array(*[F.lit(m) for m in matchers])))
+    return _rounded(whole.join(each, "matcher"), "f1")
 
 
 def audit_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,6 +421,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         audit_dropped_hits,
         audit_junk_hits,
         audit_summary,
+        audit_files,
         audit_tenants,
         audit_checks,
         audit_candidate_profile,

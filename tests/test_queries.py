@@ -20,6 +20,7 @@ CHECKED = [
     "match_flooding",
     "eval_report",
     "audit_checks",
+    "audit_files",
     "stability_shuffle_lost",
 ]
 
@@ -49,7 +50,7 @@ def test_entry(spark):
     assert {r.matcher for r in contract.entry(spark).collect()} == {"exact", "normalized", "trigram"}
 
 
-@pytest.mark.parametrize("name", ["match_trigram_topk", "match_cupid", "eval_report", "audit_summary", "legacy_lineage"])
+@pytest.mark.parametrize("name", ["match_trigram_topk", "match_cupid", "eval_report", "audit_summary", "audit_files", "legacy_lineage"])
 def test_no_cross_join_in_plans(spark, name):
     df = contract.queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()

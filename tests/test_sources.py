@@ -4,7 +4,7 @@ import json
 import pytest
 
 from schemaweft.plans import jobs
-from schemaweft.sources import pairs
+from schemaweft.sources import pairs, sinks
 
 
 @pytest.fixture
@@ -120,3 +120,12 @@ def test_benchmark_audit_writes_reports(spark, root, tmp_path):
     assert [r.ranks for r in ranks] == [[None, None, None], [1, None]]
     hits = spark.read.json(f"{out}/audit").collect()
     assert {r.kind for r in hits} == {"dropped"} and len(hits) == 9
+    assert (tmp_path / "audit/audit/matcher=normalized_match").is_dir()
+    again, columns, totals = sinks.read_audit(spark, out)
+    assert sorted((r.matcher, r.pair_id, r.src, r.tgt, r.rank) for r in again.collect()) == sorted((r.matcher, r.pair_id, r.src, r.tgt, r.rank) for r in hits)
+    dropped = {(r.pair_id, r.name) for r in columns.filter("kind = 'dropped'").collect()}
+    assert dropped and {(r.pair_id, r.src) for r in hits} <= dropped
+    rows = {r.matcher: r for r in totals.collect()}
+    assert set(rows) == set(names) and rows["normalized_match"].n_dropped_source_mappings == 0
+    assert {r.n_dropped_source_columns for r in rows.values()} == {len(dropped)}
+    assert all(rows[m].f1 == report[m].f1 for m in names)
