@@ -348,13 +348,14 @@ truth AS MATERIALIZED (SELECT 'one' AS pair_id, s AS src, t AS tgt
   FROM (VALUES {", ".join(f"('{s}', '{t}')" for s, t in STANDARD_TRUTH)}) v(s, t))"""
 
 _SEEDS = ", ".join(f"({s})" for s in DEFAULT_SEEDS)
+_PERMUTED = f"""(((tgt_ord % {PRIME}) * ((seed::BIGINT * {STEP} + {SHIFT}) % {PRIME}) + (seed::BIGINT * {SHIFT} + {STEP}) % {PRIME}) % {PRIME}) * {HIGH_PART}
+      + tgt_ord // {PRIME}"""
 SHUFFLED = f"""
 seeds(seed) AS (VALUES {_SEEDS}),
 src4 AS (SELECT pair_id || '#' || seed AS pair_id, src, src_ord FROM src, seeds),
 tgt4 AS (
   SELECT pair_id || '#' || seed AS pair_id, tgt,
-    (((tgt_ord % {PRIME}) * ((seed::BIGINT * {STEP} + {SHIFT}) % {PRIME})) % {PRIME}) * {HIGH_PART}
-      + tgt_ord // {PRIME} AS tgt_ord
+    {_PERMUTED} AS tgt_ord
   FROM tgt, seeds)"""
 
 
@@ -375,10 +376,12 @@ M6 = {
     "cupid": "cupid_match",
     "flooding": "similarity_flooding_match",
 }
-EVAL_6 = _with(
-    FILES, EXACT, NORMALIZED, _trigram(), SEQUENCE, PLAIN_CUPID, FLOODING,
+_ALL_SIX = (
+    EXACT, NORMALIZED, _trigram(), SEQUENCE, PLAIN_CUPID, FLOODING,
     f"flooding AS MATERIALIZED ({_top('flooded', 5, 'round(score, 9)')})", _tagged(list(M6)),
 )
+EVAL_6 = _with(FILES, *_ALL_SIX)
+EVAL_6_DOCUMENTS = _with(DOCUMENTS, *_ALL_SIX)
 
 ORACLES: dict[str, str] = {
     "base_table_generate": f"""{_with(BASE)} SELECT row_key, id, name, email, address_line_1, address_line_2,
@@ -448,6 +451,8 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT matcher, pair_id, {_SUMS} FROM outcome GROUP BY matcher, pair_id""",
         "matcher, pair_id",
     ),
+    "eval_six_matchers": EVAL_6_DOCUMENTS
+    + _metrics(f"SELECT matcher, pair_id, {_SUMS} FROM outcome GROUP BY matcher, pair_id", "matcher, pair_id"),
     "eval_fixed_sources": EVAL_3
     + _metrics(f"SELECT matcher, {_SUMS} FROM outcome WHERE src_ord % 2 = 0 GROUP BY matcher", "matcher"),
     "eval_report_files": EVAL_3
@@ -527,6 +532,21 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (EXISTS (SELECT 1 FROM truth t WHERE t.pair_id = split_part(m.pair_id, '#', 1)
           AND t.src = m.src AND t.tgt = m.tgt)) AS n_correct
       FROM moved m GROUP BY seed""",
+    "stability_shuffle_flooding": f"""{_with(DOCUMENTS, FLOODING)},
+      seeds(seed) AS (VALUES {_SEEDS}),
+      first AS (
+        SELECT * FROM flooded QUALIFY row_number() OVER (PARTITION BY pair_id, src_ord ORDER BY round(score, 9) DESC, tgt_ord) = 1),
+      moved AS (
+        SELECT * FROM flooded, seeds
+        QUALIFY row_number() OVER (PARTITION BY seed, pair_id, src_ord ORDER BY round(score, 9) DESC, {_PERMUTED}) = 1)
+      SELECT seed::BIGINT AS seed, pair_id, src, o.tgt AS orig_tgt, round(o.score, 6) AS orig_score, m.tgt AS shuf_tgt,
+        round(m.score, 6) AS shuf_score
+      FROM first o JOIN moved m USING (pair_id, src)
+      WHERE EXISTS (SELECT 1 FROM truth t WHERE t.pair_id = o.pair_id AND t.src = o.src AND t.tgt = o.tgt)
+        AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.pair_id = m.pair_id AND t.src = m.src AND t.tgt = m.tgt)""",
+    "triage_six_matchers": f"""{EVAL_6_DOCUMENTS} SELECT matcher, pair_id, src,
+      CASE WHEN top_score IS NULL THEN 'no_candidate' WHEN top_score >= 0.5 THEN 'accept' ELSE 'review' END AS decision
+      FROM outcome""",
     "stability_ties_margin": f"""{_with(DOCUMENTS, _trigram())}
       SELECT pair_id, src, tgt, rank, count(*) OVER (PARTITION BY pair_id, src_ord, round(score, 12)) AS n_tied,
         round(coalesce(score - lead(score) OVER (PARTITION BY pair_id, src_ord ORDER BY rank), -1.0), 6) AS margin

@@ -12,7 +12,7 @@ from schemaweft.functions import names, values
 from schemaweft.operators import audit, evaluate, legacy, migrate, stability
 from schemaweft.operators.matchers.cupid import cupid_match
 from schemaweft.operators.matchers.exact import exact_match, normalized_match
-from schemaweft.operators.matchers.flooding import Flooding
+from schemaweft.operators.matchers.flooding import Flooding, flooding_match
 from schemaweft.operators.matchers.sequence import sequence_match
 from schemaweft.operators.matchers.trigram import trigram_match
 from schemaweft.plans import jobs
@@ -23,6 +23,7 @@ from schemaweft.sources.generator import base_table
 
 MATCHERS_3 = {"exact": exact_match, "normalized": normalized_match, "trigram": trigram_match}
 MATCHERS_4 = {**MATCHERS_3, "sequence": sequence_match}
+MATCHERS_6 = {**MATCHERS_4, "cupid": cupid_match, "flooding": flooding_match}
 
 
 class Documents:
@@ -239,6 +240,13 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(whole, *METRICS)
 
 
+def eval_six_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all six matchers, by schema pair."""
+    run = Documents(spark, sf_dir).evaluated(MATCHERS_6)
+    by_pair = evaluate.report(run.outcomes, ["matcher", "pair_id"])
+    return _rounded(by_pair.select("matcher", "pair_id", "tp", "fp", "fn", "tn", *METRICS), *METRICS)
+
+
 def eval_fixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics over a given list of sources, here those of even ordinals, instead of the catalog's."""
     d = Documents(spark, sf_dir)
@@ -374,6 +382,13 @@ def stability_shuffle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.groupBy("seed").agg(F.count("*").alias("n_sources")).join(correct, "seed")
 
 
+def stability_shuffle_flooding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose first target by propagation is correct only in the original order."""
+    d = Documents(spark, sf_dir)
+    lost = jobs.shuffle_probe(settle(d.catalog), d.truth, lambda catalog: flooding_match(catalog, k=1))
+    return _rounded(lost, "orig_score", "shuf_score")
+
+
 def stability_ties_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     ties = stability.ties_and_margins(Documents(spark, sf_dir).matched(trigram_match))
     return ties.select(
@@ -386,6 +401,11 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability.triage(run.outcomes, 0.5).select("matcher", "pair_id", "src", "decision")
 
 
+def triage_six_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = Documents(spark, sf_dir).evaluated(MATCHERS_6)
+    return stability.triage(run.outcomes, 0.5).select("matcher", "pair_id", "src", "decision")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -414,6 +434,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         eval_outcomes,
         eval_ranks,
         eval_report,
+        eval_six_matchers,
         eval_fixed_sources,
         eval_report_files,
         eval_rank_list,
@@ -429,7 +450,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         audit_benchmark,
         stability_shuffle_lost,
         stability_shuffle_documents,
+        stability_shuffle_flooding,
         stability_ties_margin,
         triage,
+        triage_six_matchers,
     )
 }

@@ -183,3 +183,10 @@ def test_permuted_ordinals_are_one_to_one(spark):
     ids = spark.range(5000).withColumn("o", F.when(F.col("id") < 4990, F.col("id")).otherwise((1 << 40) + F.col("id")))
     for seed in stability.DEFAULT_SEEDS:
         assert ids.select(stability.permuted_ordinal(F.col("o"), F.lit(seed).cast("bigint"))).distinct().count() == 5000
+
+
+def test_first_ordinal_moves_under_every_seed(spark):
+    ids = spark.range(10).select(F.col("id").alias("o"))
+    for seed in stability.DEFAULT_SEEDS:
+        order = [r.o for r in ids.orderBy(stability.permuted_ordinal(F.col("o"), F.lit(seed).cast("bigint"))).collect()]
+        assert order[0] != 0 and sorted(order) == list(range(10))
