@@ -1,9 +1,11 @@
 """Quality rules: line sequence labelling.
 
 A linear-chain conditional random field with two states, content and boilerplate, labels the
-lines of a document. It is trained on a bounded sample of labelled documents, whose lines take
-the document's label; Viterbi decoding marks the lines of any text, and the share of word
-characters in content lines decides whether the document stays.
+lines of a document. It is trained on a bounded sample of labelled documents. Their lines' states
+are latent: the document's label only says what eight of ten of its lines are, and expectation
+maximisation finds which, so a poor document may hold content and a good one boilerplate. Viterbi
+decoding marks the lines of any text, and the share of word characters in content lines decides
+whether the document stays.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 from schemaweft.llm.shingles import WordHashes, mix
 
-#: Labelled documents that the field is trained on, at most, and lines of a training sequence.
-SAMPLE_DOCS, SEQUENCE = 2_000, 64
+#: Labelled documents that the field is trained on, at most, their sequences, and lines of one.
+SAMPLE_DOCS, SAMPLE_SEQUENCES, SEQUENCE = 2_000, 8_000, 64
+#: Share of a labelled document's lines that are taken to be as its label says.
+AS_LABELLED = 0.8
 EPOCHS, RATE, RIDGE = 80, 0.15, 1e-3
 #: Least share of word characters in content lines that keeps a document.
 CONTENT_SHARE = 0.5
@@ -65,6 +69,11 @@ def line_features(lines: list[str]) -> np.ndarray:
     return out
 
 
+def _odds(scores: np.ndarray) -> np.ndarray:
+    """State probabilities of lines that stand alone."""
+    return np.exp(scores - np.logaddexp(scores[..., :1], scores[..., 1:]))
+
+
 class LineField:
     """Weights of the field: emissions (2 x features), transitions (2 x 2) and begin (2)."""
 
@@ -91,25 +100,32 @@ class LineField:
         return np.array(states[::-1])
 
     def fit(self, sequences: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> "LineField":
-        """Maximum likelihood by Adam; all lines of a sequence have its label."""
+        """Latent states in two halves, by Adam; a sequence's label leans the states of its lines.
+
+        First lines stand alone, and expectation maximisation finds what each form of line is:
+        expected counts with the label's odds on each line, less those without. What comes out,
+        with those odds, are soft states of all lines; the whole field is then fitted to them, so
+        that steps are learnt from what follows what inside documents, not from the labels.
+        """
         length = max(map(len, sequences))
         x = np.zeros((length, len(sequences), N_FEATURES))
         there = np.zeros((length, len(sequences)))
         for j, s in enumerate(sequences):
             x[: len(s), j] = s
             there[: len(s), j] = 1
-        y = np.array(labels)
-        gold = np.eye(2)[y]
+        lean = np.log(AS_LABELLED / (1 - AS_LABELLED)) * np.eye(2)[np.array(labels)]
         weights = [self.emit, self.step, self.begin]
         slow, quick = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         total = there.sum()
         for epoch in range(1, epochs + 1):
-            state, pair = self._marginals(x @ self.emit.T, there)
-            off = (gold[None] - state) * there[:, :, None]
-            steps = there[1:].sum(0)
-            wanted = np.zeros((2, 2))
-            np.add.at(wanted, (y, y), steps)
-            gradients = [np.einsum("tjs,tjf->sf", off, x), wanted - pair, off[0].sum(0)]
+            scores = x @ self.emit.T
+            alone = 2 * epoch <= epochs
+            if alone or 2 * (epoch - 1) <= epochs:
+                wanted = _odds(scores + lean) * there[:, :, None]
+                wanted_pair = np.einsum("tja,tjb->ab", wanted[:-1], wanted[1:])
+            state, pair = (_odds(scores) * there[:, :, None], wanted_pair) if alone else self._marginals(scores, there)
+            off = wanted - state
+            gradients = [np.einsum("tjs,tjf->sf", off, x), wanted_pair - pair, off[0].sum(0) * (not alone)]
             for w, g, m, v in zip(weights, gradients, slow, quick):
                 g = g / total - RIDGE * w
                 m += 0.1 * (g - m)
@@ -135,23 +151,37 @@ class LineField:
         return state, (np.exp(joint) * there[1:, :, None, None]).sum((0, 1))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LineField:
-    """A field fitted to the ``sample_docs`` labelled documents with the least id hashes.
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_sequences: int = SAMPLE_SEQUENCES) -> LineField:
+    """A field fitted to the ``sample_docs`` labelled documents with the least id hashes, and of
+    their sequences of 64 lines to the ``sample_sequences`` with the least hashes.
 
     ``labels`` has doc_id and quality (1 good, 0 poor). Rows without either teach nothing; with
-    nothing to learn from, every line is content.
+    nothing to learn from, every line is content. Tasks turn lines into features; no text comes
+    to the driver, only a number of 18 bits a line.
     """
     known = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality")
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").filter("text is not null").collect()
-    sequences, targets = [], []
-    for row in sorted(rows, key=lambda r: r.doc_id):
-        features = line_features(row.text.split("\n"))
-        for at in range(0, len(features), SEQUENCE):
-            sequences.append(features[at : at + SEQUENCE])
-            targets.append(int(row.quality == 1))
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, good, starts, bits = [], [], [], []
+            for doc_id, text, quality in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                numbers = (line_features(text.split("\n")) @ (1 << np.arange(N_FEATURES))).astype(np.int32)
+                for at in range(0, len(numbers), SEQUENCE):
+                    ids.append(doc_id)
+                    good.append(quality == 1)
+                    starts.append(at)
+                    bits.append(numbers[at : at + SEQUENCE])
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()))
+            columns = [pa.array(c, k) for c, k in zip((ids, good, starts, bits), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "good", "start", "bits"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(few), "doc_id").filter("text is not null")
+    made = rows.select("doc_id", "text", "quality").mapInArrow(sequences, "doc_id bigint, good boolean, start bigint, bits array<int>")
+    chosen = made.orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "good", "bits").limit(sample_sequences).collect()
+    features = [np.array(r.bits)[:, None] >> np.arange(N_FEATURES) & 1 for r in chosen]
     field = LineField()
-    return field.fit(sequences, targets) if sequences else field
+    return field.fit(features, [int(r.good) for r in chosen]) if chosen else field
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
