@@ -1,11 +1,12 @@
 import random
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 
 from schemaweft.operators.matchers.cupid import CupidParameters, cupid_match
 from schemaweft.operators.matchers.exact import exact_match, normalized_match
-from schemaweft.operators.matchers.flooding import FORMULAS, Flooding, NotConverged, flooding_match
+from schemaweft.operators.matchers.flooding import FORMULAS, Flooding, NotConverged, Propagation, _solver, flooding_match
 from schemaweft.operators.matchers.sequence import sequence_match
 from schemaweft.operators.matchers.trigram import TrigramIndex, trigram_levels, trigram_match
 
@@ -298,3 +299,27 @@ def test_flooding_converges_and_never_abstains(catalog_of):
     assert all(n < 100 and residual <= 1e-6 for n, residual in rounds.values())
     sources = catalog.filter("side = 'source'").count()
     assert flooding_match(catalog, 1).count() == sources
+
+
+def test_flooding_of_a_wide_pair_goes_on_until_it_rests():
+    """1,600 columns a side need more than a thousand rounds; the state is then its own successor."""
+    kinds = [(a, b) for a in ("real", "text") for b in ("real", "text")]
+    sides = {"n_src": [400, 400, 1200, 1200], "n_tgt": [900, 700, 900, 700]}
+    sums = {"s_sum": [9e3, 8e3, 3e4, 4e4], "s_squares": [900.0, 800.0, 4e3, 6e3], "s_max": [1.0, 0.8, 0.9, 1.0]}
+    classes = pd.DataFrame({"pair_id": "p", **dict(zip(("src_family", "tgt_family"), map(list, zip(*kinds)))), **sides, **sums})
+    solved = _solver("c", None, 1e-6)(classes)
+    assert solved["converged"].all() and solved["rounds"].iloc[0] > 1000
+    assert not _solver("c", 1000, 1e-6)(classes)["converged"].any()
+    graph, state = Propagation(classes), Propagation(classes).initial
+    for _ in range(solved["rounds"].iloc[0]):
+        state = graph.step(state, "c")
+    assert solved["alpha"].iloc[0] == state[0] and graph.distance(graph.step(state, "c"), state) <= 1e-6
+
+
+def test_flooding_that_never_rests_ends():
+    """The residual of a pair that cannot reach an epsilon below its noise finds no new least value."""
+    classes = pd.DataFrame(
+        {"pair_id": ["p"], "src_family": ["text"], "tgt_family": ["text"], "n_src": [30], "n_tgt": [30], "s_sum": [70.0], "s_squares": [9.0], "s_max": [0.7]}
+    )
+    solved = _solver("c", None, 1e-300)(classes)
+    assert solved["converged"].all() or solved["rounds"].iloc[0] < 100_000
