@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaweft.catalog import PREDICTION_SCHEMA, sources, targets
+from schemaweft.session import merged
 
 HIT_COLUMNS = ["matcher", "pair_id", "src", "src_ord", "tgt", "tgt_ord", "score", "rank"]
 
@@ -36,22 +37,22 @@ def _real(lineage: DataFrame) -> DataFrame:
 
 def dropped_sources(catalog: DataFrame, lineage: DataFrame) -> DataFrame:
     """pair_id, src, src_ord of source columns without any target."""
-    return sources(catalog).join(_real(lineage), ["pair_id", "src"], "left_anti")
+    return sources(catalog).join(merged(_real(lineage)), ["pair_id", "src"], "left_anti")
 
 
 def junk_targets(catalog: DataFrame, lineage: DataFrame) -> DataFrame:
     """pair_id, tgt, tgt_ord of target columns without any source."""
-    return targets(catalog).join(_real(lineage), ["pair_id", "tgt"], "left_anti")
+    return targets(catalog).join(merged(_real(lineage)), ["pair_id", "tgt"], "left_anti")
 
 
 def dropped_hits(predictions: DataFrame, dropped: DataFrame) -> DataFrame:
     """Predictions of any rank whose source has no target."""
-    return predictions.join(dropped.select("pair_id", "src"), ["pair_id", "src"], "left_semi").select(*HIT_COLUMNS)
+    return predictions.join(merged(dropped.select("pair_id", "src")), ["pair_id", "src"], "left_semi").select(*HIT_COLUMNS)
 
 
 def junk_hits(predictions: DataFrame, junk: DataFrame) -> DataFrame:
     """Predictions of any rank whose target has no source."""
-    return predictions.join(junk.select("pair_id", "tgt"), ["pair_id", "tgt"], "left_semi").select(*HIT_COLUMNS)
+    return predictions.join(merged(junk.select("pair_id", "tgt")), ["pair_id", "tgt"], "left_semi").select(*HIT_COLUMNS)
 
 
 def audit_hits(predictions: DataFrame, catalog: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def candidate_profile(predictions: DataFrame, all_src: DataFrame, matchers: list
     """matcher, pair_id, src, n_candidates for every source, zero included."""
     every = all_src.select("pair_id", "src").withColumn("matcher", F.explode(F.array(*[F.lit(m) for m in matchers])))
     counts = predictions.groupBy("matcher", "pair_id", "src").agg(F.count("*").alias("n"))
-    return every.join(counts, ["matcher", "pair_id", "src"], "left").select(
+    return every.join(merged(counts), ["matcher", "pair_id", "src"], "left").select(
         "matcher", "pair_id", "src", F.coalesce("n", F.lit(0)).alias("n_candidates")
     )
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaweft.session import merged
+
 ELEMENT_KEY = ["pair_id", "elem"]
 
 
@@ -31,7 +33,7 @@ def rare_first(sets: DataFrame) -> DataFrame:
         .filter((F.col("n_tgt") > 0) & (F.col("n_src") > 0))
     )
     return (
-        single.join(stats, ELEMENT_KEY)
+        single.join(merged(stats), ELEMENT_KEY)
         .groupBy("pair_id", "side", "ord", *payload)
         .agg(F.sort_array(F.collect_list(F.struct("n_tgt", "elem", "n_src"))).alias("elems"))
     )
@@ -79,7 +81,7 @@ def meet(
         F.pmod(F.xxhash64("tgt_ord"), _cells(F.col("e.n_tgt"), cell)).cast("int").alias("grid_col"),
         F.explode(F.sequence(F.lit(0), _cells(F.col("e.n_src"), cell) - 1)).alias("grid_row"),
     )
-    bounded = left.join(right, [*ELEMENT_KEY, "grid_row", "grid_col"]).withColumn(
+    bounded = left.join(merged(right), [*ELEMENT_KEY, "grid_row", "grid_col"]).withColumn(
         "ub", F.least("s_left", "t_left")
     )
     return (

@@ -192,3 +192,14 @@ def test_first_ordinal_moves_under_every_seed(spark):
     for seed in stability.DEFAULT_SEEDS:
         order = [r.o for r in ids.orderBy(stability.permuted_ordinal(F.col("o"), F.lit(seed).cast("bigint"))).collect()]
         assert order[0] != 0 and sorted(order) == list(range(10))
+
+
+def test_joins_on_columns_are_not_broadcast(demo, spark):
+    """Files of predictions and truth are small beside their rows, so their size must not decide."""
+    rows = demo(ranked=RANKED, silent={})
+    catalog = spark.createDataFrame([("p", "source", 1, "a", "str"), ("p", "target", 2, "x", "str")], "pair_id string, side string, ordinal bigint, name string, dtype string")
+    lineage = spark.createDataFrame([("p", "a", "x")], "pair_id string, src string, tgt string")
+    predictions = rows.select("matcher", "pair_id", "src", "src_ord", "top_tgt", "top_score").toDF("matcher", "pair_id", "src", "src_ord", "tgt", "score")
+    predictions = predictions.selectExpr("*", "src_ord AS tgt_ord", "1 AS rank")
+    for df in (rows, audit.audit_hits(predictions, catalog, lineage), audit.candidate_profile(predictions, sources(catalog), ["ranked"])):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()

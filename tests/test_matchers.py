@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 import pytest
 
+from schemaweft.operators import grid
 from schemaweft.operators.matchers.cupid import CupidParameters, cupid_match
 from schemaweft.operators.matchers.exact import exact_match, normalized_match
 from schemaweft.operators.matchers.flooding import FORMULAS, Flooding, NotConverged, Propagation, _solver, flooding_match
@@ -125,6 +126,22 @@ def test_trigram_lookups_stop_at_the_bar(catalog_of):
     assert n_read < 0.2 * 120 * 600 * 20
 
 
+def test_trigram_cells_make_no_row_per_posting_and_merge_what_grows(catalog_of, monkeypatch):
+    """Also with plans of many pairs, and names that are missing or too short."""
+    pairs = random_pairs(12, n_pairs=12)
+    pairs["odd"] = [[None, "ab", "cust_name"], ["name_cust", None, "x"]]
+    catalog = catalog_of(pairs)
+    monkeypatch.setattr(grid, "MANY_PAIRS", 3)
+    for cell in (8192, 9):
+        found = trigram_match(catalog, 3, cell=cell)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "posexplode" not in plan and "Broadcast" not in plan
+        rows = {}
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):
+            rows.setdefault((r.pair_id, r.src_ord), []).append((r.tgt, r.score))
+        assert rows == brute_force(catalog, 3, lambda a, b: jaccard(a or "", b or ""))
+
+
 # Linguistic-structural matching against a direct computation
 
 
