@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from schemaweft.operators import grid
+from schemaweft.operators.matchers import sequence
 from schemaweft.operators.matchers.cupid import CupidParameters, cupid_match
 from schemaweft.operators.matchers.exact import exact_match, normalized_match
 from schemaweft.operators.matchers.flooding import FORMULAS, Flooding, NotConverged, Propagation, _solver, flooding_match
@@ -340,3 +341,29 @@ def test_flooding_that_never_rests_ends():
     )
     solved = _solver("c", None, 1e-300)(classes)
     assert solved["converged"].all() or solved["rounds"].iloc[0] < 100_000
+
+
+def test_block_ratio_is_that_of_the_standard_library():
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choice("abc\u00e9_") for _ in range(draw.randrange(n)))
+    for n in [24] * 2000 + [240] * 20:
+        a, b = text(n), text(n)
+        assert sequence.block_ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_subsequences_are_sought_only_where_common_characters_reach_the_bar(monkeypatch):
+    sought = []
+
+    class Counting(sequence.SubsequenceBound):
+        def of(self, text, at=None):
+            sought.append(len(self.lengths) if at is None else len(at))
+            return super().of(text, at)
+
+    monkeypatch.setattr(sequence, "SubsequenceBound", Counting)
+    texts = ["order_date", "date_order", "xyz", "zzzzzzzzzz", "", "order_date_2"]
+    (_, best), = sequence._by_matching_blocks(texts, list(range(6)), {"order_date": 0.7}, 2)
+    assert sorted(best) == [(0, 1.0), (5, 20 / 22)] and sought == [3]
+    # More kinds of characters than there are bits.
+    many = ["".join(map(chr, range(300 + i, 500 + i))) for i in range(8)]
+    bound = sequence.CharacterBound(many)
+    assert all(n >= len(set(many[3]) & set(t)) for n, t in zip(bound.of(many[3]), many))
