@@ -49,7 +49,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers that have served the other stages hold memory already, so fewer words are remembered.
     """
-    return packing.pack(packing.tokenise(docs, tokenizer_path(), with_ids=True, remembered=REMEMBERED))
+    return packing.pack_apart(packing.tokenise(docs, tokenizer_path(), with_ids=True, remembered=REMEMBERED))
 
 
 STAGES = [

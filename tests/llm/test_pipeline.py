@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from schemaweft.llm import languages
+from schemaweft.llm import languages, packing
 from schemaweft.llm.queries import tokenizer_path
 
 WORDS = {
@@ -82,3 +82,16 @@ def test_run_equals_plain_python(spark, tmp_path):
             assert offset == at
             at += n
         assert at <= 4096
+
+
+def test_token_ids_stay_out_of_the_numbering(spark, monkeypatch):
+    """Ranges are by length: with ids, one would hold the longest pieces. Equal rows all keep theirs."""
+    numbered, positions = [], packing.positions
+    monkeypatch.setattr(packing, "positions", lambda df, *a, **k: (numbered.append(df.columns), positions(df, *a, **k))[1])
+    texts = ["a cat", "a cat", None, "the dog " * 3000]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = corpus_pipeline.packed(spark, docs, "").collect()
+    assert len(numbered) == 1 and "ids" not in numbered[0]
+    plain = packing.tokenise(docs, tokenizer_path(), with_ids=True).collect()
+    key = lambda r: (r.doc_id, r.piece, r.start, r["length"], r.ids_crc32, tuple(r.ids))
+    assert Counter(map(key, got)) == Counter(map(key, plain)) and len(plain) > len(texts)
