@@ -36,8 +36,8 @@ PERCENT = 75
 SEGMENT, KEYS_PER_BUCKET = 2.3, 400_000
 #: Keys of a batch that so many of its sets share are met there.
 HOT = 24
-#: Sets of a chunk of a hub's lists, about; a cell holds two chunks.
-CHUNK = 256
+#: Sets of a center's lists that make one chunk; of c times as many, the root of c chunks. A cell holds two.
+CHUNK = 4096
 #: Classes whose membership is tested map-side before their sets travel.
 MAX_BROADCAST = 1_000_000
 IS, WANTS, WANTS_LONGER, IS_SHORTENED = 1, 2, 4, 8
@@ -434,30 +434,66 @@ def _apart(u: np.ndarray, v: np.ndarray, bits: list[np.ndarray], words: int = 2_
     return out
 
 
-def _cell(table: pa.Table, percent: int) -> pa.Table:
+def _asked_before(u: np.ndarray, v: np.ndarray, owner: np.ndarray, lists: np.ndarray, asks: np.ndarray, step: int = 2_000_000) -> np.ndarray:
+    """Whether u[i] asks in one of the given entries (lists numbered) of a list that v[i] is in."""
+    width = int(lists.max(initial=0)) + 1
+    known = np.append(np.sort(owner * width + lists), -1)
+    by_owner = np.argsort(owner[asks], kind="stable")
+    asked, of = lists[asks][by_owner], owner[asks][by_owner]
+    first, last = (np.searchsorted(of, u, side) for side in ("left", "right"))
+    out = np.zeros(len(u), bool)
+    cuts = np.searchsorted(np.cumsum(last - first), np.arange(step, (last - first).sum(), step))
+    for part in np.split(np.arange(len(u)), np.unique(cuts)):
+        many = last[part] - first[part]
+        pair = np.repeat(part, many)
+        at = np.arange(len(pair)) + np.repeat(first[part] - np.cumsum(many) + many, many)
+        wanted = v[pair] * width + asked[at]
+        out[pair[known[np.searchsorted(known[:-1], wanted)] == wanted]] = True
+    return out
+
+
+def _cell(table: pa.Table, percent: int, area: int = 4_000_000) -> pa.Table:
     """u, v: pairs of a cell that share a list, are of different components and may be similar.
 
-    Between two chunks only pairs across them count, so that every pair is met in one cell.
+    Between two chunks only pairs across them count, and only those that share no list of a
+    lower center, so that every pair is met in one cell. Askers come in blocks of at most
+    ``area`` pairs.
     """
     column = lambda name: table.column(name).to_numpy()
     names, component, n, chunk = column("class"), column("component"), column("n"), column("chunk")
-    lists, asks = table.column("lists").combine_chunks(), table.column("asked").combine_chunks()
+    lists = table.column("lists").combine_chunks()
     owner = np.repeat(np.arange(len(names)), np.diff(lists.offsets.to_numpy()))
-    lists, asks = lists.flatten().to_numpy(), asks.flatten().to_numpy(zero_copy_only=False)
+    lists = lists.flatten().to_numpy()
     order = np.argsort(lists, kind="stable")
-    owner, asks = owner[order], asks[order]
-    edges = np.flatnonzero(np.diff(lists[order])) + 1
-    share = np.zeros((len(names), len(names)), bool)
-    for a, b in zip(np.append(0, edges), np.append(edges, len(owner))):
-        if b - a > 1:
-            share[np.ix_(owner[a:b][asks[a:b]], owner[a:b])] = True
-    share &= (component[:, None] != component) & (n[:, None] >= n) & (100 * n >= percent * n[:, None])
-    if chunk.min() < chunk.max():
-        share &= chunk[:, None] != chunk
-    u, v = np.nonzero(share)
+    lists, owner = lists[order], owner[order]
+    asks, here = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)[order] for c in ("asked", "here"))
+    place = np.cumsum(np.append(True, lists[1:] != lists[:-1])) - 1
+    before = (owner[~here], place[~here], asks[~here])
+    owner, place, asks = owner[here], place[here], asks[here]
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    ends = np.append(starts[1:], len(place))
+    place = np.repeat(np.arange(len(starts)), ends - starts)
     bits = [np.array(b, np.int64) for b in table.column("bits").to_pylist()]
-    fits = _apart(u, v, bits) <= (100 - percent) * (n[u] + n[v]) // (100 + percent)
-    u, v = names[u[fits]], names[v[fits]]
+    out = [(np.zeros(0, np.int64),) * 2]
+    step = max(1, area // len(names))
+    for low in range(0, len(names), step):
+        high = min(low + step, len(names))
+        askers = np.flatnonzero(asks & (owner >= low) & (owner < high) & ((ends - starts)[place] > 1))
+        share = np.zeros((high - low, len(names)), bool)
+        for part in np.split(askers, np.flatnonzero(np.diff(place[askers])) + 1) if len(askers) else []:
+            a, b = starts[place[part[0]]], ends[place[part[0]]]
+            share[np.ix_(owner[part] - low, owner[a:b])] = True
+        mine = slice(low, high)
+        share &= (component[mine, None] != component) & (n[mine, None] >= n) & (100 * n >= percent * n[mine, None])
+        if chunk.min() < chunk.max():
+            share &= chunk[mine, None] != chunk
+        u, v = np.nonzero(share)
+        u += low
+        fits = _apart(u, v, bits) <= (100 - percent) * (n[u] + n[v]) // (100 + percent)
+        u, v = u[fits], v[fits]
+        new = ~_asked_before(u, v, *before)
+        out.append((names[u[new]], names[v[new]]))
+    u, v = (np.concatenate(x) for x in zip(*out))
     return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
 
@@ -465,14 +501,23 @@ def _asked_in_cells(every: DataFrame, sizes: DataFrame, percent: int) -> DataFra
     """As ``_asked``, of ``every`` (center, list, class, asks, component), for long lists.
 
     Sets of lists with one center are dealt into chunks by hash, and every two chunks meet in
-    a cell; a set brings its lists along once, however many they are.
+    a cell; a set brings its lists along once, however many they are. Chunks grow with the root
+    of their number of sets, so that rows do with its power of 1.5.
     """
-    held = every.groupBy("center", "class", "component").agg(F.collect_list("list").alias("lists"), F.collect_list("asks").alias("asked"))
-    held = settle(held)
-    many = held.groupBy("center").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
-    dealt = held.join(many, "center").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("k")).cast("int")).join(sizes, "class")
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select("center", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "class", "component", "n", "bits", "lists", "asked")
+    held = every.groupBy("class", "component").agg(*(F.collect_list(c).alias(a) for c, a in (("list", "lists"), ("asks", "asked"), ("center", "centers"))))
+    held = settle(held.join(sizes, "class"))
+    seats = held.select("class", F.explode(F.array_distinct("centers")).alias("center"))
+    many = seats.groupBy("center").agg(F.ceil(F.sqrt(F.count("*") / CHUNK)).cast("int").alias("k"))
+    dealt = seats.join(many, "center").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    placed = placed.select("center", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "class")
+    # Lists of this center and, to tell what was met there, of lower ones.
+    known = F.filter(F.arrays_zip("centers", "lists", "asked"), lambda x: x.centers <= F.col("center"))
+    cells = placed.join(held, "class").withColumn("known", known)
+    cells = cells.select(
+        "center", "a", "b", "chunk", "class", "component", "n", "bits", "known.lists", "known.asked",
+        F.transform("known.centers", lambda c: c == F.col("center")).alias("here"),
+    )
     return cells.groupBy("center", "a", "b").applyInArrow(lambda t: _cell(t, percent), "u bigint, v bigint")
 
 

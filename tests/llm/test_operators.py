@@ -102,6 +102,20 @@ def test_long_lists_meet_in_cells(spark, monkeypatch):
     assert met and met[0] > 0
 
 
+@pytest.mark.parametrize("chunk", [16, 4096])
+def test_pairs_of_several_centers_are_met_once(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    lists = [(center, 10 * center + i, c, c % 2 == 0 or i > 0, c // 3) for center in (1, 2, 3) for i in (0, 1) for c in range(40) if c > 3 * center * i]
+    every = spark.createDataFrame(lists, "center long, list long, class long, asks boolean, component long")
+    sizes = spark.createDataFrame([(c, 100 + c % 28, [0, 0]) for c in range(40)], "class long, n long, bits array<long>")
+    n, members = {c: 100 + c % 28 for c in range(40)}, {}
+    for _, name, c, asks, _ in lists:
+        members.setdefault(name, []).append((c, asks))
+    wanted = {(u, v) for m in members.values() for u, asks in m for v, _ in m if asks and u // 3 != v // 3 and n[u] >= n[v]}
+    found = ngram_join._asked_in_cells(every, sizes, 75).collect()
+    assert Counter((r.u, r.v) for r in found) == Counter((min(p), max(p)) for p in wanted)
+
+
 def test_parities_apart():
     draw = np.random.default_rng(3)
     sets = [np.unique(draw.integers(0, 2**64, n, np.uint64)) for n in (3, 60, 64, 65, 100, 128, 130, 200)]
