@@ -10,7 +10,7 @@ import pytest
 
 from schemaweft.llm import chat, fingerprints, languages, line_quality, mixing, ngram_join, packing, private_data, repeats, warc
 from schemaweft.llm.queries import tokenizer_path
-from schemaweft.llm.suffixes import common_prefixes, suffix_array
+from schemaweft.llm.suffixes import _doubled, common_prefixes, suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, extra string"
 BASE = " ".join(f"w{i}" for i in range(60))
@@ -252,6 +252,12 @@ def test_line_quality(spark, docs, none):
     assert line_quality.train(none, labels.limit(0)).viterbi(np.ones((2, line_quality.N_FEATURES))).tolist() == [1, 1]
 
 
+def test_suffixes_of_names():
+    draw = np.random.default_rng(8)
+    for names in (draw.integers(0, 3, 200), np.tile(draw.integers(0, 9, 7), 30), np.zeros(50, np.int64), np.arange(20)[::-1], np.zeros(1, np.int64)):
+        assert _doubled(names).tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for n, k in ((1, 1), (30, 1), (200, 2), (300, 3), (500, 200)):
