@@ -27,7 +27,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaweft.llm.common import join_small, settle
+from schemaweft.llm.common import join_small, retained, settle, tidy
 from schemaweft.llm.components import components
 from schemaweft.llm.shingles import SHINGLE, mix, set_class, shingle_set
 
@@ -124,6 +124,7 @@ HELD, COMMON = 2_500_000, 3
 def _blocks(rows: Iterator[pa.RecordBatch], percent: int, seed: int, buckets: int, n: int) -> Iterator[pa.RecordBatch]:
     """Packed keys by bucket; in negative buckets the rows themselves, packed, and lists of sets
     that meet at a hot key (with their hub)."""
+    retained(__name__)
     sets: dict[int, np.ndarray] = {}
     held = 0
     for batch in rows:
@@ -298,7 +299,7 @@ def classes_and_lists(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE)
     # About a key for each seven characters.
     buckets = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / 7 / KEYS_PER_BUCKET))
     for seed in range(SEEDS):
-        blocks = rows.mapInArrow(lambda it, s=seed: _blocks(it, percent, s, buckets, n), BLOCK)
+        blocks = rows.mapInArrow(lambda it, s=seed: tidy(_blocks(it, percent, s, buckets, n)), BLOCK)
         try:
             found = settle(blocks.groupBy("bucket").applyInArrow(_shared, ENTRY))
             break
@@ -364,7 +365,7 @@ def element_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int =
 
     rows = docs.select(F.xxhash64("text").alias("h"), "text")
     rows = rows if few else rows.join(texts, "h", "left_semi")
-    sets = rows.mapInArrow(made, "class bigint, elements array<bigint>")
+    sets = rows.mapInArrow(lambda it: tidy(made(it)), "class bigint, elements array<bigint>")
     return settle(sets.groupBy("class").agg(F.first("elements").alias("elements")))
 
 

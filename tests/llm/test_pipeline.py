@@ -6,7 +6,8 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from schemaweft.llm import languages, packing
+import pyarrow as pa
+from schemaweft.llm import common, languages, ngram_join, packing
 from schemaweft.llm.queries import tokenizer_path
 
 WORDS = {
@@ -95,3 +96,16 @@ def test_token_ids_stay_out_of_the_numbering(spark, monkeypatch):
     plain = packing.tokenise(docs, tokenizer_path(), with_ids=True).collect()
     key = lambda r: (r.doc_id, r.piece, r.start, r["length"], r.ids_crc32, tuple(r.ids))
     assert Counter(map(key, got)) == Counter(map(key, plain)) and len(plain) > len(texts)
+
+
+def test_a_worker_retains_one_step_at_a_time():
+    """Workers serve all stages: the tokenizer and its words go when another stage's task comes."""
+    ids = packing._word_ids(tokenizer_path(), 10)
+    assert packing._word_ids(tokenizer_path(), 10) is ids
+    assert list(ngram_join._blocks(iter([]), 75, 0, 1, 5)) == []
+    assert packing._word_ids(tokenizer_path(), 10) is not ids
+
+
+def test_tidy_passes_all_on():
+    batches = [pa.RecordBatch.from_pydict({"a": [i, None]}) for i in range(3)]
+    assert list(common.tidy(iter(batches))) == batches and list(common.tidy(iter([]))) == []
