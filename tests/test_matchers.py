@@ -1,11 +1,12 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from schemaweft.operators import grid
-from schemaweft.operators.matchers import sequence
+from schemaweft.operators.matchers import sequence, trigram
 from schemaweft.operators.matchers.cupid import CupidParameters, cupid_match
 from schemaweft.operators.matchers.exact import exact_match, normalized_match
 from schemaweft.operators.matchers.flooding import FORMULAS, Flooding, NotConverged, Propagation, _solver, flooding_match
@@ -367,3 +368,29 @@ def test_subsequences_are_sought_only_where_common_characters_reach_the_bar(monk
     many = ["".join(map(chr, range(300 + i, 500 + i))) for i in range(8)]
     bound = sequence.CharacterBound(many)
     assert all(n >= len(set(many[3]) & set(t)) for n, t in zip(bound.of(many[3]), many))
+
+
+@pytest.mark.parametrize("spare", [1, 4])
+def test_trigrams_over_a_bar_skip_the_longest_postings(monkeypatch, spare):
+    """First targets over a bar equal plain scoring; the trigram that all targets hold is not read."""
+    draw = random.Random(7)
+    texts = list({"xyz" + "".join(draw.choice("abcd") for _ in range(draw.choice([0, 1, 5, 9, 14]))) for _ in range(300)})
+    firsts = draw.sample(range(1000), len(texts))
+    sources = {"xyz" + "".join(draw.choice("abcd") for _ in range(9)): draw.choice([0.2, 1 / 3, 0.5, 1.0]) for _ in range(100)}
+    sources |= {texts[0]: 1.0, "": 0.5, "qqqq": 0.1, "".join(draw.choice("abcdefghijklmnop") for _ in range(900)): 0.9}
+    monkeypatch.setattr(trigram, "SPARE", spare)
+    read, concatenate = [], np.concatenate
+    monkeypatch.setattr(np, "concatenate", lambda parts, *a, **k: (read.extend(map(len, parts)), concatenate(parts, *a, **k))[1])
+    got = dict(trigram._by_shared_grams(texts, firsts, sources, 5))
+    monkeypatch.undo()
+    if spare == 1:
+        assert read and max(read) < len(texts)
+    assert set(got) == set(sources)
+    for source, bar in sources.items():
+        a, want = trigram._grams(source), []
+        for i, text in enumerate(texts):
+            b = trigram._grams(text)
+            score = len(a & b) / len(a | b) if a & b else 0.0
+            if score >= bar:
+                want.append((-score, firsts[i], i))
+        assert got[source] == [(i, -s) for s, _, i in sorted(want)[:5]]
