@@ -7,12 +7,14 @@ compatibility of their types as structural similarity; the share of leaves with
 link raises or lowers that of the whole pair. Only pairs that reach the acceptance
 threshold are returned.
 
-The threshold implies a least linguistic similarity, so candidates come from an inverted
-index over tokens and columns without a similar token never meet.
+The threshold implies a least linguistic similarity, and that a number of tokens of both columns
+that may lack a similar one. So columns meet only where one of a few of their rarest tokens, taken
+from both sides, has a similar one in the other; frequent words bring no columns together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +23,7 @@ from pyspark.sql import functions as F
 from schemaweft.catalog import PREDICTION_COLUMNS, dtype_family
 from schemaweft.functions.names import word_tokens
 from schemaweft.operators.ranking import ranked
-from schemaweft.operators.setjoin import meet, rare_first
-from schemaweft.session import settle
+from schemaweft.session import merged, settle
 
 
 @dataclass(frozen=True)
@@ -131,10 +132,19 @@ def token_similarity(
     return out.groupBy("t1", "t2").agg(F.max("sim").alias("sim")).filter(F.col("sim") >= p.th_token)
 
 
-def _links(tokens: DataFrame, similar: DataFrame, own: str, other: str) -> DataFrame:
+def _edges(src_tokens: DataFrame, tgt_tokens: DataFrame, similar: DataFrame) -> DataFrame:
+    """pair_id, t1, t2, sim, f1, f2: similar tokens that a pair holds, with the columns that hold them."""
+    one = src_tokens.groupBy("pair_id", F.col("token").alias("t1")).agg(F.count("*").alias("f1"))
+    two = tgt_tokens.groupBy("pair_id", F.col("token").alias("t2")).agg(F.count("*").alias("f2"))
+    return one.join(merged(similar), "t1").join(merged(two), ["pair_id", "t2"])
+
+
+def _links(tokens: DataFrame, edges: DataFrame, own: str, other: str) -> DataFrame:
     """Per column the best similarity of its tokens with each token of the other side."""
+    similar = edges.select("pair_id", F.col(own).alias("token"), other, "sim")
     return (
-        tokens.join(similar.withColumnRenamed(own, "token"), "token")
+        tokens.select("pair_id", "ord", "token")
+        .join(merged(similar), ["pair_id", "token"])
         .groupBy("pair_id", "ord", other)
         .agg(F.max("sim").alias("sim"))
         .groupBy("pair_id", "ord")
@@ -142,6 +152,83 @@ def _links(tokens: DataFrame, similar: DataFrame, own: str, other: str) -> DataF
     )
 
 
+def _rare_tokens(tokens: DataFrame, edges: DataFrame, own: str, fan_out: str) -> DataFrame:
+    """pair_id, ord, n, m, rare: the number of a column's tokens, and the ``m`` of them with a similar
+    token on the other side, those first that the fewest columns there answer."""
+    answered = edges.groupBy("pair_id", F.col(own).alias("token")).agg(F.sum(fan_out).alias("h"))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "token"))))
+    return (
+        tokens.select("pair_id", "ord", "token")
+        .join(merged(answered), ["pair_id", "token"], "left")
+        .groupBy("pair_id", "ord")
+        .agg(F.count("*").alias("n"), F.count("h").alias("m"), F.transform(ordered, lambda x: x.token).alias("rare"))
+    )
+
+
+def _looked_up(src: tuple[Column, Column], tgt: tuple[Column, Column], p: CupidParameters) -> tuple[Column, Column]:
+    """How many of their rarest tokens a source and a target are met at, from both sides' (n, m).
+
+    An accepted pair leaves at most the share ``1 - least_lsim`` of all tokens of both columns without
+    a similar one. Tokens that none in the pair answers are known to be among them; of any other
+    ``spare + 1`` at least one has a partner.
+    """
+    (n_src, m_src), (n_tgt, m_tgt) = src, tgt
+    spare = F.floor((n_src + n_tgt) * (1 - p.least_lsim + 1e-9) + 1e-9) - (n_src - m_src) - (n_tgt - m_tgt)
+    # A column that has an unanswered token has often lost its rarest one, so the other side is looked up.
+    first = F.when(m_src == n_src, F.lit(1)).otherwise(F.lit(0))
+    of_src = F.when(spare < 0, 0).when(spare == 0, first).otherwise(F.ceil((spare + 1) / 2)).cast("int")
+    return of_src, F.when(spare < 0, 0).otherwise(spare + 1 - of_src).cast("int")
+
+
+def _met(
+    own: DataFrame, other: DataFrame, edges: DataFrame, other_tokens: DataFrame, upto: Callable, own_token: str, other_token: str, cell: int
+) -> DataFrame:
+    """(pair_id, ord, other_ord) of columns that meet at one of the first tokens of ``own``.
+
+    A token is looked up among the columns of each number of tokens for which it is asked at all.
+    Those that many ask for or many hold are cut into cells of at most ``cell`` columns a side.
+    """
+    kinds = other.groupBy("pair_id").agg(F.collect_set(F.struct(F.col("n").alias("n2"), F.col("m").alias("m2"))).alias("kinds"))
+    key = ["pair_id", "token", "n2", "m2"]
+    asked = settle(
+        own.join(merged(kinds), "pair_id")
+        .select("pair_id", "ord", "n", "m", "rare", F.explode("kinds").alias("kind"))
+        .withColumn("upto", upto((F.col("n"), F.col("m")), (F.col("kind.n2"), F.col("kind.m2"))))
+        .filter(F.col("upto") > 0)
+        .select("pair_id", "ord", "kind.*", F.explode(F.slice("rare", F.lit(1), F.col("upto"))).alias(own_token))
+        .join(merged(edges.select("pair_id", "t1", "t2")), ["pair_id", own_token])
+        .select("pair_id", F.col(other_token).alias("token"), "n2", "m2", "ord")
+    )
+    held = other_tokens.select("pair_id", "ord", "token").join(
+        merged(other.select("pair_id", "ord", F.col("n").alias("n2"), F.col("m").alias("m2"))), ["pair_id", "ord"]
+    )
+    asking = asked.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(float(cell))).cast("int").alias("n_rows"))
+    holding = held.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(float(cell))).cast("int").alias("n_cols"))
+    cells = settle(asking.join(merged(holding), key))
+
+    def dealt(column: str, own_part: str, own_parts: str, each: str, parts: str) -> tuple[Column, ...]:
+        part = F.pmod(F.xxhash64(column), F.col(own_parts)).cast("int").alias(own_part)
+        return (*map(F.col, key), F.col(column), part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1)).alias(each))
+
+    left = asked.join(merged(cells), key).select(*dealt("ord", "grid_row", "n_rows", "grid_col", "n_cols"))
+    right = held.withColumnRenamed("ord", "other_ord").join(merged(cells), key).select(
+        *dealt("other_ord", "grid_col", "n_cols", "grid_row", "n_rows")
+    )
+    return left.join(merged(right), [*key, "grid_row", "grid_col"]).select("pair_id", "ord", "other_ord")
+
+
+def meetings(src_tokens: DataFrame, tgt_tokens: DataFrame, edges: DataFrame, p: CupidParameters, cell: int) -> DataFrame:
+    """pair_id, src_ord, tgt_ord of the columns to compare; all that reach the least similarity are among them."""
+    src, tgt = settle(_rare_tokens(src_tokens, edges, "t1", "f2")), settle(_rare_tokens(tgt_tokens, edges, "t2", "f1"))
+    by_src = _met(src, tgt, edges, tgt_tokens, lambda s, t: _looked_up(s, t, p)[0], "t1", "t2", cell)
+    by_tgt = _met(tgt, src, edges, src_tokens, lambda t, s: _looked_up(s, t, p)[1], "t2", "t1", cell)
+    return (
+        by_src.withColumnsRenamed({"ord": "src_ord", "other_ord": "tgt_ord"})
+        .unionByName(by_tgt.withColumnsRenamed({"ord": "tgt_ord", "other_ord": "src_ord"}))
+        .distinct()
+    )
+
+
 def _gain(links: str, tokens: str) -> Column:
     """Sum of the link similarities of the listed tokens."""
     return F.expr(
@@ -167,34 +254,23 @@ def linguistic_candidates(
     src_tokens = single.filter(F.col("side") == "source")
     tgt_tokens = single.filter(F.col("side") == "target")
     similar = settle(token_similarity(src_tokens, tgt_tokens, thesaurus, p))
-    src_links = _links(src_tokens, similar, "t1", "t2").withColumn("side", F.lit("source"))
-    tgt_links = _links(tgt_tokens, similar, "t2", "t1").withColumn("side", F.lit("target"))
-    linked = words.join(src_links.unionByName(tgt_links), ["pair_id", "side", "ord"])
-    # A source is found by its own tokens, a target by the source tokens similar to its own.
-    elems = F.when(F.col("side") == "source", F.col("tokens")).otherwise(F.col("links.t"))
-    index = settle(rare_first(linked.withColumn("elems", elems)))
-    src = index.filter(F.col("side") == "source").select(
-        "pair_id",
-        "elems",
-        F.col("ord").alias("src_ord"),
-        F.col("name").alias("src"),
-        F.col("family").alias("src_family"),
-        F.col("tokens").alias("src_tokens"),
-        F.col("links").alias("src_links"),
-    )
-    tgt = index.filter(F.col("side") == "target").select(
-        "pair_id",
-        "elems",
-        F.col("ord").alias("tgt_ord"),
-        F.col("name").alias("tgt"),
-        F.col("family").alias("tgt_family"),
-        F.col("tokens").alias("tgt_tokens"),
-        F.col("links").alias("tgt_links"),
-    )
+    edges = settle(_edges(src_tokens, tgt_tokens, similar))
+    met = meetings(src_tokens, tgt_tokens, edges, p, cell)
+
+    def described(side: str, links: DataFrame, prefix: str, name: str) -> DataFrame:
+        own = words.filter(F.col("side") == side).join(merged(links), ["pair_id", "ord"])
+        return own.select(
+            "pair_id",
+            F.col("ord").alias(f"{prefix}_ord"),
+            F.col("name").alias(name),
+            F.col("family").alias(f"{prefix}_family"),
+            F.col("tokens").alias(f"{prefix}_tokens"),
+            F.col("links").alias(f"{prefix}_links"),
+        )
+
+    met = met.join(merged(described("source", _links(src_tokens, edges, "t1", "t2"), "src", "src")), ["pair_id", "src_ord"])
+    met = met.join(merged(described("target", _links(tgt_tokens, edges, "t2", "t1"), "tgt", "tgt")), ["pair_id", "tgt_ord"])
     both = F.size("src_tokens") + F.size("tgt_tokens")
-    # Source tokens before the meeting token matched nothing and add nothing.
-    reachable = F.col("s_left") + F.size("tgt_tokens") >= p.least_lsim * both - 1e-9
-    met = meet(src, tgt, keep=F.size("elems"), condition=reachable, cell=cell)
     lsim = (_gain("tgt_links", "src_tokens") + _gain("src_links", "tgt_tokens")) / both
     return (
         met.withColumn("lsim", lsim)

@@ -1,12 +1,14 @@
+import itertools
 import random
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from schemaweft.operators import grid
-from schemaweft.operators.matchers import sequence, trigram
+from schemaweft.operators.matchers import cupid, sequence, trigram
 from schemaweft.operators.matchers.cupid import CupidParameters, cupid_match
 from schemaweft.operators.matchers.exact import exact_match, normalized_match
 from schemaweft.operators.matchers.flooding import FORMULAS, Flooding, NotConverged, Propagation, _solver, flooding_match
@@ -205,6 +207,32 @@ def test_cupid_abstains_on_abbreviations_and_rejects_an_open_threshold(catalog_o
         cupid_match(catalog, parameters=CupidParameters(th_accept=0.1))
 
 
+def test_cupid_brings_no_columns_together_by_frequent_words(spark, catalog_of):
+    letters = "bcdfghjklmnpqrstvwxz"
+    middle = ["".join(x) for x in itertools.product(letters, repeat=2)][:150]
+    names = [f"a_{m}{m[::-1]}{m}_with" for m in middle]
+    catalog = catalog_of({"p": (names, [*reversed(names)])})
+    single = catalog.select("pair_id", "side", F.col("ordinal").alias("ord"), F.explode(F.split("name", "_")).alias("token"))
+    src, tgt = single.filter("side = 'source'"), single.filter("side = 'target'")
+    p = CupidParameters()
+    edges = cupid._edges(src, tgt, cupid.token_similarity(src, tgt, None, p))
+    # Every source shares two words with every target, which is too little.
+    assert cupid.meetings(src, tgt, edges, p, 4096).count() == len(names)
+    assert cupid_match(catalog).count() == len(names)
+
+
+def test_cupid_finds_what_looking_up_every_token_finds(catalog_of, monkeypatch):
+    rng = random.Random(4)
+    words = "cust customer customers addr address line id ident identity name names order ordered total q w zz".split()
+    pairs = {
+        f"p{i}": [["_".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(rng.randint(1, 20))] for _ in range(2)] for i in range(8)
+    }
+    options = {"parameters": CupidParameters(th_accept=0.45), "cell": 4}
+    few = sorted(map(tuple, cupid_match(catalog_of(pairs), **options).collect()))
+    monkeypatch.setattr(cupid, "_looked_up", lambda s, t, p: (s[1].cast("int"), F.lit(0)))
+    assert few == sorted(map(tuple, cupid_match(catalog_of(pairs), **options).collect())) and few
+
+
 # Propagation against the full connectivity graph
 
 
