@@ -328,6 +328,43 @@ def test_levels_sum_up_the_full_product(catalog_of, cells):
     assert {key: rows[:3] for key, rows in got.items()} == first
 
 
+@pytest.mark.parametrize("dense", [1, 32, 10**9])
+def test_levels_of_a_source_equal_direct_computation(monkeypatch, dense):
+    monkeypatch.setattr(trigram, "DENSE", dense)
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abc_𝄞", k=rng.randint(0, 12))) for _ in range(300)]
+    ordinals, families = np.array(rng.sample(range(10**12), len(names))), [rng.choice("xyz") for _ in names]
+    index = trigram.LevelIndex(ordinals, names, families)
+    for text in [*names[:40], "", None, "qqqq", "abcabcabc" * 40]:
+        scores = sorted((f, -jaccard(text or "", t), o) for t, o, f in zip(names, ordinals.tolist(), families) if jaccard(text or "", t))
+        found = index.of(text, 3, True)
+        if not scores:
+            assert found is None
+            continue
+        levels = {key: [o for *_, o in rows] for key, rows in itertools.groupby(scores, lambda x: x[:2])}
+        own = ordinals[index.rows]
+        assert {(index.families[f], -s): (n, own[t]) for f, s, n, t in zip(*found[0])} == {k: (len(v), v[0]) for k, v in levels.items()}
+        first = [row for _, rows in itertools.groupby(scores, lambda x: x[0]) for row in itertools.islice(rows, 3)]
+        assert [(index.families[f], -s, own[t]) for f, s, t in zip(*found[1])] == first
+        for f, n, total, squares, most in zip(*found[2]):
+            of_family = [-s for kind, s, _ in scores if kind == index.families[f]]
+            assert (n, most) == (len(of_family), max(of_family))
+            assert (total, squares) == pytest.approx((sum(of_family), sum(x * x for x in of_family)))
+
+
+def test_flooding_keeps_one_row_a_source_and_lists_levels_only_if_asked(catalog_of):
+    catalog = catalog_of(random_pairs(9, n_pairs=3, widest=12))
+    whole, cut, few = Flooding(catalog), Flooding(catalog, src_cell=4, tgt_cell=3), Flooding(catalog, whole=False)
+    assert whole.found.count() == cut.found.count() == catalog.filter("side = 'source'").count()
+    ranked = [sorted(f.top_k(5).withColumn("score", F.round("score", 9)).collect()) for f in (whole, cut, few)]
+    assert ranked[0] == ranked[1] == ranked[2] and ranked[0]
+    listed = [sorted(f.shortlist().select("pair_id", "src_ord", "tgt_family", "s", "n_targets", F.coalesce("tgt_ord", F.lit(0))).collect()) for f in (whole, cut)]
+    assert listed[0] == listed[1]
+    assert few.found.filter(F.size("levels") > 0).count() == 0
+    with pytest.raises(ValueError, match="whole ranking"):
+        few.shortlist()
+
+
 def test_flooding_with_given_similarities_and_rounds_that_end_early(spark, catalog_of, ranked_lists):
     catalog = catalog_of(random_pairs(8, n_pairs=3, widest=9))
     seeds = trigram_match(catalog, 9)
